@@ -117,6 +117,10 @@ def _mean_skip_null(values: Column) -> Column:
     return F.when(acc["n"] > 0, acc["s"] / acc["n"])
 
 
+def _field(name: str):
+    return lambda s: s[name].cast("double")
+
+
 def summarize_series(parsed: Column, prefix: str, null_len: str = "null") -> list[Column]:
     """Mean over channels of each statistic, max over channels of length.
 
@@ -128,7 +132,7 @@ def summarize_series(parsed: Column, prefix: str, null_len: str = "null") -> lis
     stats = F.transform(parsed, channel_stats)
     out = {}
     for name in CHANNEL_STATS:
-        out[f"{name}_mean"] = _mean_skip_null(F.transform(stats, lambda s, k=name: s[k].cast("double")))
+        out[f"{name}_mean"] = _mean_skip_null(F.transform(stats, _field(name)))
     out["len_max"] = F.array_max(F.transform(stats, lambda s: s["len"]))
     empty = parsed.isNull() | (F.array_size(parsed) == 0)
     cols = []
@@ -177,3 +181,30 @@ def summarize_exploded(df: DataFrame, parsed_col: str, key: str, prefix: str) ->
         src = F.col(f"s.{stat}")
         aggs.append((F.max(src) if how == "max" else F.avg(src)).alias(f"{prefix}_{suffix}"))
     return ex.groupBy(key).agg(*aggs)
+
+
+def summarize_rows(df: DataFrame, key: str, value: str, order: list[str], prefix: str) -> DataFrame:
+    """A12 on a series stored as rows (one row per item, ``order`` inside a
+    key): the same ten statistics as one aggregate per key.
+
+    Unlike collecting the items into an array, every aggregate here is
+    map-side combined (``min_by``/``max_by`` included), so a key that holds a
+    third of all rows never lands whole on one task."""
+    x = F.col(value).cast("double")
+    pos = F.struct(*[F.col(c) for c in order])
+    n = F.count(x)
+    first = F.min_by(x, pos)
+    last = F.max_by(x, pos)
+    std = F.when(n > 1, F.stddev_samp(x)).otherwise(F.lit(0.0))
+    return df.groupBy(key).agg(
+        n.cast("double").alias(f"{prefix}_len_mean"),
+        n.cast("int").alias(f"{prefix}_len_max"),
+        F.min(x).alias(f"{prefix}_min_mean"),
+        F.max(x).alias(f"{prefix}_max_mean"),
+        (F.sum(x) / F.when(n > 0, n).otherwise(F.lit(1.0))).alias(f"{prefix}_mean_mean"),
+        std.alias(f"{prefix}_std_mean"),
+        first.alias(f"{prefix}_first_mean"),
+        last.alias(f"{prefix}_last_mean"),
+        F.sum(x).alias(f"{prefix}_sum_mean"),
+        (last - first).alias(f"{prefix}_slope_mean"),
+    )

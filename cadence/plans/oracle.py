@@ -32,3 +32,20 @@ def rounded(sql: str, doubles: list[str], digits: int = 6) -> str:
         return sql
     rep = ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in doubles)
     return f"SELECT * REPLACE ({rep}) FROM ({sql}) AS _o"
+
+
+def ts_text(col: str) -> str:
+    """Timestamp as text, as ``cadence.plans.registry.ts_text`` writes it."""
+    return f"strftime({col}, '%Y-%m-%d %H:%M:%S.%f')"
+
+
+# The events cycle table with its split, before any target (all parsed rows).
+EVENTS_SPLIT = """
+e AS (SELECT user_id AS A, event_id AS B, ts AS C, event_type AS D, value FROM events WHERE ts IS NOT NULL),
+q AS (SELECT quantile_disc(C, 0.70) AS q1, quantile_disc(C, 0.85) AS q2 FROM e),
+s AS (SELECT e.*, CASE WHEN C <= q1 THEN 'train' WHEN C <= q2 THEN 'val' ELSE 'test' END AS split
+      FROM e CROSS JOIN q)
+"""
+
+ORDER_KEY = "coalesce(B, CAST(floor(epoch(C)) AS BIGINT))"
+GAP = "CAST(floor(epoch(next_ts)) - floor(epoch(C)) AS DOUBLE)"

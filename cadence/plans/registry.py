@@ -41,6 +41,11 @@ def finish(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     return df.select(*cols)
 
 
+def ts_text(c) -> "F.Column":
+    """Timestamp as text with microseconds (engine-neutral output type)."""
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
 def query(name: str, sql: str | None = None, doubles: tuple[str, ...] = ()):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +69,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     # importing the modules registers their queries
-    from cadence.plans import q_cycles  # noqa: F401
+    from cadence.plans import q_cycles, q_arrays, q_sequences  # noqa: F401
