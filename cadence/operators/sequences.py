@@ -95,7 +95,7 @@ def scoring_window(df: DataFrame, features: list[str], length: int, order: list[
     last = src.orderBy(*[F.col(c).desc() for c in order]).limit(length)
     rec = F.struct(*[F.col(c) for c in order],
                    F.array(*[F.col(c).cast("double") for c in features]).alias("_x"),
-                   *[F.col(k) for k in keys])
+                   *[F.col(k) for k in keys if k not in order])
     return (last.agg(F.sort_array(F.collect_list(rec)).alias("_w"))
                 .select(F.transform("_w", lambda r: r["_x"]).alias("X"),
                         F.element_at("_w", -1).alias("_last"))
