@@ -67,10 +67,13 @@ def seeded_unit(key: Column, seed: int = 42) -> Column:
 
 
 def random_split(df: DataFrame, key: str, test_fraction: float = 0.2, seed: int = 42,
-                 name: str = SPLIT) -> DataFrame:
-    """M7: seeded 80/20 split by row key (train / test)."""
+                 name: str = SPLIT, val_fraction: float = 0.0) -> DataFrame:
+    """M7: seeded split by row key: 80/20 train/test by default, or
+    train/val/test when ``val_fraction`` > 0."""
     u = seeded_unit(F.col(key), seed)
-    return df.withColumn(name, F.when(u < F.lit(1.0 - test_fraction), F.lit("train"))
+    train_end = round(1.0 - test_fraction - val_fraction, 12)
+    return df.withColumn(name, F.when(u < F.lit(train_end), F.lit("train"))
+                               .when(u < F.lit(round(1.0 - test_fraction, 12)), F.lit("val"))
                                .otherwise(F.lit("test")))
 
 

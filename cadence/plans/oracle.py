@@ -25,13 +25,20 @@ def with_ctes(*fragments: str) -> str:
     return "WITH " + ",\n".join(f.strip().rstrip(",") for f in fragments) + "\n"
 
 
-def rounded(sql: str, doubles: list[str], digits: int = 6) -> str:
-    """Round the named double columns as the Spark side does (and turn -0.0
-    into 0.0)."""
+def rounded(sql: str, doubles: list[str], digits: int = 12) -> str:
+    """Round the named double columns exactly as the Spark side does (12
+    significant digits, same IEEE operations; -0.0 -> 0.0)."""
     if not doubles:
         return sql
-    rep = ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in doubles)
-    return f"SELECT * REPLACE ({rep}) FROM ({sql}) AS _o"
+    reps = []
+    for c in doubles:
+        x = f"CAST({c} AS DOUBLE)"
+        scale = f"pow(CAST(10.0 AS DOUBLE), {digits - 1} - floor(log10(abs({x}))))"
+        reps.append(f"CASE WHEN {c} IS NULL THEN NULL WHEN isnan({x}) OR isinf({x}) THEN {x} "
+                    f"WHEN {x} = 0 THEN CAST(0.0 AS DOUBLE) "
+                    f"ELSE floor({x} * {scale} + CAST(0.5 AS DOUBLE)) / {scale} + CAST(0.0 AS DOUBLE) END AS {c}")
+    return f"SELECT * REPLACE ({', '.join(reps)}) FROM ({sql}) AS _o"
+
 
 
 def ts_text(col: str) -> str:
@@ -49,3 +56,18 @@ s AS (SELECT e.*, CASE WHEN C <= q1 THEN 'train' WHEN C <= q2 THEN 'val' ELSE 't
 
 ORDER_KEY = "coalesce(B, CAST(floor(epoch(C)) AS BIGINT))"
 GAP = "CAST(floor(epoch(next_ts)) - floor(epoch(C)) AS DOUBLE)"
+
+
+def md5_unit(expr: str, seed: int = 42) -> str:
+    """The seeded unit number of ``cadence.operators.splits.seeded_unit``."""
+    return (f"(CAST(('0x' || substr(md5(CAST({expr} AS VARCHAR) || ':{seed}'), 1, 8)) AS BIGINT) "
+            f"/ 4294967296.0)")
+
+
+REG_LINES = f"""
+rl0 AS (SELECT concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_key, l_quantity,
+               l_discount, l_tax, CASE WHEN l_tax <> 0 THEN l_discount / l_tax END AS tax_ratio,
+               l_extendedprice AS y FROM lineitem),
+rl AS (SELECT *, CASE WHEN {md5_unit('row_key')} < 0.7 THEN 'train'
+                      WHEN {md5_unit('row_key')} < 0.85 THEN 'val' ELSE 'test' END AS split FROM rl0)
+"""

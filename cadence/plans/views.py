@@ -58,9 +58,14 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reg_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem as a regression table (features quantity, discount, tax;
-    target extendedprice), with a synthetic row key."""
+    """lineitem as a regression table: features quantity, discount and the
+    discount/tax ratio (NULL where tax is 0), target extendedprice, a row key
+    from the integer line columns (unique in the driver tables) and a seeded
+    70/15/15 train/val/test split by that key."""
+    from cadence.operators.splits import random_split
     li = table(spark, sf_dir, "lineitem")
     key = F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return li.select(key.alias("row_key"), "l_quantity", "l_discount", "l_tax",
-                     F.col("l_extendedprice").alias("y"))
+    out = li.select(key.alias("row_key"), "l_quantity", "l_discount", "l_tax",
+                    F.try_divide("l_discount", "l_tax").alias("tax_ratio"),
+                    F.col("l_extendedprice").alias("y"))
+    return random_split(out, "row_key", test_fraction=0.15, val_fraction=0.15)
