@@ -25,8 +25,8 @@ def with_ctes(*fragments: str) -> str:
     return "WITH " + ",\n".join(f.strip().rstrip(",") for f in fragments) + "\n"
 
 
-def rounded(sql: str, doubles: list[str], digits: int = 12) -> str:
-    """Round the named double columns exactly as the Spark side does (12
+def rounded(sql: str, doubles: list[str], digits: int = 8) -> str:
+    """Round the named double columns exactly as the Spark side does (8
     significant digits, same IEEE operations; -0.0 -> 0.0)."""
     if not doubles:
         return sql

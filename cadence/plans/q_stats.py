@@ -161,7 +161,8 @@ def m9_seeded_sample(spark, sf_dir):
     return seeded_sample(reg_lines(spark, sf_dir), "row_key", 5000).select("row_key")
 
 
-@query("P3_numeric_features", with_ctes(REG_LINES) + "SELECT row_key, l_quantity, l_discount, l_tax, tax_ratio FROM rl")
+@query("P3_numeric_features", with_ctes(REG_LINES) + "SELECT row_key, l_quantity, l_discount, l_tax, tax_ratio FROM rl",
+       doubles=("l_quantity", "l_discount", "l_tax", "tax_ratio"))
 def p3_numeric_features(spark, sf_dir):
     r = reg_lines(spark, sf_dir)
     feats = feature_columns(r, exclude=("y", "split"))

@@ -2,11 +2,12 @@
 
 Each entry is a function ``(spark, sf_dir) -> DataFrame`` that reads the
 whole driver tables, plus (where SQL can say it) an equivalent DuckDB query
-over the same tables.  Double columns are rounded to 12 significant digits on both sides.
+over the same tables.  Double columns are rounded to 8 significant digits on both sides.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ from pyspark.sql.types import DoubleType, FloatType
 from cadence.plans.oracle import rounded
 
 DIGITS = 6
-SIG_DIGITS = 12
+SIG_DIGITS = int(os.environ.get("CADENCE_SIG_DIGITS", "8"))
 
 
 @dataclass
@@ -68,7 +69,7 @@ def query(name: str, sql: str | None = None, doubles: tuple[str, ...] = ()):
             return finish(fn(spark, sf_dir))
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
-        REGISTRY[name] = Query(name, run, rounded(sql, list(doubles)) if sql else None, doubles)
+        REGISTRY[name] = Query(name, run, rounded(sql, list(doubles), SIG_DIGITS) if sql else None, doubles)
         return fn
     return deco
 
