@@ -6,8 +6,16 @@ driver tables; they never run on Spark.
 
 # Events as a cycle table, with the time split and the strict next-cycle gap
 # (global order: cycle number, whole seconds, stream id; cap 300 s).
-EVENTS_CT = """
-e AS (SELECT user_id AS A, event_id AS B, ts AS C, event_type AS D, value FROM events WHERE ts IS NOT NULL),
+EVENTS_BASE = "SELECT user_id AS A, event_id AS B, ts AS C, event_type AS D, value FROM events WHERE ts IS NOT NULL"
+
+# The time as the six-layout text parses back: minutes for two layouts,
+# seconds for the others, nothing for the 'error' rows (unparsable text).
+TEXT_TIME = ("CASE WHEN event_id % 6 < 2 THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END")
+EVENTS_TEXT_BASE = (f"SELECT user_id AS A, event_id AS B, {TEXT_TIME} AS C, event_type AS D, value "
+                    "FROM events WHERE event_type <> 'error'")
+
+_EVENTS_CT_TEMPLATE = """
+e AS (__BASE__),
 q AS (SELECT quantile_disc(C, 0.70) AS q1, quantile_disc(C, 0.85) AS q2 FROM e),
 s AS (SELECT e.*, CASE WHEN C <= q1 THEN 'train' WHEN C <= q2 THEN 'val' ELSE 'test' END AS split
       FROM e CROSS JOIN q),
@@ -21,6 +29,13 @@ feat AS (SELECT * FROM ct WHERE CycleTime_sec IS NOT NULL)
 """
 
 
+def events_ct(base: str = EVENTS_BASE) -> str:
+    return _EVENTS_CT_TEMPLATE.replace("__BASE__", base)
+
+
+EVENTS_CT = events_ct()
+
+
 def with_ctes(*fragments: str) -> str:
     return "WITH " + ",\n".join(f.strip().rstrip(",") for f in fragments) + "\n"
 

@@ -86,4 +86,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     # importing the modules registers their queries
-    from cadence.plans import q_cycles, q_arrays, q_sequences, q_stats, q_models  # noqa: F401
+    from cadence.plans import q_cycles, q_arrays, q_sequences, q_stats, q_models, q_sources  # noqa: F401

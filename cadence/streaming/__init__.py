@@ -1,0 +1,8 @@
+"""Streaming.
+
+The reference has no streaming operator (no watermark, window, state or late
+data handling; its pipeline is one batch job), so nothing is built here.  The
+per-row steps (P1 time parsing, P2 filter, A1/A12 series summary) are plain
+column expressions and apply unchanged to a ``readStream`` DataFrame; the
+split and the next-cycle gap need the whole table and stay batch jobs.
+"""
