@@ -22,7 +22,7 @@ DEFAULT_FORMATS = (
     "yyyy-MM-dd'T'HH:mm:ss",
 )
 
-_EPOCH = F.lit(_dt.datetime(1970, 1, 1)).cast("timestamp_ntz")
+_EPOCH = _dt.datetime(1970, 1, 1)
 
 
 def parse_timestamp(col: Column | str, formats=DEFAULT_FORMATS) -> Column:
@@ -44,7 +44,7 @@ def to_wall_clock(df: DataFrame, name: str) -> DataFrame:
 
 def epoch_micros(ts: Column | str) -> Column:
     c = F.col(ts) if isinstance(ts, str) else ts
-    return F.timestamp_diff("MICROSECOND", _EPOCH, c)
+    return F.timestamp_diff("MICROSECOND", F.lit(_EPOCH).cast("timestamp_ntz"), c)
 
 
 def epoch_seconds(ts: Column | str) -> Column:

@@ -52,6 +52,7 @@ def strict_next_cycle(df: DataFrame, roles: ColumnRoles, max_gap: float | None =
     if roles.cycle is None:
         raise ValueError("the strict rule needs a cycle column")
     cols = df.columns
+    df = df.filter(F.col(roles.time).isNotNull())  # P2: a row without time has no place in the order
     tsl = epoch_seconds(roles.time)
     sid = F.col(roles.stream) if roles.stream else F.lit(None).cast("string")
     keyed = df.select(order_key(roles).alias("_key"), tsl.alias("_tsl"), sid.alias("_sid"), *cols)

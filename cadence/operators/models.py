@@ -21,7 +21,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadence.operators.stats import LONG_THRESHOLD, RATE_FLOOR, decide, finite_or_null, long_flag
+from cadence.operators.stats import (LONG_THRESHOLD, RATE_FLOOR, ZERO_STD_EPS, decide,
+                                     finite_or_null, long_flag)
 
 # Reference model settings.
 RIDGE_ALPHA = 1.0
@@ -129,7 +130,7 @@ def scaler_statement(df: DataFrame, features: list[str], impute: str = "median",
     for i, f in enumerate(features):
         mu = float(mom[f"m_{f}"] or 0.0)
         sd = float(mom[f"s_{f}"] or 0.0)
-        sd = sd if sd > 0 else 1.0
+        sd = sd if sd > ZERO_STD_EPS * max(abs(mu), 1.0) else 1.0
         x = (f"CASE WHEN isnan(CAST(`{f}` AS DOUBLE)) OR abs(CAST(`{f}` AS DOUBLE)) = double('inf') "
              f"THEN NULL ELSE CAST(`{f}` AS DOUBLE) END")
         parts.append(f"(coalesce({x}, {fills[f]!r}) - {mu!r}) / {sd!r} AS `_z{i}`")

@@ -20,6 +20,7 @@ LONG_THRESHOLD = 90.0
 RATE_FLOOR = 1e-6
 STD_FLOOR = 1e-8
 DECISION = 0.5
+ZERO_STD_EPS = 10 * 2.220446049250313e-16
 
 
 # --- P10-P13: row expressions --------------------------------------------------
@@ -154,7 +155,9 @@ def standardize(df: DataFrame, features: list[str], stats: DataFrame,
     for c in features:
         mu, sd = F.col("_st")[c]["mean"], F.col("_st")[c]["std"]
         if zero_std == "one":
-            sd = F.when((sd.isNull()) | (sd == 0), F.lit(1.0)).otherwise(sd)
+            # a std within float noise of zero counts as zero (as sklearn's scaler)
+            tiny = F.lit(ZERO_STD_EPS) * F.greatest(F.abs(F.coalesce(mu, F.lit(0.0))), F.lit(1.0))
+            sd = F.when(sd.isNull() | (sd <= tiny), F.lit(1.0)).otherwise(sd)
         else:
             sd = F.greatest(F.coalesce(sd, F.lit(0.0)), F.lit(STD_FLOOR))
         out = out.withColumn(c, (F.col(c) - F.coalesce(mu, F.lit(0.0))) / sd)
