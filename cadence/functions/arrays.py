@@ -90,8 +90,17 @@ def ch_last(x: Column) -> Column:
 
 def channel_stats(x: Column) -> Column:
     """A2-A10 of one channel as a struct (sum computed once, reused)."""
-    total = ch_sum(x)
-    n = F.array_size(x)
+    return _stats_from_parts(_channel_parts(x))
+
+
+def _channel_parts(x: Column) -> Column:
+    """First pass over a channel: the items, their count and sum."""
+    return F.struct(x.alias("x"), F.array_size(x).alias("n"), ch_sum(x).alias("s"))
+
+
+def _stats_from_parts(p: Column) -> Column:
+    """Second pass: every statistic from the items and the first-pass sums."""
+    x, n, total = p["x"], p["n"], p["s"]
     mean = total / F.when(n > 0, n).otherwise(F.lit(1.0))
     first, last = ch_first(x), ch_last(x)
     return F.struct(
@@ -129,7 +138,10 @@ def summarize_series(parsed: Column, prefix: str, null_len: str = "null") -> lis
     (``null_len="null"``) or the reference numbers (``"minus_one"``: lengths
     -1, std 0, the rest NULL).
     """
-    stats = F.transform(parsed, channel_stats)
+    return _means(F.transform(parsed, channel_stats), parsed, prefix, null_len)
+
+
+def _means(stats: Column, parsed: Column, prefix: str, null_len: str) -> list[Column]:
     out = {}
     for name in CHANNEL_STATS:
         out[f"{name}_mean"] = _mean_skip_null(F.transform(stats, _field(name)))
@@ -151,15 +163,27 @@ def summarize_series(parsed: Column, prefix: str, null_len: str = "null") -> lis
 
 def summarize_series_columns(df: DataFrame, columns, parse: bool = True,
                              null_len: str = "null", keep_raw: bool = False) -> DataFrame:
-    """A12 over many columns in ONE projection (0 shuffles); a missing column
-    is skipped (the reference warns)."""
+    """A12 over many columns with no shuffle; a missing column is skipped
+    (the reference warns).
+
+    Three narrow projections: parse each cell once, compute the channel
+    statistics once, then the means.  Spark does not merge a projection into
+    the next when that would repeat an expensive expression, so each step
+    runs once per row."""
     present = [c for c in columns if c in df.columns]
-    new_cols = []
+    if not present:
+        return df
+    keep = [c for c in df.columns if keep_raw or c not in present]
+    step = df.select(*keep, *[(parse_series(F.col(c)) if parse else F.col(c)).alias(f"__p_{c}")
+                              for c in present])
+    step = step.select(*keep, *[F.transform(f"__p_{c}", _channel_parts).alias(f"__q_{c}")
+                                for c in present], *[f"__p_{c}" for c in present])
+    step = step.select(*keep, *[F.transform(f"__q_{c}", _stats_from_parts).alias(f"__s_{c}")
+                                for c in present], *[f"__p_{c}" for c in present])
+    out = []
     for c in present:
-        parsed = parse_series(F.col(c)) if parse else F.col(c)
-        new_cols.extend(summarize_series(parsed, c, null_len))
-    base = [F.col(c) for c in df.columns if keep_raw or c not in present]
-    return df.select(*base, *new_cols)
+        out.extend(_means(F.col(f"__s_{c}"), F.col(f"__p_{c}"), c, null_len))
+    return step.select(*keep, *out)
 
 
 def explode_channels(df: DataFrame, parsed_col: str, key: str, out: str = "channel") -> DataFrame:

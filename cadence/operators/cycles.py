@@ -55,25 +55,41 @@ def strict_next_cycle(df: DataFrame, roles: ColumnRoles, max_gap: float | None =
     df = df.filter(F.col(roles.time).isNotNull())  # P2: a row without time has no place in the order
     tsl = epoch_seconds(roles.time)
     sid = F.col(roles.stream) if roles.stream else F.lit(None).cast("string")
-    keyed = df.select(order_key(roles).alias("_key"), tsl.alias("_tsl"), sid.alias("_sid"), *cols)
-    # order inside a key: whole seconds, stream id, then the whole row
-    rec = F.struct("_tsl", "_sid", F.xxhash64(*cols).alias("_h"),
-                   *[F.col(c) for c in cols])
-    head = F.struct("_tsl", "_sid", F.xxhash64(*cols).alias("_h"),
-                    F.col(roles.time).alias("_t"), F.col(roles.cycle).cast("long").alias("_c"))
-    per_key = keyed.groupBy("_key").agg(F.max(rec).alias("last"), F.min(head).alias("first"))
-    nxt = per_key.select((F.col("_key") - 1).alias("_pk"), F.col("first").alias("nf"))
-    lastrows = per_key.select("_key", "last")
-    j = lastrows.join(nxt, lastrows["_key"] == nxt["_pk"], "left")
+    keyed = df.select(order_key(roles).alias("_key"), tsl.alias("_tsl"), sid.alias("_sid"),
+                      F.xxhash64(*cols).alias("_h"), *cols)
+    # order inside a key: whole seconds, stream id, then a hash of the whole row
+    rec = F.struct("_tsl", "_sid", "_h", *[F.col(c) for c in cols])
+    head = F.struct("_tsl", "_sid", "_h", F.col(roles.time).alias("_t"),
+                    F.col(roles.cycle).cast("long").alias("_c"))
+    # fan-out: a row is a candidate "last row" of its own key and a candidate
+    # "first row of the next key" of key - 1; one shuffle, combined map-side
+    fan = keyed.select(F.explode(F.array(
+        F.struct(F.col("_key").alias("k"), rec.alias("r"), F.lit(None).cast(_head_type(df, roles)).alias("h")),
+        F.struct((F.col("_key") - 1).alias("k"), F.lit(None).cast(_rec_type(keyed, cols)).alias("r"),
+                 head.alias("h")))).alias("_f"))
+    per_key = fan.groupBy(F.col("_f.k").alias("_key")).agg(
+        F.max("_f.r").alias("last"), F.min("_f.h").alias("nf"))
     valid = (F.col(f"last.{roles.cycle}").isNotNull() & F.col("nf._c").isNotNull()
              & ((F.col("nf._c") - F.col(f"last.{roles.cycle}").cast("long")) == 1))
     gap = F.when(valid, whole_second_gap(F.col(f"last.{roles.time}"), F.col("nf._t")))
-    out = j.select(*[F.col(f"last.{c}").alias(c) for c in cols],
-                   F.col("nf._t").alias(NEXT_TS),
-                   cap_gap(gap, max_gap).alias(TARGET))
+    out = (per_key.filter(F.col("last").isNotNull())
+                  .select(*[F.col(f"last.{c}").alias(c) for c in cols],
+                          F.col("nf._t").alias(NEXT_TS),
+                          cap_gap(gap, max_gap).alias(TARGET)))
     return out.filter(F.col(TARGET).isNotNull())
 
 
+def _rec_type(keyed: DataFrame, cols: list[str]) -> str:
+    fields = ["_tsl", "_sid", "_h", *cols]
+    return "struct<" + ",".join(f"`{f}`:{keyed.schema[f].dataType.simpleString()}" for f in fields) + ">"
+
+
+def _head_type(df: DataFrame, roles: ColumnRoles) -> str:
+    sid = df.schema[roles.stream].dataType.simpleString() if roles.stream else "string"
+    t = df.schema[roles.time].dataType.simpleString()
+    return f"struct<_tsl:bigint,_sid:{sid},_h:bigint,_t:{t},_c:bigint>"
+
+
 def next_row(df: DataFrame, roles: ColumnRoles, per_stream: bool,
              strict: bool = False, max_gap: float | None = None,
              drop_missing: bool = False) -> DataFrame:
