@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadence.operators.models import RidgeModel, regression_metrics
-from cadence.operators.rowindex import with_row_index
+from cadence.operators.rowindex import with_stream_index
 
 
 def _stack(df: DataFrame, keep: list[str], pairs: dict[str, tuple]) -> DataFrame:
@@ -89,35 +89,43 @@ def permutation_importance(rows: DataFrame, model: RidgeModel, key: str, label:
                            repeats: int = 1, seed: int = 42, metric: str = "mae") -> DataFrame:
     """Rise of MAE (or fall of R2) when one feature is shuffled.
 
-    The shuffle is seeded and distributed: rows get their position in key
-    order and a rank in ``md5(key:seed:feature:repeat)`` order (both from the
-    distributed row index); the permuted value of position n is the value of
-    the row ranked n, an equi-join on unique keys.  All (feature, repeat)
-    copies are scored in one plan."""
+    The shuffle is seeded and distributed.  One dense index (``rowindex``)
+    numbers, inside each group, the rows in key order (group ``_pos``) and in
+    ``md5(key:seed:feature:repeat)`` order (one group per feature and repeat).
+    The permuted value at position n is the value ranked n: one equi-join on
+    (position) gives every (feature, repeat) copy of every row, scored in one
+    plan."""
     feats = model.features
     base = rows.select(key, label, *feats)
-    pos = with_row_index(base, [key], name="_pos")
-    copies = []
+    # one pass over the rows: each row goes to the position group and to
+    # every (feature, repeat) group (explode, not a union that rescans)
+    carry = [F.col(c).cast("double").alias(c) for c in [label, *feats]]
+    nulls = [F.lit(None).cast("double").alias(c) for c in [label, *feats]]
+    groups = [F.struct(F.lit("_pos").alias("_g"), F.lit(-1).alias("_r"),
+                       F.col(key).cast("string").alias("_o"),
+                       F.lit(None).cast("double").alias("_v"), *carry)]
     for f in feats:
         for r in range(repeats):
             h = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)), F.lit(f), F.lit(str(r))))
-            ranked = with_row_index(base.select(key, f).withColumn("_h", h), ["_h"], name="_rank")
-            donor = ranked.select(F.col("_rank").alias("_pos"), F.col(f).alias("_perm"))
-            c = (pos.join(donor, "_pos")
-                    .withColumn(f, F.col("_perm")).drop("_perm")
-                    .withColumn("feature", F.lit(f)).withColumn("repeat", F.lit(r)))
-            copies.append(c.select(key, label, *feats, "feature", "repeat"))
-    allc = copies[0]
-    for c in copies[1:]:
-        allc = allc.unionByName(c)
-    scored = allc.select("feature", "repeat", label, model.predict(name="pred"))
+            groups.append(F.struct(F.lit(f).alias("_g"), F.lit(r).alias("_r"), h.alias("_o"),
+                                   F.col(f).cast("double").alias("_v"), *nulls))
+    allp = base.select(F.explode(F.array(*groups)).alias("_x")).select("_x.*")
+    # numbered once and checkpointed: everything below reads these rows only
+    ix = with_stream_index(allp, ["_g", "_r"], ["_o"], name="_p").drop("_rn")
+    pos = ix.filter(F.col("_g") == "_pos").select("_p", label, *feats)
+    donors = ix.filter(F.col("_g") != "_pos").select(F.col("_g").alias("feature"),
+                                                      F.col("_r").alias("repeat"), "_p",
+                                                      F.col("_v").alias("_perm"))
+    copies = pos.join(donors, "_p")
+    pred = F.lit(float(model.intercept))
+    for f, w in zip(feats, model.coef):
+        x = F.when(F.col("feature") == f, F.col("_perm")).otherwise(F.col(f))
+        pred = pred + F.lit(float(w)) * x
+    scored = copies.select("feature", "repeat", label, pred.alias("pred"))
     m = regression_metrics(scored, label, "pred", ["feature", "repeat"])
-    b = regression_metrics(base.select(label, model.predict(name="pred")).withColumn("_g", F.lit(1)),
+    b = regression_metrics(pos.select(label, model.predict(name="pred")).withColumn("_g", F.lit(1)),
                            label, "pred", ["_g"]).drop("_g")
     b = b.select(F.col("mae").alias("_bmae"), F.col("r2").alias("_br2"))
     out = m.crossJoin(F.broadcast(b))
-    if metric == "mae":
-        imp = F.col("mae") - F.col("_bmae")
-    else:
-        imp = F.col("_br2") - F.col("r2")
+    imp = (F.col("mae") - F.col("_bmae")) if metric == "mae" else (F.col("_br2") - F.col("r2"))
     return out.groupBy("feature").agg(F.avg(imp).alias("importance"))

@@ -5,8 +5,8 @@
 one task.  Here the order is cut into ranges by ``repartitionByRange`` on the
 *whole* composite order key (a hot stream is split by its time column), rows
 are counted per range, and a row's global position is the size of earlier
-ranges plus its place inside its range.  The per-range sizes are one row per
-partition, so their broadcast has a proven bound.
+ranges plus its place inside its range.  The per-range sizes are one number
+per range partition (a bound we choose), applied as a literal.
 
 The indexed rows are checkpointed to the cluster's checkpoint folder, so the
 numbering is fixed once and survives lost executors.
@@ -56,6 +56,17 @@ def with_row_index(df: DataFrame, order: list, name: str = RN,
     if checkpoint:
         ensure_checkpoint_dir(spark)
         ranged = ranged.checkpoint(eager=True)
+        # one count per range partition (n values, a bound we choose): read
+        # once from the checkpoint and applied as a literal, so every later
+        # use of the index is a plain projection of the checkpointed rows
+        sizes = dict(ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).collect())
+        offsets, acc = [], 0
+        for pid in range(n):
+            offsets.append(acc)
+            acc += sizes.get(pid, 0)
+        off = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("_pid") + 1)
+        out = ranged.withColumn(name, off + F.col("_loc")).drop("_pid", "_loc")
+        return out.drop("_tb") if tiebreak else out
     sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # one row per range partition: bounded by n, so the broadcast is safe
     offsets = sizes.select(
