@@ -26,14 +26,18 @@ def events_split(spark, sf_dir):
     return assign_time_split(cycles_events(spark, sf_dir), "C")
 
 
+def text_time(ts="ts", key="event_id", kind="event_type"):
+    """The time written as text in one of the six layouts (chosen by the row
+    key), with an unparsable prefix on 'error' rows."""
+    idx = F.pmod(F.col(key), F.lit(len(DEFAULT_FORMATS)))
+    text = F.coalesce(*[F.when(idx == i, F.date_format(ts, f)) for i, f in enumerate(DEFAULT_FORMATS)])
+    return F.when(F.col(kind) == "error", F.concat(F.lit("?"), text)).otherwise(text)
+
+
 def events_text_time(spark, sf_dir):
-    """events with the time written as text in one of the six layouts
-    (by event_id), and an unparsable prefix on 'error' rows."""
+    """events with the time as text (see ``text_time``)."""
     e = table(spark, sf_dir, "events")
-    idx = F.pmod(F.col("event_id"), F.lit(len(DEFAULT_FORMATS)))
-    text = F.coalesce(*[F.when(idx == i, F.date_format("ts", f)) for i, f in enumerate(DEFAULT_FORMATS)])
-    text = F.when(F.col("event_type") == "error", F.concat(F.lit("?"), text)).otherwise(text)
-    return e.select("event_id", "event_type", text.alias("ts_text"))
+    return e.select("event_id", "event_type", text_time().alias("ts_text"))
 
 
 _EXPECTED_TS = ("CASE WHEN event_type = 'error' THEN NULL ELSE "

@@ -9,7 +9,7 @@ from cadence.functions.arrays import SUMMARY_SUFFIXES
 from cadence.operators.splits import split_target_summary
 from cadence.plans.etl import build_feature_table
 from cadence.plans.oracle import EVENTS_CT, EVENTS_TEXT_BASE, events_ct, with_ctes
-from cadence.plans.q_cycles import events_features, events_text_time
+from cadence.plans.q_cycles import events_features, text_time
 from cadence.plans.registry import query
 from cadence.plans.views import EVENTS_ROLES, table
 from cadence.roles import ColumnRoles
@@ -21,11 +21,9 @@ CSV_SCHEMA = "A long, B long, C string, D string, value double"
 
 def events_text_table(spark, sf_dir):
     """events with the time as text in six layouts (junk on 'error' rows)."""
-    t = events_text_time(spark, sf_dir)
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
-    return (e.join(t, "event_id")
-             .select(F.col("user_id").alias("A"), F.col("event_id").alias("B"),
-                     F.col("ts_text").alias("C"), F.col("event_type").alias("D"), "value"))
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("A"), F.col("event_id").alias("B"),
+                    text_time().alias("C"), F.col("event_type").alias("D"), "value")
 
 
 @query("S1_csv_scan", with_ctes(events_ct(EVENTS_TEXT_BASE)) + _G4, doubles=("avg_cycle",))
