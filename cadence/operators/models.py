@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadence.operators.stats import (LONG_THRESHOLD, RATE_FLOOR, ZERO_STD_EPS, decide,
-                                     finite_or_null, long_flag)
+                                     finite_or_null, long_flag, train_stats)
 
 # Reference model settings.
 RIDGE_ALPHA = 1.0
@@ -116,12 +116,11 @@ def scaler_statement(df: DataFrame, features: list[str], impute: str = "median",
     Two aggregates over the train rows; F numbers reach the driver."""
     fin = {f: finite_or_null(F.col(f).cast("double")) for f in features}
     if impute == "median":
-        fill_aggs = [(F.percentile(x, 0.5) if accuracy is None
-                      else F.percentile_approx(x, 0.5, accuracy).cast("double")).alias(f)
-                     for f, x in fin.items()]
+        st = train_stats(df, features, split=None, exact=accuracy is None,
+                         accuracy=accuracy or 10_000)
+        fills = {r["feature"]: r["median"] for r in st.collect()}
     else:
-        fill_aggs = [F.avg(x).alias(f) for f, x in fin.items()]
-    fills = df.agg(*fill_aggs).first().asDict()
+        fills = df.agg(*[F.avg(x).alias(f) for f, x in fin.items()]).first().asDict()
     fills = {f: (0.0 if v is None else float(v)) for f, v in fills.items()}
     imputed = {f: F.coalesce(x, F.lit(fills[f])) for f, x in fin.items()}
     mom = df.agg(*[F.avg(x).alias(f"m_{f}") for f, x in imputed.items()],

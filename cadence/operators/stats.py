@@ -58,6 +58,34 @@ def target_stats(df: DataFrame, target: str = TARGET) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.max(target).alias("max_target"))
 
 
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+    """Exact quantiles with linear interpolation (pandas, SQL ``quantile_cont``)
+    of several columns, without holding any column in one task.
+
+    The values are unpivoted to (feature, value), ranked inside each feature
+    by the distributed dense index (a range-partitioned sort: a constant or
+    hot value is split by the tie-break hash), and only the rows at ranks
+    floor/ceil of p*(n-1) are kept: at most 2 * len(probs) rows per feature.
+    NULL, NaN and infinities are skipped.  Output: (feature, p, value)."""
+    from cadence.operators.rowindex import with_stream_index
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), finite_or_null(F.col(c).cast("double")).alias("v"))
+        for c in columns])).alias("_x")).select("_x.*").filter(F.col("v").isNotNull())
+    ix = with_stream_index(long, ["feature"], ["v"], name="_r").drop("_rn")
+    n = ix.groupBy("feature").agg(F.count(F.lit(1)).alias("_n"))
+    ps = F.array(*[F.lit(float(p)) for p in probs])
+    want = (n.select("feature", "_n", F.explode(ps).alias("p"))
+              .withColumn("_pos", F.col("p") * (F.col("_n") - 1))
+              .withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos")))
+    need = want.select("feature", F.explode(F.array("_lo", "_hi")).alias("_r")).distinct()
+    vals = ix.join(F.broadcast(need), ["feature", "_r"]).select("feature", "_r", "v")
+    lo = vals.select("feature", F.col("_r").alias("_lo"), F.col("v").alias("v_lo"))
+    hi = vals.select("feature", F.col("_r").alias("_hi"), F.col("v").alias("v_hi"))
+    out = want.join(lo, ["feature", "_lo"]).join(hi, ["feature", "_hi"])
+    value = F.col("v_lo") + (F.col("_pos") - F.col("_lo")) * (F.col("v_hi") - F.col("v_lo"))
+    return out.select("feature", "p", value.alias("value"))
+
+
 # describe() row labels, in pandas order.
 DESCRIBE_STATS = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
@@ -65,21 +93,34 @@ DESCRIBE_STATS = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")
 def describe(df: DataFrame, columns: list[str], exact: bool = True,
              accuracy: int = 10_000) -> DataFrame:
     """Pandas ``describe().T``: one row per column with count, mean,
-    sample std, min, quartiles, max.  ``exact`` uses linear-interpolated
-    percentiles (as pandas; holds the distinct values of a column while
-    merging), ``exact=False`` the mergeable ``percentile_approx`` sketch for
-    very large tables.  One aggregate for all columns, then ``stack``."""
+    sample std, min, quartiles, max.  Moments come from one aggregate;
+    quartiles are exact (``exact_quantiles``, linear interpolation as
+    pandas) or the mergeable ``percentile_approx`` sketch."""
     aggs = []
     for c in columns:
         x = F.col(c).cast("double")
-        q = (F.percentile(x, [0.25, 0.5, 0.75]) if exact
-             else F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy).cast("array<double>"))
         aggs.append(F.struct(F.lit(c).alias("column"), F.count(x).cast("double").alias("count"),
                              F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                             F.min(x).alias("min"), q[0].alias("p25"), q[1].alias("p50"),
-                             q[2].alias("p75"), F.max(x).alias("max")).alias(f"_{c}"))
-    wide = df.agg(*aggs)
-    return wide.select(F.explode(F.array(*[F.col(f"_{c}") for c in columns])).alias("d")).select("d.*")
+                             F.min(x).alias("min"), F.max(x).alias("max")).alias(f"_{c}"))
+    moments = df.agg(*aggs).select(F.explode(F.array(*[F.col(f"_{c}") for c in columns])).alias("d")
+                                   ).select("d.*")
+    q = _quartiles(df, columns, [0.25, 0.5, 0.75], exact, accuracy)
+    return moments.join(F.broadcast(q), "column").select(
+        "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+
+
+def _quartiles(df, columns, probs, exact, accuracy):
+    """(column, p25, p50, p75)-style table, one row per column (bounded)."""
+    names = {0.25: "p25", 0.5: "p50", 0.75: "p75"}
+    if exact:
+        q = exact_quantiles(df, columns, probs)
+        return (q.groupBy(F.col("feature").alias("column"))
+                 .agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(names[p]) for p in probs]))
+    aggs = [F.struct(F.lit(c).alias("column"), *[
+        F.percentile_approx(F.col(c).cast("double"), list(probs), accuracy).cast("array<double>")[i]
+        .alias(names[p]) for i, p in enumerate(probs)]).alias(f"_{c}") for c in columns]
+    return df.agg(*aggs).select(F.explode(F.array(*[F.col(f"_{c}") for c in columns])).alias("d")
+                                ).select("d.*")
 
 
 def train_stats(df: DataFrame, features: list[str], split: str | None = SPLIT,
@@ -87,18 +128,26 @@ def train_stats(df: DataFrame, features: list[str], split: str | None = SPLIT,
                 accuracy: int = 10_000) -> DataFrame:
     """Scaler table (feature, mean, std [population], median) over train rows.
 
-    NULLs are skipped (nanmean); NaN/inf are treated as missing."""
+    NULLs are skipped (nanmean); NaN/inf are treated as missing.  The median
+    is exact (``exact_quantiles``) or from the ``percentile_approx`` sketch."""
     src = df.filter(F.col(split) == train_value) if split else df
     aggs = []
     for c in features:
         x = finite_or_null(F.col(c).cast("double"))
-        med = (F.percentile(x, 0.5) if exact else F.percentile_approx(x, 0.5, accuracy).cast("double"))
         aggs.append(F.struct(F.lit(c).alias("feature"), F.avg(x).alias("mean"),
-                             F.stddev_pop(x).alias("std"),
-                             (med if median else F.lit(None).cast("double")).alias("median"))
-                    .alias(f"_{c}"))
+                             F.stddev_pop(x).alias("std")).alias(f"_{c}"))
     wide = src.agg(*aggs)
-    return wide.select(F.explode(F.array(*[F.col(f"_{c}") for c in features])).alias("s")).select("s.*")
+    mom = wide.select(F.explode(F.array(*[F.col(f"_{c}") for c in features])).alias("s")).select("s.*")
+    if not median:
+        return mom.withColumn("median", F.lit(None).cast("double"))
+    if exact:
+        med = exact_quantiles(src, features, [0.5]).select("feature", F.col("value").alias("median"))
+    else:
+        med = src.agg(*[F.struct(F.lit(c).alias("feature"), F.percentile_approx(
+            finite_or_null(F.col(c).cast("double")), 0.5, accuracy).cast("double").alias("median"))
+            .alias(f"_{c}") for c in features]).select(
+            F.explode(F.array(*[F.col(f"_{c}") for c in features])).alias("m")).select("m.*")
+    return mom.join(F.broadcast(med), "feature", "left").select("feature", "mean", "std", "median")
 
 
 def class_rate(df: DataFrame, target: str = TARGET, threshold: float = LONG_THRESHOLD,
