@@ -1,7 +1,6 @@
 """Scaler, imputation, class rate, metrics, ridge, attribution, losses."""
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
