@@ -37,8 +37,14 @@ p AS (SELECT z.*, b0 + w1 * z1 + w2 * z2 AS pred, w1, w2, a1, a2 FROM z CROSS JO
 
 
 def standardized(spark, sf_dir):
+    """Standardised regression rows, written once to the shared checkpoint
+    folder: the fit, the scoring and the attribution passes read these few
+    columns instead of re-scanning and re-splitting lineitem."""
+    from cadence.session import ensure_checkpoint_dir
     r = reg_lines(spark, sf_dir)
-    return S.standardize(r, ZF, S.train_stats(r, ZF, median=False))
+    z = S.standardize(r, ZF, S.train_stats(r, ZF, median=False)).select("row_key", "split", "y", *ZF)
+    ensure_checkpoint_dir(spark)
+    return z.checkpoint(eager=True)
 
 
 def ridge(spark, sf_dir):
