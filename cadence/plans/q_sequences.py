@@ -30,7 +30,7 @@ def _summ(win):
 def _win_sql(frame: str, partition: str = "", src: str = "feat", target: str = "CycleTime_sec",
              keys: str = "B, split", n: int = L) -> str:
     part = f"PARTITION BY {partition} " if partition else ""
-    return (f"w AS (SELECT {keys}, {target} AS y, count(*) OVER ww AS n, sum(value) OVER ww AS x_sum, "
+    return (f"w AS (SELECT {keys}, {target} AS y, CAST(count(*) OVER ww AS INTEGER) AS n, sum(value) OVER ww AS x_sum, "
             f"first_value(value) OVER ww AS x_first, last_value(value) OVER ww AS x_last FROM {src} "
             f"WINDOW ww AS ({part}ORDER BY C, A, B ROWS BETWEEN {frame}))")
 
