@@ -14,7 +14,7 @@ from cadence.operators import attribution as AT
 from cadence.operators import models as M
 from cadence.operators import stats as S
 from cadence.operators.sequences import windows
-from cadence.plans.oracle import REG_LINES, with_ctes
+from cadence.plans.oracle import EVENTS_CT, REG_LINES, with_ctes
 from cadence.plans.q_cycles import events_features
 from cadence.plans.registry import query
 from cadence.plans.views import reg_lines
@@ -231,8 +231,11 @@ def r15_prediction_table(spark, sf_dir):
     return seq_predictions(spark, sf_dir).withColumn("C", ts_text("C"))
 
 
-@query("U1_union_predictions")
+@query("U1_union_predictions", with_ctes(EVENTS_CT, """
+w AS (SELECT split, count(*) OVER (PARTITION BY split ORDER BY C, A, B ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS n
+      FROM feat)""") + "SELECT split, count(*) AS rows FROM w WHERE n = 5 AND split IN ('val', 'test') GROUP BY split")
 def u1_union_predictions(spark, sf_dir):
+    """Validation and test predictions as one table: rows per split."""
     return seq_predictions(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
 
 
