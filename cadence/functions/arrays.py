@@ -23,9 +23,17 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _item(x: Column) -> Column:
+    """One item as a number: quoted numbers, NaN and Infinity read as floats,
+    booleans as 1/0 (as Python's ``float``), anything else NULL."""
+    t = F.regexp_replace(x, '^"|"$', "")
+    return (F.when(x == "true", F.lit(1.0)).when(x == "false", F.lit(0.0))
+             .otherwise(t.try_cast("double")))
+
+
 def _channel_of(items: Column) -> Column:
     kept = F.filter(items, lambda x: x.isNotNull())
-    return F.transform(kept, lambda x: F.regexp_replace(x, '^"|"$', "").try_cast("double"))
+    return F.transform(kept, _item)
 
 
 def _parse_json(text: Column) -> Column:

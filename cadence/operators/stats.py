@@ -247,6 +247,20 @@ def standardize_windows(windows: DataFrame, stats: DataFrame) -> DataFrame:
                    .drop("_mu", "_sd"))
 
 
+def fit_window_scaler(windows: DataFrame, n_features: int, split: str | None = SPLIT,
+                      train_value: str = "train") -> tuple[DataFrame, DataFrame]:
+    """The sequence trainer's scaler: train cell means for imputation, then
+    mean and population std of the *imputed* train cells (one-row frames)."""
+    means = window_cell_stats(windows, n_features, split, train_value)
+    imputed = impute_windows(windows, means)
+    return means, window_cell_stats(imputed, n_features, split, train_value)
+
+
+def apply_window_scaler(windows: DataFrame, means: DataFrame, scale: DataFrame) -> DataFrame:
+    """M2 + M5 on windows with a fitted scaler."""
+    return standardize_windows(impute_windows(windows, means), scale)
+
+
 def timestep_means(windows: DataFrame, n_features: int) -> DataFrame:
     """M3 statistic: one row, the mean of each feature at each timestep over
     the batch (L x F values, a fixed size)."""

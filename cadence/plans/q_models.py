@@ -185,20 +185,19 @@ def seq_models(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir, "seq")
     if key not in _FITTED:
         win = seq_windows(spark, sf_dir)
-        tr = win.filter(F.col("split") == "train")
-        stats = S.window_cell_stats(win, 1)
-        trz = S.standardize_windows(S.impute_windows(tr, stats), stats)
-        _FITTED[key] = (stats, M.fit_window_regressor(trz), M.fit_window_classifier(trz))
+        means, scale = S.fit_window_scaler(win, 1)
+        trz = S.apply_window_scaler(win.filter(F.col("split") == "train"), means, scale)
+        _FITTED[key] = ((means, scale), M.fit_window_regressor(trz), M.fit_window_classifier(trz))
     return _FITTED[key]
 
 
 def seq_predictions(spark, sf_dir):
-    stats, reg, cls = seq_models(spark, sf_dir)
+    (means, scale), reg, cls = seq_models(spark, sf_dir)
     win = seq_windows(spark, sf_dir)
     parts = []
     for sp in ("val", "test"):
         w = win.filter(F.col("split") == sp)
-        wz = S.standardize_windows(S.impute_windows(w, stats), stats)
+        wz = S.apply_window_scaler(w, means, scale)
         parts.append(M.prediction_table(wz, reg, cls, ["A", "B", "C", "split"]))
     return S.union_all(parts)
 
@@ -251,9 +250,23 @@ def j1_attach_keys(spark, sf_dir):
 @query("R10_attribution_over_time")
 def r10_attribution_over_time(spark, sf_dir):
     win = seq_windows(spark, sf_dir)
-    stats = S.window_cell_stats(win, 1)
-    wz = S.standardize_windows(S.impute_windows(win, stats), stats)
+    wz = S.apply_window_scaler(win, *S.fit_window_scaler(win, 1))
     flat = wz.select("split", "X", "y", *[F.col("X")[t][0].alias(f"x{t}") for t in range(SEQ_L)])
     tr = flat.filter(F.col("split") == "train")
     model = M.ridge_fit(tr, [f"x{t}" for t in range(SEQ_L)], "y")
     return AT.window_attribution(flat.filter(F.col("split") == "test"), list(model.coef), tr, ["value"])
+
+
+@query("R12_next_step_score")
+def r12_next_step_score(spark, sf_dir):
+    """Scoring: the last L rows of the test split (all rows when the test
+    split is shorter) as one window, imputed and scaled with the train
+    scaler, then the next-step seconds and the long-cycle probability."""
+    from cadence.operators.sequences import scoring_window
+    (means, scale), reg, cls = seq_models(spark, sf_dir)
+    f = events_features(spark, sf_dir)
+    w = scoring_window(f, ["value"], SEQ_L, ["C", "A", "B"], keys=("A", "B")).withColumn(
+        "split", F.lit("test")).withColumn("y", F.lit(None).cast("double"))
+    wz = S.apply_window_scaler(w, means, scale)
+    p = M.prediction_table(wz, reg, cls, ["A", "B"])
+    return p.select("A", "B", "pred_sec", "pred_long_prob", "is_long_pred")

@@ -17,6 +17,8 @@ CELLS = [
     ("[[]]", [[]]),
     ("[[1,Infinity]]", [[1.0, float("inf")]]),
     ("[['3', None]]", [[3.0]]),
+    ("[[true, false, 2]]", [[1.0, 0.0, 2.0]]),
+    ("[[True, 1]]", [[1.0, 1.0]]),
     ("junk", None),
     ("   ", None),
     ('{"a":1}', None),
