@@ -5,8 +5,9 @@
 one task.  Here the order is cut into ranges by ``repartitionByRange`` on the
 *whole* composite order key (a hot stream is split by its time column), rows
 are counted per range, and a row's global position is the size of earlier
-ranges plus its place inside its range.  The per-range sizes are one number
-per range partition (a bound we choose), applied as a literal.
+ranges plus its place inside its range.  The number of ranges follows the
+estimated input size; the per-range sizes are one number per range (a bound
+we choose), joined back as a small local table.
 
 The indexed rows are checkpointed to the cluster's checkpoint folder, so the
 numbering is fixed once and survives lost executors.
@@ -32,6 +33,22 @@ def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
+def range_partitions(df: DataFrame, cap: int = 100_000) -> int:
+    """Number of ranges for the index: at least the shuffle partitions, and
+    about one per ``spark.sql.files.maxPartitionBytes`` of the estimated
+    input, so a range stays sortable in one task at any data size."""
+    spark = df.sparkSession
+    n = max(shuffle_partitions(spark), 1)
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        target = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b"))
+        if 0 < size < (1 << 62):
+            n = max(n, -(-size // max(target, 1)))
+    except Exception:  # noqa: BLE001 - statistics are an optimisation only
+        pass
+    return int(min(n, cap))
+
+
 def with_row_index(df: DataFrame, order: list, name: str = RN,
                    num_partitions: int | None = None, tiebreak: bool = True,
                    checkpoint: bool = True) -> DataFrame:
@@ -43,7 +60,7 @@ def with_row_index(df: DataFrame, order: list, name: str = RN,
     interchangeable.
     """
     spark = df.sparkSession
-    n = num_partitions or max(shuffle_partitions(spark), 1)
+    n = num_partitions or range_partitions(df)
     keys = _cols(order)
     if tiebreak:
         df = df.withColumn("_tb", F.xxhash64(*[F.col(c) for c in df.columns]))
@@ -62,10 +79,13 @@ def with_row_index(df: DataFrame, order: list, name: str = RN,
         sizes = dict(ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).collect())
         offsets, acc = [], 0
         for pid in range(n):
-            offsets.append(acc)
+            offsets.append((pid, acc))
             acc += sizes.get(pid, 0)
-        off = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("_pid") + 1)
-        out = ranged.withColumn(name, off + F.col("_loc")).drop("_pid", "_loc")
+        # a local table of n rows: joined by broadcast, nothing recomputed
+        off = spark.createDataFrame(offsets, "_pid int, _off long")
+        out = (ranged.join(F.broadcast(off), "_pid")
+                     .withColumn(name, F.col("_off") + F.col("_loc"))
+                     .drop("_pid", "_loc", "_off"))
         return out.drop("_tb") if tiebreak else out
     sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # one row per range partition: bounded by n, so the broadcast is safe
