@@ -35,7 +35,10 @@ def windows(df: DataFrame, features: list[str], length: int, order: list[str], *
     """W5 (``target_inside=True``), W6 (next step, global), W7 (per stream:
     ``partition=[stream]``), W11 (per split: ``partition=[split]``)."""
     partition = partition or []
-    ix = with_row_index(df, [*partition, *order])
+    # index (and checkpoint) only the columns the windows use
+    needed = [*partition, *order, *features, *meta, *([target] if target else [])]
+    src = df.select(*dict.fromkeys(needed))
+    ix = with_row_index(src, [*partition, *order])
     return sliding_windows(ix, features, length, target_inside=target_inside,
                            meta=meta, target=target, same=partition)
 
