@@ -68,14 +68,19 @@ class SequenceModel:
     scale: DataFrame
     regressor: object
     classifier: object
+    log_target: bool = False
 
 
 def sequence_model(features: DataFrame, roles: ColumnRoles, length: int = 5,
-                   feature_list: list[str] | None = None) -> tuple[SequenceModel, DataFrame, DataFrame]:
+                   feature_list: list[str] | None = None, log_target: bool = False,
+                   oversample_long: float | None = None,
+                   threshold: float = S.LONG_THRESHOLD) -> tuple[SequenceModel, DataFrame, DataFrame]:
     """``make lstm`` re-aimed: windows inside each split (target row inside),
     train-only imputation and scaling over all cells, a regressor and a
     class-weighted long-cycle classifier on the flattened window.
-    Returns (model, prediction table for val+test, metrics per split)."""
+    ``log_target`` fits the regressor on log1p(seconds) and inverts with
+    expm1 (P11); ``oversample_long`` draws long train windows with that
+    weight (M6).  Returns (model, prediction table for val+test, metrics)."""
     df = features.dropna(subset=[roles.target])
     feats = feature_list or feature_columns(df, roles)
     meta = [c for c in (roles.stream, roles.cycle, roles.time) if c] + [roles.split]
@@ -83,10 +88,15 @@ def sequence_model(features: DataFrame, roles: ColumnRoles, length: int = 5,
                   partition=[roles.split], target=roles.target)
     means, scale = S.fit_window_scaler(win, len(feats), roles.split)
     trz = S.apply_window_scaler(win.filter(F.col(roles.split) == "train"), means, scale)
-    model = SequenceModel(feats, length, means, scale, M.fit_window_regressor(trz),
-                          M.fit_window_classifier(trz))
+    if oversample_long:
+        w = F.when(S.long_flag("y", threshold) == 1, F.lit(float(oversample_long))).otherwise(F.lit(1.0))
+        key = F.concat_ws(":", *[F.col(c).cast("string") for c in meta])
+        trz = S.oversample(trz.withColumn("_key", key), "_key", w).drop("_key", "_draw")
+    reg_train = trz.withColumn("y", S.log_target(F.col("y"))) if log_target else trz
+    model = SequenceModel(feats, length, means, scale, M.fit_window_regressor(reg_train),
+                          M.fit_window_classifier(trz, threshold), log_target)
     evald = S.apply_window_scaler(win.filter(F.col(roles.split).isin("val", "test")), means, scale)
-    preds = M.prediction_table(evald, model.regressor, model.classifier, meta)
+    preds = M.prediction_table(evald, model.regressor, model.classifier, meta, threshold, log_target)
     return model, preds, M.regression_metrics(preds, "true_sec", "pred_sec", [roles.split])
 
 
@@ -97,7 +107,8 @@ def score_latest(features: DataFrame, roles: ColumnRoles, model: SequenceModel)
     w = scoring_window(features, model.features, model.length, roles.order(), roles.split, keys)
     w = w.withColumn("y", F.lit(None).cast("double"))
     z = S.apply_window_scaler(w, model.means, model.scale)
-    return M.prediction_table(z, model.regressor, model.classifier, list(keys)).drop("true_sec", "is_long_true")
+    return M.prediction_table(z, model.regressor, model.classifier, list(keys),
+                              log_target=model.log_target).drop("true_sec", "is_long_true")
 
 
 def scoring_template(features: DataFrame, roles: ColumnRoles) -> DataFrame:

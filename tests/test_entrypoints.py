@@ -42,3 +42,11 @@ def test_selection_and_attribution(spark):
     assert len(top) == 3 and top[0].mean_abs_shap >= top[-1].mean_abs_shap
     att = E.attribute_sequence(f, R, length=4).collect()
     assert len(att) == 10 and all(r.mean_abs_shap >= 0 for r in att if r.mean_abs_shap is not None)
+
+
+def test_sequence_options(spark):
+    f = _features(spark)
+    model, preds, _ = E.sequence_model(f, R, length=5, log_target=True, oversample_long=20.0)
+    r = preds.agg(F.min("pred_sec").alias("lo")).first()
+    assert r.lo is not None and r.lo > -1.0          # expm1 of a prediction is > -1
+    assert E.score_latest(f, R, model).count() == 1
