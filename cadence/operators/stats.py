@@ -62,27 +62,39 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> Da
     """Exact quantiles with linear interpolation (pandas, SQL ``quantile_cont``)
     of several columns, without holding any column in one task.
 
-    The values are unpivoted to (feature, value), ranked inside each feature
-    by the distributed dense index (a range-partitioned sort: a constant or
-    hot value is split by the tie-break hash), and only the rows at ranks
-    floor/ceil of p*(n-1) are kept: at most 2 * len(probs) rows per feature.
-    NULL, NaN and infinities are skipped.  Output: (feature, p, value)."""
-    from cadence.operators.rowindex import with_stream_index
+    The values are unpivoted to (feature, value) and ranked by the
+    distributed dense index over (feature, value) (a range-partitioned sort:
+    a constant or hot value is split by the tie-break hash).  The per-feature
+    counts (one number per column) give where each feature starts, so only
+    the rows at ranks floor/ceil of p*(n-1) are selected: at most
+    2 * len(probs) rows per feature.  NULL, NaN and infinities are skipped.
+    Output: (feature, p, value)."""
+    import math
+
+    from cadence.operators.rowindex import with_row_index
+    spark = df.sparkSession
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), finite_or_null(F.col(c).cast("double")).alias("v"))
         for c in columns])).alias("_x")).select("_x.*").filter(F.col("v").isNotNull())
-    ix = with_stream_index(long, ["feature"], ["v"], name="_r").drop("_rn")
-    n = ix.groupBy("feature").agg(F.count(F.lit(1)).alias("_n"))
-    ps = F.array(*[F.lit(float(p)) for p in probs])
-    want = (n.select("feature", "_n", F.explode(ps).alias("p"))
-              .withColumn("_pos", F.col("p") * (F.col("_n") - 1))
-              .withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos")))
-    need = want.select("feature", F.explode(F.array("_lo", "_hi")).alias("_r")).distinct()
-    vals = ix.join(F.broadcast(need), ["feature", "_r"]).select("feature", "_r", "v")
-    lo = vals.select("feature", F.col("_r").alias("_lo"), F.col("v").alias("v_lo"))
-    hi = vals.select("feature", F.col("_r").alias("_hi"), F.col("v").alias("v_hi"))
-    out = want.join(lo, ["feature", "_lo"]).join(hi, ["feature", "_hi"])
-    value = F.col("v_lo") + (F.col("_pos") - F.col("_lo")) * (F.col("v_hi") - F.col("v_lo"))
+    ix = with_row_index(long, ["feature", "v"])
+    counts = dict(ix.groupBy("feature").count().collect())          # one row per column
+    start, wanted = 0, []
+    for f in sorted(counts, key=lambda name: name.encode("utf-8")):  # Spark's string order
+        n = counts[f]
+        for p in probs:
+            pos = p * (n - 1)
+            wanted.append((f, float(p), start + math.floor(pos), start + math.ceil(pos),
+                           pos - math.floor(pos)))
+        start += n
+    if not wanted:
+        return spark.createDataFrame([], "feature string, p double, value double")
+    want = spark.createDataFrame(wanted, "feature string, p double, _lo long, _hi long, _frac double")
+    ranks = sorted({r for w in wanted for r in (w[2], w[3])})
+    vals = ix.filter(F.col("_rn").isin(ranks)).select("_rn", "v")     # at most 2*P*F rows
+    lo = vals.select(F.col("_rn").alias("_lo"), F.col("v").alias("v_lo"))
+    hi = vals.select(F.col("_rn").alias("_hi"), F.col("v").alias("v_hi"))
+    out = want.join(F.broadcast(lo), "_lo").join(F.broadcast(hi), "_hi")
+    value = F.col("v_lo") + F.col("_frac") * (F.col("v_hi") - F.col("v_lo"))
     return out.select("feature", "p", value.alias("value"))
 
 
