@@ -33,17 +33,29 @@ def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
+def _input_bytes(df: DataFrame) -> int:
+    """Bytes of the plan's leaf inputs (file sizes for scans).  The root's
+    estimate is not used: without cost-based statistics Spark multiplies the
+    sizes of joined sides, which overshoots by orders of magnitude."""
+    total = 0
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+    while leaves.hasNext():
+        raw = leaves.next().stats().sizeInBytes()
+        size = raw if isinstance(raw, int) else int(raw.toString())
+        if 0 < size < (1 << 50):          # unknown leaves report a huge default
+            total += size
+    return total
+
+
 def range_partitions(df: DataFrame, cap: int = 100_000) -> int:
     """Number of ranges for the index: at least the shuffle partitions, and
-    about one per ``spark.sql.files.maxPartitionBytes`` of the estimated
-    input, so a range stays sortable in one task at any data size."""
+    about one per ``spark.sql.files.maxPartitionBytes`` of input, so a range
+    stays sortable in one task at any data size."""
     spark = df.sparkSession
     n = max(shuffle_partitions(spark), 1)
     try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
         target = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b"))
-        if 0 < size < (1 << 62):
-            n = max(n, -(-size // max(target, 1)))
+        n = max(n, -(-_input_bytes(df) // max(target, 1)))
     except Exception:  # noqa: BLE001 - statistics are an optimisation only
         pass
     return int(min(n, cap))
