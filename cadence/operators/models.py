@@ -39,7 +39,7 @@ class RidgeModel:
     coef: np.ndarray
     intercept: float
 
-    def predict(self, df: DataFrame | None = None, name: str = "pred") -> Column:
+    def predict(self, name: str = "pred") -> Column:
         expr = F.lit(float(self.intercept))
         for f, w in zip(self.features, self.coef):
             expr = expr + F.lit(float(w)) * F.col(f)

@@ -62,8 +62,9 @@ def align_features(df: DataFrame, keep: list[str], ordered: list[str], strict: b
     missing = [c for c in ordered if c not in df.columns]
     if strict and missing:
         raise ValueError(f"features missing from the table: {missing}")
-    cols = [F.col(c).cast("double") if c in df.columns else F.lit(fill).alias(c) for c in ordered]
-    return df.select(*keep, *[c if isinstance(c, type(F.col("x"))) else c for c in cols])
+    cols = [F.col(c).cast("double").alias(c) if c in df.columns else F.lit(float(fill)).alias(c)
+            for c in ordered]
+    return df.select(*keep, *cols)
 
 
 def split_filter(df: DataFrame, split: str = "split", value: str = "test") -> DataFrame:
