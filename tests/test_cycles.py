@@ -77,3 +77,33 @@ def test_plain_lead(spark, per_stream):
     assert got == want
     if per_stream:  # the one-row stream has no next row
         assert ("s4", 20, None) in got
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.integers(min_value=1, max_value=120), st.integers(min_value=0, max_value=10_000))
+def test_strict_join_property(spark, n, seed):
+    """Random cycle numbers (gaps, ties, NULLs, a hot value) and times."""
+    import numpy as np
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        b = None if rng.random() < 0.1 else (7 if rng.random() < 0.3 else int(rng.integers(0, n)))
+        s = int(rng.integers(0, 2000))
+        rows.append((f"s{int(rng.integers(0, 3))}", b, s, i))
+    # distinct (key, second, stream) so the reference's order is total
+    seen, uniq = set(), []
+    for a, b, s, i in rows:
+        k = (b if b is not None else s, s, a)
+        if k not in seen:
+            seen.add(k)
+            uniq.append((a, b, s))
+    out = strict_next_cycle(frame(spark, uniq), R, max_gap=300).collect()
+    got = _multiset([(r.A, r.B, r.CycleTime_sec) for r in out])
+    bf = brute_force(uniq, per_stream=False, strict=True, cap=300)
+    bf = bf[bf.gap.notna()]
+    want = _multiset([(a, int(b), float(g)) for a, b, g in zip(bf.A, bf.B, bf.gap)])
+    assert got == want
