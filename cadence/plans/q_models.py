@@ -14,7 +14,7 @@ from cadence.operators import attribution as AT
 from cadence.operators import models as M
 from cadence.operators import stats as S
 from cadence.operators.sequences import windows
-from cadence.plans.oracle import EVENTS_CT, REG_LINES, with_ctes
+from cadence.plans.oracle import EVENTS_CT, REG_LINES, ts_text, with_ctes
 from cadence.plans.q_cycles import events_features
 from cadence.plans.registry import query
 from cadence.plans.views import reg_lines
@@ -238,13 +238,19 @@ def u1_union_predictions(spark, sf_dir):
     return seq_predictions(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("J1_attach_keys")
+@query("J1_attach_keys", with_ctes(EVENTS_CT, """
+w AS (SELECT B, CycleTime_sec AS y, count(*) OVER (PARTITION BY split ORDER BY C, A, B
+             ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS n FROM feat)""") +
+       f"SELECT feat.A, feat.B, {ts_text('feat.C')} AS C, feat.split, w.y, feat.CycleTime_sec "
+       "FROM w JOIN feat ON w.B = feat.B WHERE w.n = 5", doubles=("y", "CycleTime_sec"))
 def j1_attach_keys(spark, sf_dir):
-    """Predictions keyed by the window's target row, joined to that row."""
-    from cadence.plans.registry import ts_text
-    p = seq_predictions(spark, sf_dir).select("B", "pred_sec")
+    """Per-window results keyed by the window's target row, joined back to
+    that row of the feature table (the payload here is the window's target,
+    which must equal the row's own)."""
+    from cadence.plans.registry import ts_text as sts
+    win = seq_windows(spark, sf_dir).select("B", "y")
     f = events_features(spark, sf_dir).select("A", "B", "C", "split", "CycleTime_sec")
-    return f.join(p, "B").withColumn("C", ts_text("C"))
+    return f.join(win, "B").select("A", "B", sts("C").alias("C"), "split", "y", "CycleTime_sec")
 
 
 @query("R10_attribution_over_time")
