@@ -18,17 +18,25 @@ from cadence.operators import stats as S
 from cadence.operators.projection import feature_columns
 from cadence.operators.sequences import last_step, scoring_window, template_row, windows
 from cadence.operators.splits import require_splits, seeded_sample
-from cadence.plans.etl import build_feature_table
+from cadence.plans.etl import add_target, build_raw_table
 from cadence.roles import ColumnRoles
 from cadence.sources import io
 
 
 def etl(spark: SparkSession, csv_path: str, roles: ColumnRoles, schema=None,
-        features_out: str | None = None, **kw) -> DataFrame:
-    """``make etl``: CSV -> feature table (optionally written partitioned by
-    split and read back, so later steps prune by split)."""
+        raw_out: str | None = None, features_out: str | None = None,
+        rule: str = "strict", max_gap: float | None = 300, **kw) -> DataFrame:
+    """``make etl``: CSV -> raw table (parsed, summarised, split) -> feature
+    table.  With ``raw_out`` the raw table is written (partitioned by split)
+    and the target is computed from the written copy: parsing and the series
+    summary run once, and later passes read only the columns they use.  With
+    ``features_out`` the feature table is written and read back."""
     raw = io.read_csv(spark, csv_path, schema, infer=schema is None)
-    feats = build_feature_table(raw, roles, **kw)
+    base = build_raw_table(raw, roles, **kw)
+    if raw_out:
+        io.write_parquet(base, raw_out)
+        base = spark.read.parquet(raw_out)
+    feats = add_target(base, roles, rule, max_gap)
     if features_out:
         io.write_parquet(feats, features_out)
         return spark.read.parquet(features_out)

@@ -16,17 +16,20 @@ from cadence.operators.splits import DEFAULT_ACCURACY, assign_time_split
 from cadence.roles import ColumnRoles
 
 
-def build_feature_table(raw: DataFrame, roles: ColumnRoles, max_gap: float | None = 300,
-                        fractions=(0.70, 0.85), accuracy: int = DEFAULT_ACCURACY,
-                        rule: str = "strict", null_len: str = "null",
-                        parse_series: bool = True) -> DataFrame:
-    """``rule``: ``strict`` (current ETL, global order, next cycle = +1, cap),
-    ``per_stream`` (first ETL: lead within the stream, no rule, no cap, NULL
-    targets kept) or ``global`` (lead in global order, no rule)."""
+def build_raw_table(raw: DataFrame, roles: ColumnRoles, fractions=(0.70, 0.85),
+                    accuracy: int = DEFAULT_ACCURACY, null_len: str = "null",
+                    parse_series: bool = True) -> DataFrame:
+    """Parsed time (P1/P2), per-row series summary (A12) and time split (G3),
+    before any target: the reference's raw table."""
     df = keep_parsed(to_wall_clock(raw, roles.time), roles.time)
     if roles.series:
         df = summarize_series_columns(df, list(roles.series), parse=parse_series, null_len=null_len)
-    df = assign_time_split(df, roles.time, fractions, accuracy)
+    return assign_time_split(df, roles.time, fractions, accuracy)
+
+
+def add_target(df: DataFrame, roles: ColumnRoles, rule: str = "strict",
+               max_gap: float | None = 300) -> DataFrame:
+    """The gap to the next cycle by ``rule`` (see ``build_feature_table``)."""
     if rule == "strict":
         return strict_next_cycle(df, roles, max_gap)
     if rule == "per_stream":
@@ -34,3 +37,14 @@ def build_feature_table(raw: DataFrame, roles: ColumnRoles, max_gap: float | Non
     if rule == "global":
         return next_row(df, roles, per_stream=False, max_gap=max_gap, drop_missing=True).drop("_rn")
     raise ValueError(f"unknown rule {rule!r}")
+
+
+def build_feature_table(raw: DataFrame, roles: ColumnRoles, max_gap: float | None = 300,
+                        fractions=(0.70, 0.85), accuracy: int = DEFAULT_ACCURACY,
+                        rule: str = "strict", null_len: str = "null",
+                        parse_series: bool = True) -> DataFrame:
+    """``rule``: ``strict`` (current ETL, global order, next cycle = +1, cap),
+    ``per_stream`` (first ETL: lead within the stream, no rule, no cap, NULL
+    targets kept) or ``global`` (lead in global order, no rule)."""
+    base = build_raw_table(raw, roles, fractions, accuracy, null_len, parse_series)
+    return add_target(base, roles, rule, max_gap)

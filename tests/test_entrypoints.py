@@ -50,3 +50,15 @@ def test_sequence_options(spark):
     r = preds.agg(F.min("pred_sec").alias("lo")).first()
     assert r.lo is not None and r.lo > -1.0          # expm1 of a prediction is > -1
     assert E.score_latest(f, R, model).count() == 1
+
+
+def test_etl_from_csv_with_raw_table(spark):
+    from cadence.sources import io
+    rows = [("m1", i, f"2024-01-01 00:{i:02d}:00", i % 2, f"[[{i},{i + 1}]]") for i in range(20)]
+    df = spark.createDataFrame(rows, "A string, B long, C string, D int, E string")
+    path = io.write_csv(df, io.scratch_path(spark, "cycles"))
+    raw_out, feat_out = io.scratch_path(spark, "raw"), io.scratch_path(spark, "feat")
+    f = E.etl(spark, path, R, schema="A string, B long, C string, D int, E string",
+              raw_out=raw_out, features_out=feat_out)
+    assert f.count() == 19 and spark.read.parquet(raw_out).count() == 20
+    assert {r.CycleTime_sec for r in f.collect()} == {60.0}
