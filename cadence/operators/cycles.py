@@ -61,14 +61,13 @@ def strict_next_cycle(df: DataFrame, roles: ColumnRoles, max_gap: float | None =
     rec = F.struct("_tsl", "_sid", "_h", *[F.col(c) for c in cols])
     head = F.struct("_tsl", "_sid", "_h", F.col(roles.time).alias("_t"),
                     F.col(roles.cycle).cast("long").alias("_c"))
-    # fan-out: a row is a candidate "last row" of its own key and a candidate
-    # "first row of the next key" of key - 1; one shuffle, combined map-side
-    fan = keyed.select(F.explode(F.array(
-        F.struct(F.col("_key").alias("k"), rec.alias("r"), F.lit(None).cast(_head_type(df, roles)).alias("h")),
-        F.struct((F.col("_key") - 1).alias("k"), F.lit(None).cast(_rec_type(keyed, cols)).alias("r"),
-                 head.alias("h")))).alias("_f"))
-    per_key = fan.groupBy(F.col("_f.k").alias("_key")).agg(
-        F.max("_f.r").alias("last"), F.min("_f.h").alias("nf"))
+    # fan-out: a row is a candidate "last row" of its own key (role 0) and a
+    # candidate "first row of the next key" of key - 1 (role 1); one shuffle,
+    # combined map-side
+    role = F.col("_role")
+    fan = keyed.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("_role"), *keyed.columns)
+    per_key = fan.groupBy((F.col("_key") - role).alias("_key")).agg(
+        F.max(F.when(role == 0, rec)).alias("last"), F.min(F.when(role == 1, head)).alias("nf"))
     valid = (F.col(f"last.{roles.cycle}").isNotNull() & F.col("nf._c").isNotNull()
              & ((F.col("nf._c") - F.col(f"last.{roles.cycle}").cast("long")) == 1))
     gap = F.when(valid, whole_second_gap(F.col(f"last.{roles.time}"), F.col("nf._t")))
@@ -79,17 +78,6 @@ def strict_next_cycle(df: DataFrame, roles: ColumnRoles, max_gap: float | None =
     return out.filter(F.col(TARGET).isNotNull())
 
 
-def _rec_type(keyed: DataFrame, cols: list[str]) -> str:
-    fields = ["_tsl", "_sid", "_h", *cols]
-    return "struct<" + ",".join(f"`{f}`:{keyed.schema[f].dataType.simpleString()}" for f in fields) + ">"
-
-
-def _head_type(df: DataFrame, roles: ColumnRoles) -> str:
-    sid = df.schema[roles.stream].dataType.simpleString() if roles.stream else "string"
-    t = df.schema[roles.time].dataType.simpleString()
-    return f"struct<_tsl:bigint,_sid:{sid},_h:bigint,_t:{t},_c:bigint>"
-
-
 def next_row(df: DataFrame, roles: ColumnRoles, per_stream: bool,
              strict: bool = False, max_gap: float | None = None,
              drop_missing: bool = False) -> DataFrame:
