@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadence.operators.models import RidgeModel, regression_metrics
-from cadence.operators.rowindex import with_stream_index
+from cadence.operators.rowindex import with_row_index
 
 
 def _stack(df: DataFrame, keep: list[str], pairs: dict[str, tuple]) -> DataFrame:
@@ -110,8 +110,12 @@ def permutation_importance(rows: DataFrame, model: RidgeModel, key: str, label:
             groups.append(F.struct(F.lit(f).alias("_g"), F.lit(r).alias("_r"), h.alias("_o"),
                                    F.col(f).cast("double").alias("_v"), *nulls))
     allp = base.select(F.explode(F.array(*groups)).alias("_x")).select("_x.*")
-    # numbered once and checkpointed: everything below reads these rows only
-    ix = with_stream_index(allp, ["_g", "_r"], ["_o"], name="_p").drop("_rn")
+    # numbered once and checkpointed: everything below reads these rows only.
+    # Every group holds the same n rows, so the place inside a group is the
+    # global position modulo n (no per-group start table).
+    n = base.count()
+    ix = (with_row_index(allp, ["_g", "_r", "_o"])
+          .withColumn("_p", F.pmod(F.col("_rn"), F.lit(n))).drop("_rn"))
     pos = ix.filter(F.col("_g") == "_pos").select("_p", label, *feats)
     donors = ix.filter(F.col("_g") != "_pos").select(F.col("_g").alias("feature"),
                                                       F.col("_r").alias("repeat"), "_p",
