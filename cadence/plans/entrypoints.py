@@ -18,6 +18,7 @@ from cadence.operators import stats as S
 from cadence.operators.projection import feature_columns
 from cadence.operators.sequences import last_step, scoring_window, template_row, windows
 from cadence.operators.splits import require_splits, seeded_sample
+from cadence.functions.timeparse import require_rows
 from cadence.plans.etl import add_target, build_raw_table
 from cadence.roles import ColumnRoles
 from cadence.sources import io
@@ -33,6 +34,7 @@ def etl(spark: SparkSession, csv_path: str, roles: ColumnRoles, schema=None,
     ``features_out`` the feature table is written and read back."""
     raw = io.read_csv(spark, csv_path, schema, infer=schema is None)
     base = build_raw_table(raw, roles, **kw)
+    require_rows(base, roles.time)          # P2: fail when no time parsed
     if raw_out:
         io.write_parquet(base, raw_out)
         base = spark.read.parquet(raw_out)

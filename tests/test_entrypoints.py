@@ -62,3 +62,12 @@ def test_etl_from_csv_with_raw_table(spark):
               raw_out=raw_out, features_out=feat_out)
     assert f.count() == 19 and spark.read.parquet(raw_out).count() == 20
     assert {r.CycleTime_sec for r in f.collect()} == {60.0}
+
+
+def test_etl_fails_without_times(spark):
+    import pytest
+    from cadence.sources import io
+    df = spark.createDataFrame([("m1", 1, "junk", 0, "[[1]]")], "A string, B long, C string, D int, E string")
+    path = io.write_csv(df, io.scratch_path(spark, "bad"))
+    with pytest.raises(ValueError):
+        E.etl(spark, path, R, schema="A string, B long, C string, D int, E string")
