@@ -45,6 +45,19 @@ def etl(spark: SparkSession, csv_path: str, roles: ColumnRoles, schema=None,
     return feats
 
 
+def etl_from_config(spark: SparkSession, cfg: dict, schema=None) -> DataFrame:
+    """``make etl`` driven by a configuration mapping (paths, roles,
+    max_gap_sec, split fractions; unlike the reference, the fractions are
+    honoured)."""
+    roles = ColumnRoles.from_config(cfg)
+    split = cfg.get("split") or {}
+    train = float(split.get("train", 0.70))
+    val = float(split.get("val", 0.15))
+    return etl(spark, cfg["csv_path"], roles, schema, raw_out=cfg.get("raw_parquet_path"),
+               features_out=cfg.get("features_parquet_path"),
+               max_gap=float(cfg.get("max_gap_sec", 90)), fractions=(train, round(train + val, 12)))
+
+
 @dataclass
 class Baselines:
     metrics: DataFrame          # (model, split, mae, rmse, r2) on val and test

@@ -20,6 +20,19 @@ class ColumnRoles:
     target: str = TARGET
     split: str = SPLIT
 
+    @classmethod
+    def from_config(cls, cfg: dict) -> "ColumnRoles":
+        """Roles from a configuration mapping with the keys
+        time_series_columns, id_column, cycle_number_column,
+        timestamp_column and good_bad_label_column.  An id of "", "none" or
+        "null" means one global stream."""
+        sid = cfg.get("id_column")
+        if sid is None or str(sid).strip().lower() in ("", "none", "null"):
+            sid = None
+        return cls(stream=sid, cycle=cfg.get("cycle_number_column"),
+                   time=cfg.get("timestamp_column", "C"), label=cfg.get("good_bad_label_column"),
+                   series=tuple(cfg.get("time_series_columns") or ()))
+
     def meta(self) -> list[str]:
         """Columns that are never features."""
         out = [c for c in (self.stream, self.cycle, self.time, self.label) if c]

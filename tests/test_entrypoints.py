@@ -71,3 +71,20 @@ def test_etl_fails_without_times(spark):
     path = io.write_csv(df, io.scratch_path(spark, "bad"))
     with pytest.raises(ValueError):
         E.etl(spark, path, R, schema="A string, B long, C string, D int, E string")
+
+
+def test_etl_from_config(spark):
+    from cadence.sources import io
+    rows = [("", i, f"1/1/2024 0:{i:02d}", 0, "[[1,2]]", "[3]") for i in range(30)]
+    df = spark.createDataFrame(rows, "A string, B long, C string, D int, E string, F string")
+    path = io.write_csv(df, io.scratch_path(spark, "cfg"))
+    cfg = {"time_series_columns": ["E", "F", "G"], "id_column": "null", "cycle_number_column": "B",
+           "timestamp_column": "C", "good_bad_label_column": "D", "csv_path": path,
+           "raw_parquet_path": io.scratch_path(spark, "raw"), "features_parquet_path": io.scratch_path(spark, "f"),
+           "split": {"train": 0.5, "val": 0.25, "test": 0.25}, "max_gap_sec": 300}
+    roles = ColumnRoles.from_config(cfg)
+    assert roles.stream is None and roles.series == ("E", "F", "G")
+    f = E.etl_from_config(spark, cfg, schema="A string, B long, C string, D int, E string, F string")
+    counts = {r.split: r["count"] for r in f.groupBy("split").count().collect()}
+    assert sum(counts.values()) == 29 and counts["train"] == 15     # fraction 0.5 honoured
+    assert "F_mean_mean" in f.columns and "G_mean_mean" not in f.columns   # missing column skipped
