@@ -39,7 +39,7 @@ def feature_columns(df: DataFrame, roles: ColumnRoles | None = None, exclude=(),
     return out[:limit] if limit else out
 
 
-def select_features(df: DataFrame, keep: list[str], features: list[str]) -> DataFrame:
+def project_features(df: DataFrame, keep: list[str], features: list[str]) -> DataFrame:
     """P3 as a projection (the scan reads only these columns)."""
     return df.select(*keep, *features)
 
