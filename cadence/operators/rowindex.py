@@ -42,7 +42,7 @@ def _input_bytes(df: DataFrame) -> int:
     while leaves.hasNext():
         raw = leaves.next().stats().sizeInBytes()
         size = raw if isinstance(raw, int) else int(raw.toString())
-        if 0 < size < (1 << 50):          # unknown leaves report a huge default
+        if 0 < size < (1 << 62):          # unknown leaves report Long.MaxValue
             total += size
     return total
 
