@@ -10,7 +10,7 @@ from cadence.roles import SPLIT, TARGET
 
 # Reference split fractions and percentile accuracy of the oracle runs.
 TRAIN_FRAC, VAL_FRAC = 0.70, 0.85
-DEFAULT_ACCURACY = 1_000_000
+DEFAULT_ACCURACY = 100_000
 
 
 def time_quantiles(df: DataFrame, time_col: str, fractions=(TRAIN_FRAC, VAL_FRAC),
