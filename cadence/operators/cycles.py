@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadence.functions.timeparse import epoch_seconds
-from cadence.operators.rowindex import RN, neighbour, with_row_index
+from cadence.operators.rowindex import RN, neighbour, row_hash, with_row_index
 from cadence.roles import NEXT_TS, TARGET, ColumnRoles
 
 
@@ -56,7 +56,7 @@ def strict_next_cycle(df: DataFrame, roles: ColumnRoles, max_gap: float | None =
     tsl = epoch_seconds(roles.time)
     sid = F.col(roles.stream) if roles.stream else F.lit(None).cast("string")
     keyed = df.select(order_key(roles).alias("_key"), tsl.alias("_tsl"), sid.alias("_sid"),
-                      F.xxhash64(*cols).alias("_h"), *cols)
+                      row_hash(df).alias("_h"), *cols)
     # order inside a key: whole seconds, stream id, then a hash of the whole row
     rec = F.struct("_tsl", "_sid", "_h", *[F.col(c) for c in cols])
     head = F.struct("_tsl", "_sid", "_h", F.col(roles.time).alias("_t"),

@@ -33,6 +33,14 @@ def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
+def row_hash(df: DataFrame) -> Column:
+    """64-bit hash of a whole row (map columns, which Spark cannot hash, are
+    left out): the tie-break that makes an order total and reproducible."""
+    from pyspark.sql.types import MapType
+    cols = [F.col(f.name) for f in df.schema.fields if not isinstance(f.dataType, MapType)]
+    return F.xxhash64(*cols) if cols else F.lit(0).cast("long")
+
+
 def _input_bytes(df: DataFrame) -> int:
     """Bytes of the plan's leaf inputs (file sizes for scans).  The root's
     estimate is not used: without cost-based statistics Spark multiplies the
@@ -75,7 +83,7 @@ def with_row_index(df: DataFrame, order: list, name: str = RN,
     n = num_partitions or range_partitions(df)
     keys = _cols(order)
     if tiebreak:
-        df = df.withColumn("_tb", F.xxhash64(*[F.col(c) for c in df.columns]))
+        df = df.withColumn("_tb", row_hash(df))
         keys = keys + [F.col("_tb")]
     ranged = (df.repartitionByRange(n, *keys)
                 .sortWithinPartitions(*keys)

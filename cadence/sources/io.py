@@ -102,5 +102,8 @@ def round_trip(df: DataFrame, path: str) -> DataFrame:
 def fingerprint(df: DataFrame) -> DataFrame:
     """Content fingerprint, independent of row order and file layout:
     XOR of a 64-bit hash of every row, and the row count."""
-    h = F.xxhash64(*[F.col(c) for c in df.columns])
+    from pyspark.sql.types import MapType
+    cols = [F.array_sort(F.map_entries(F.col(f.name))) if isinstance(f.dataType, MapType) else F.col(f.name)
+            for f in df.schema.fields]          # a map as its sorted entries (hashable, canonical)
+    h = F.xxhash64(*cols)
     return df.agg(F.bit_xor(h).alias("fingerprint"), F.count(F.lit(1)).alias("rows"))

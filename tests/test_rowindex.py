@@ -57,3 +57,8 @@ def test_neighbour_respects_stream(spark):
     ix = with_row_index(df, ["A", "B"])
     out = {(r.A, r.B): r.next_v for r in neighbour(ix, ["v"], 1, "next_", same=["A"]).collect()}
     assert out[("a", 2)] is None and out[("a", 0)] == 1.0 and out[("b", 1)] is None
+
+
+def test_index_with_map_column(spark):
+    df = spark.createDataFrame([(i, {"k": i}) for i in range(10)], "B long, m map<string,long>")
+    assert sorted(r._rn for r in with_row_index(df, ["B"]).collect()) == list(range(10))
