@@ -2,7 +2,8 @@
 
 Each entry is a function ``(spark, sf_dir) -> DataFrame`` that reads the
 whole driver tables, plus (where SQL can say it) an equivalent DuckDB query
-over the same tables.  Double columns are rounded to 8 significant digits on both sides.
+over the same tables.  Double columns are rounded to 8 significant digits
+on both sides.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from cadence.plans.oracle import rounded
 
-DIGITS = 6
 SIG_DIGITS = int(os.environ.get("CADENCE_SIG_DIGITS", "8"))
 
 
@@ -36,7 +36,7 @@ def round_significant(x, digits: int = SIG_DIGITS):
     """Round to ``digits`` significant digits with plain IEEE operations
     (floor(x * 10^k + 0.5) / 10^k, k from log10|x|).  The oracle SQL does the
     same operations, so the two engines give bit-identical doubles whenever
-    their raw results agree to ~1e-13 relative.  -0.0 becomes 0.0; NaN and
+    their raw results agree to about 1e-9 relative (8 digits).  -0.0 becomes 0.0; NaN and
     infinities pass through."""
     k = F.lit(digits - 1) - F.floor(F.log10(F.abs(x)))
     scale = F.pow(F.lit(10.0), k)
@@ -47,7 +47,7 @@ def round_significant(x, digits: int = SIG_DIGITS):
              .otherwise(r))
 
 
-def finish(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+def finish(df: DataFrame) -> DataFrame:
     """Round doubles (and -0.0 -> 0.0) so results compare across engines."""
     cols = []
     for f in df.schema.fields:
@@ -58,7 +58,7 @@ def finish(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     return df.select(*cols)
 
 
-def ts_text(c) -> "F.Column":
+def ts_text(c):
     """Timestamp as text with microseconds (engine-neutral output type)."""
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
 
