@@ -98,10 +98,6 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> Da
     return out.select("feature", "p", value.alias("value"))
 
 
-# describe() row labels, in pandas order.
-DESCRIBE_STATS = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")
-
-
 def describe(df: DataFrame, columns: list[str], exact: bool = True,
              accuracy: int = 10_000) -> DataFrame:
     """Pandas ``describe().T``: one row per column with count, mean,

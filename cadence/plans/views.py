@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from cadence.roles import ColumnRoles
 
 EVENTS_ROLES = ColumnRoles(stream="A", cycle="B", time="C", label="D", series=())
-CONV_ROLES = ColumnRoles(stream="A", cycle="B", time="C", label="D", series=())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -49,3 +49,10 @@ def test_dependence_pairs(spark):
     rows = AT.linear_attribution_rows(df.withColumn("k", F.monotonically_increasing_id()), model, df, ["k"])
     pairs = AT.dependence_pairs(rows, AT.linear_attribution(df, model, df), top=1)
     assert {r.feature for r in pairs.collect()} == {"x1"} and pairs.count() == 20
+
+
+def test_small_helpers(spark):
+    from cadence.functions.arrays import ch_len
+    assert M.class_weight_at(1) == pytest.approx(0.01) and M.class_weight_at(9) == pytest.approx(0.05)
+    df = spark.createDataFrame([([1.0, 2.0],), (None,)], "x array<double>")
+    assert [r.n for r in df.select(ch_len(F.col("x")).alias("n")).collect()] == [2, None]
