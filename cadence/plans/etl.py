@@ -43,8 +43,11 @@ def build_feature_table(raw: DataFrame, roles: ColumnRoles, max_gap: float | Non
                         fractions=(0.70, 0.85), accuracy: int = DEFAULT_ACCURACY,
                         rule: str = "strict", null_len: str = "null",
                         parse_series: bool = True) -> DataFrame:
-    """``rule``: ``strict`` (current ETL, global order, next cycle = +1, cap),
-    ``per_stream`` (first ETL: lead within the stream, no rule, no cap, NULL
-    targets kept) or ``global`` (lead in global order, no rule)."""
+    """``rule``: ``strict`` (current ETL: global order, next cycle = +1,
+    rows without a valid target dropped), ``per_stream`` (first ETL: lead
+    within the stream, no sequence rule, NULL targets kept) or ``global``
+    (lead in global order, no rule, rows without target dropped).  The cap
+    ``max_gap`` applies to every rule; ``None`` keeps every gap (the first
+    ETL had no cap)."""
     base = build_raw_table(raw, roles, fractions, accuracy, null_len, parse_series)
     return add_target(base, roles, rule, max_gap)
