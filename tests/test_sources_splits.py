@@ -59,3 +59,18 @@ def test_etl_on_text_rows(spark):
     assert ref[3].E_len_mean == -1.0 and ref[3].E_std_mean == 0.0
     per = {r.B: r.CycleTime_sec for r in build_feature_table(raw, roles, rule="per_stream", max_gap=None).collect()}
     assert per[4] is None and per[3] == 30.0
+
+
+def test_scoring_input_json_array_and_csv(spark):
+    import json
+    import os
+    base = io.scratch_path(spark, "score")
+    local = base.replace("file:", "")
+    os.makedirs(local, exist_ok=True)
+    with open(os.path.join(local, "rows.json"), "w") as fh:
+        json.dump([{"A": "m1", "B": 1, "value": 2.5}, {"A": "m1", "B": 2, "value": None}], fh)
+    df = io.read_scoring_input(spark, base, "A string, B long, value double", fmt="json", multiline=True)
+    assert sorted((r.B, r.value) for r in df.collect()) == [(1, 2.5), (2, None)]
+    path = io.write_csv(df, io.scratch_path(spark, "score_csv"))
+    back = io.read_scoring_input(spark, path, "A string, B long, value double")
+    assert back.count() == 2
