@@ -59,6 +59,8 @@ def test_etl_on_text_rows(spark):
     assert ref[3].E_len_mean == -1.0 and ref[3].E_std_mean == 0.0
     per = {r.B: r.CycleTime_sec for r in build_feature_table(raw, roles, rule="per_stream", max_gap=None).collect()}
     assert per[4] is None and per[3] == 30.0
+    glob = {r.B: r.CycleTime_sec for r in build_feature_table(raw, roles, rule="global", max_gap=None).collect()}
+    assert glob == {1: 60.0, 2: 150.0, 3: 30.0}        # the last row has no next row
 
 
 def test_scoring_input_json_array_and_csv(spark):
