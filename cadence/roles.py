@@ -12,6 +12,7 @@ CONFIG_KEYS = ("time_series_columns", "id_column", "cycle_number_column", "times
                "good_bad_label_column", "csv_path", "raw_parquet_path", "features_parquet_path",
                "split", "max_gap_sec")
 
+# Names of the derived columns (target, split, next time).
 TARGET = "CycleTime_sec"
 SPLIT = "split"
 NEXT_TS = "next_ts"
