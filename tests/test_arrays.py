@@ -19,6 +19,7 @@ CELLS = [
     ("[['3', None]]", [[3.0]]),
     ("[[true, false, 2]]", [[1.0, 0.0, 2.0]]),
     ("[[True, 1]]", [[1.0, 1.0]]),
+    ('[["inf", "-Infinity", "1e3", " 2 "]]', [[float("inf"), float("-inf"), 1000.0, 2.0]]),
     ("junk", None),
     ("   ", None),
     ('{"a":1}', None),
