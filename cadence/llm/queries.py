@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from cadence.llm import q_lines
+from cadence.llm import q_lines, q_tokens
 
 QUERIES = {
+    "op1_token_records": q_tokens.op1_token_records,
     "op6_line_dedup": q_lines.op6_line_dedup,
 }
 ORACLE_SQL = {
