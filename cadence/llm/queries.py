@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from cadence.llm import q_lines, q_tokens
+from cadence.llm import q_lines, q_text, q_tokens
 
 QUERIES = {
     "op1_token_records": q_tokens.op1_token_records,
+    "op4_pii": q_text.op4_pii,
     "op6_line_dedup": q_lines.op6_line_dedup,
 }
 ORACLE_SQL = {
