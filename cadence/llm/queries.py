@@ -8,6 +8,7 @@ QUERIES = {
     "op1_token_records": q_tokens.op1_token_records,
     "op4_pii": q_text.op4_pii,
     "op6_line_dedup": q_lines.op6_line_dedup,
+    "op7_pieces": q_tokens.op7_pieces,
 }
 ORACLE_SQL = {
     "op6_line_dedup": q_lines.SQL,
