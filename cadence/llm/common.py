@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def text_slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
     """Row ranges of ``texts`` with about ``limit`` characters each (one row at least)."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     lo = total = 0
     for i, n in enumerate(sizes):
         if total and total + n > limit:

@@ -9,6 +9,7 @@ QUERIES = {
     "op4_pii": q_text.op4_pii,
     "op6_line_dedup": q_lines.op6_line_dedup,
     "op7_pieces": q_tokens.op7_pieces,
+    "op8_language": q_text.op8_language,
 }
 ORACLE_SQL = {
     "op6_line_dedup": q_lines.SQL,
