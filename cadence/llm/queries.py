@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from cadence.llm import q_lines, q_text, q_tokens
+from cadence.llm import q_lines, q_near, q_text, q_tokens
 
 QUERIES = {
     "op1_token_records": q_tokens.op1_token_records,
     "op4_pii": q_text.op4_pii,
+    "op5_minhash": q_near.op5_minhash,
     "op6_line_dedup": q_lines.op6_line_dedup,
     "op7_pieces": q_tokens.op7_pieces,
     "op8_language": q_text.op8_language,
