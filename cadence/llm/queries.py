@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadence.llm import q_lines, q_near, q_text, q_tokens
+from cadence.llm import q_lines, q_near, q_text, q_tokens, q_vectors
 
 QUERIES = {
     "op1_token_records": q_tokens.op1_token_records,
@@ -11,7 +11,9 @@ QUERIES = {
     "op6_line_dedup": q_lines.op6_line_dedup,
     "op7_pieces": q_tokens.op7_pieces,
     "op8_language": q_text.op8_language,
+    "op9_top_k": q_vectors.op9_top_k,
 }
 ORACLE_SQL = {
     "op6_line_dedup": q_lines.SQL,
+    "op9_top_k": q_vectors.TOP_K_SQL,
 }
