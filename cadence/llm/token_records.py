@@ -31,8 +31,11 @@ HEAD = struct.Struct("<QI")
 META = struct.Struct("<qB")
 TAIL = struct.Struct("<I")
 END = b"\n"
-#: Chunks of text whose ids a task remembers.
-CACHE = 800_000
+#: ASCII punctuation, and a character that is a blank to some versions of Unicode.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+ODD = "\u180e"
+#: Words that a worker remembers with their ids.
+CACHE = 900_000
 
 
 def masked_crc(data: bytes) -> int:
@@ -61,58 +64,94 @@ def read_frame(data, at: int) -> tuple[int, np.ndarray, int]:
     return doc_id, ids.astype("<u4"), lo + n + TAIL.size + len(END)
 
 
-class ChunkEncoder:
-    """Ids of a text as little-endian bytes, through the tokenizers library.
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that a byte-level vocabulary writes for each byte: printable Latin-1
+    characters stand for themselves, the others follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    A byte-level vocabulary splits a text before each single blank or around each single newline
-    that stands between two non-blank characters, whatever stands further off. So such chunks
-    are encoded once, in batches, and remembered; all other texts go to the library whole.
+
+class Irregular(Exception):
+    """Blanks next to blanks: the text is encoded whole."""
+
+
+class Words(dict):
+    """Ids of words as little-endian bytes, through the tokenizers library; remembers them.
+
+    ``lead`` stands before each word: a blank, or nothing at the start of a line. A run of letters
+    is one word to the library's model, and a run of ASCII punctuation behind it another.
     """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.tok = Tokenizer.from_file(path)
-        self.width = 2 if self.tok.get_vocab_size() <= 0x10000 else 4
-        self.kind = f"<u{self.width}"
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.newline = self.raw("\n")
+    def __init__(self, tok, lead: str):
+        self.tok, self.model, self.lead = tok, tok.model, lead
+        self.kind = "<u2" if tok.get_vocab_size() <= 0x10000 else "<u4"
+        self.letters = _byte_letters()
+        self.marks: dict[str, bytes] = {}
 
     def raw(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def plain(self, text: str) -> bool:
-        """Only single blanks and newlines, each between two other characters."""
-        words = text.split()
-        gaps = text.count(" ") + text.count("\n")
-        return (len(words) - 1 == gaps and sum(map(len, words)) + gaps == len(text)
-                and "\u180e" not in text and not any(s in text for s in self.special))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        chunked: list[list[str] | None] = []
-        for t in texts:
-            chunked.append(t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-                           if "\0" not in t and self.plain(t) else None)
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        fresh = list({w for words in chunked if words for w in words if w not in known})
-        for lo in range(0, len(fresh), 4096):
-            part = fresh[lo:lo + 4096]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = np.asarray(e.ids, self.kind).tobytes()
-        look = known.__getitem__
-        return [self.raw(t) if words is None else b"".join(map(look, words))
-                for t, words in zip(texts, chunked)]
-
-
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
-def encoder(path: str) -> ChunkEncoder:
+    def __missing__(self, word: str) -> bytes:
+        if not word or word[0] in ODD or word[-1] in ODD or word[0].isspace() or word[-1].isspace():
+            raise Irregular
+        core = word.rstrip(PUNCTUATION)
+        if not core.isalpha():
+            ids = self.raw(self.lead + word)
+        elif core != word:
+            mark = word[len(core):]
+            if mark not in self.marks:
+                self.marks[mark] = self.raw(mark)
+            ids = self[core] + self.marks[mark]
+        else:
+            data = (self.lead + word).encode().decode("latin-1").translate(self.letters)
+            ids = np.asarray([t.id for t in self.model.tokenize(data)], self.kind).tobytes()
+        self[word] = ids
+        return ids
+
+
+class TextEncoder:
+    """Ids of a text as little-endian bytes.
+
+    A byte-level vocabulary splits a text before each single blank and around each single newline
+    that stands between two other characters, whatever stands further off. So the words of such
+    texts are encoded once; texts with other blanks go to the library whole.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+        tok = Tokenizer.from_file(path)
+        self.special = [t.content for t in tok.get_added_tokens_decoder().values()]
+        self.first, self.spaced = Words(tok, ""), Words(tok, " ")
+        self.kind = self.first.kind
+        self.width = int(self.kind[-1])
+        self.newline = self.first.raw("\n")
+
+    def encode(self, text: str) -> bytes:
+        for words in (self.first, self.spaced):
+            if len(words) > CACHE or len(words.marks) > CACHE:
+                words.clear()
+                words.marks.clear()
+        if any(s in text for s in self.special):
+            return self.first.raw(text)
+        try:
+            lines = []
+            for line in text.split("\n"):
+                words = line.split(" ")
+                lines.append(b"".join([self.first[words[0]],
+                                       *map(self.spaced.__getitem__, words[1:])]))
+            return self.newline.join(lines)
+        except Irregular:
+            return self.first.raw(text)
+
+
+_ENCODERS: dict[str, TextEncoder] = {}
+
+
+def encoder(path: str) -> TextEncoder:
     """One for each worker process and vocabulary."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
+        _ENCODERS[path] = TextEncoder(path)
     return _ENCODERS[path]
 
 
@@ -123,9 +162,8 @@ def _frames(path: str, end_id: int):
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                ids = enc.encode(part.column("t").to_pylist())
-                out = [frame(k, enc.width, x + end)
-                       for k, x in zip(part.column("k").to_pylist(), ids)]
+                out = [frame(k, enc.width, enc.encode(t) + end) for k, t
+                       in zip(part.column("k").to_pylist(), part.column("t").to_pylist())]
                 yield pa.record_batch([pa.array([shard] * len(out), pa.int32()),
                                        pa.array(range(seq, seq + len(out)), pa.int64()),
                                        pa.array(out, pa.binary())], names=["shard", "seq", "frame"])
@@ -144,7 +182,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0,
     their text and each get a record. An empty table gives no record. Other columns are not read.
 
     Scale: the texts move once, to the tasks of their ranges; a task streams its range, so only a
-    batch and the remembered chunks are in memory. The index takes one pass over the files.
+    batch and the remembered words are in memory. The index takes one pass over the files.
     """
     spark = docs.sparkSession
     d = docs.select(id_key(doc_id).alias("k"),
