@@ -12,6 +12,7 @@ QUERIES = {
     "op7_pieces": q_tokens.op7_pieces,
     "op8_language": q_text.op8_language,
     "op9_top_k": q_vectors.op9_top_k,
+    "op10_embedding_dedup": q_vectors.op10_embedding_dedup,
 }
 ORACLE_SQL = {
     "op6_line_dedup": q_lines.SQL,
