@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from cadence.llm import q_lines, q_near, q_text, q_tokens, q_vectors
+from cadence.llm import q_lines, q_mixing, q_near, q_text, q_tokens, q_vectors
 
 QUERIES = {
     "op1_token_records": q_tokens.op1_token_records,
+    "op2_mix_sources": q_mixing.op2_mix_sources,
     "op4_pii": q_text.op4_pii,
     "op5_minhash": q_near.op5_minhash,
     "op6_line_dedup": q_lines.op6_line_dedup,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_embedding_dedup": q_vectors.op10_embedding_dedup,
 }
 ORACLE_SQL = {
+    "op2_mix_sources": q_mixing.SQL,
     "op6_line_dedup": q_lines.SQL,
     "op9_top_k": q_vectors.TOP_K_SQL,
 }
