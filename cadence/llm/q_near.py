@@ -1,12 +1,19 @@
-"""Query of the near-duplicate operator on texts."""
+"""Queries of the operators that compare texts: near duplicates, repeated strings."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cadence.llm.minhash import near_duplicates
+from cadence.llm.substring_dedup import substring_dedup
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.withColumn("kept", F.sha2("kept", 256)).withColumnRenamed("kept", "kept_sha256")

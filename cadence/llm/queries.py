@@ -7,6 +7,7 @@ from cadence.llm import q_lines, q_mixing, q_near, q_text, q_tokens, q_vectors
 QUERIES = {
     "op1_token_records": q_tokens.op1_token_records,
     "op2_mix_sources": q_mixing.op2_mix_sources,
+    "op3_substring_dedup": q_near.op3_substring_dedup,
     "op4_pii": q_text.op4_pii,
     "op5_minhash": q_near.op5_minhash,
     "op6_line_dedup": q_lines.op6_line_dedup,
