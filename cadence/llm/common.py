@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
+from functools import wraps
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -41,6 +44,30 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session, so that queries run wherever they
+    were started from. Where it is installed on the executors this is not needed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_cadence_sent", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    path = f"{tempfile.mkdtemp(prefix='cadence-')}/{package.name}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(path)
+    sc._cadence_sent = True
+
+
+def shipped(query: Callable) -> Callable:
+    """``query(spark, ...)`` after ``ship(spark)``."""
+    @wraps(query)
+    def run(spark: SparkSession, *rest):
+        ship(spark)
+        return query(spark, *rest)
+    return run
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a scratch table and read it again: later steps do not repeat its work,
     and losing an executor loses none of it."""

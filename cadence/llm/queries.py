@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cadence.llm import q_lines, q_mixing, q_near, q_text, q_tokens, q_vectors
+from cadence.llm.common import shipped
 
 QUERIES = {
     "op1_token_records": q_tokens.op1_token_records,
@@ -16,6 +17,7 @@ QUERIES = {
     "op9_top_k": q_vectors.op9_top_k,
     "op10_embedding_dedup": q_vectors.op10_embedding_dedup,
 }
+QUERIES = {name: shipped(query) for name, query in QUERIES.items()}
 ORACLE_SQL = {
     "op2_mix_sources": q_mixing.SQL,
     "op6_line_dedup": q_lines.SQL,
