@@ -101,26 +101,31 @@ class Parser:
             c = chr(i)
             if c.isalpha():
                 self.symbol[i] = own.get(c.lower(), self.other)
-        tables, self.roots, self.bits, base = [], [], [], 0
+        tables, self.idle, self.bits, base = [], [], [], 0
         for name in self.names:
             symbols = self._symbols(training[name])
             table = self._table(suffix_automaton(symbols.tolist()), base)
-            self.roots.append(base * self.width)
-            self.bits.append(math.log2(max(2, len(symbols))))
             base += len(table)
+            self.idle.append((base - 1) * self.width)
+            self.bits.append(math.log2(max(2, len(symbols))))
             tables.append(table)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int64)
 
     def _table(self, step: list[dict[int, int]], base: int) -> np.ndarray:
-        """Next state times ``width``, doubled, plus 1 where a phrase ends before the symbol."""
-        out = np.full((len(step), self.width), -1, np.int64)
+        """Next state times ``width``, doubled, plus 1 where a phrase begins with the symbol.
+
+        The last row is where no phrase is open: every symbol begins one there, and one that the
+        training text lacks is a phrase of its own and leads there.
+        """
+        idle = len(step)
+        out = np.full((idle + 1, self.width), -1, np.int64)
         for s, nexts in enumerate(step):
             for c, t in nexts.items():
                 out[s, c] = t
-        broken = out < 0
-        out = np.where(broken, np.maximum(out[0], 0), out)
-        out = ((out + base) * self.width) * 2 + broken
-        out[:, self.pad] = base * self.width * 2
+        begins = out < 0
+        out = np.where(begins, np.where(out[0] < 0, idle, out[0]), out)
+        out = ((out + base) * self.width) * 2 + begins
+        out[:, self.pad] = (base + idle) * self.width * 2
         return out.astype(np.int32 if out.max(initial=0) < 1 << 31 else np.int64)
 
     def _symbols(self, text: str) -> np.ndarray:
@@ -144,8 +149,7 @@ class Parser:
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(texts, languages) phrase counts, and the number of symbols of each text.
 
-        A text is parsed in stretches, each from the start state; a stretch that ends within a
-        phrase counts that phrase too.
+        A text is parsed in stretches; no phrase runs over their ends.
         """
         symbols, sizes = self._normalised(texts)
         rows = -(-sizes // STRETCH)
@@ -155,9 +159,9 @@ class Parser:
         grid[place % STRETCH, np.repeat(starts, sizes) + place // STRETCH] = symbols
         owner = np.repeat(np.arange(len(texts)), rows)
         out = np.zeros((len(texts), len(self.names)))
-        for lang, root in enumerate(self.roots):
-            state = np.full(grid.shape[1], root, self.table.dtype)
-            count = np.ones(grid.shape[1], np.int32)
+        for lang, idle in enumerate(self.idle):
+            state = np.full(grid.shape[1], idle, self.table.dtype)
+            count = np.zeros(grid.shape[1], np.int32)
             for column in grid:
                 step = self.table.take(state + column)
                 count += step & 1
