@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadence.llm.common import arrow_schema, id_back, id_key, stage, stage_freeing, text_slices
@@ -25,26 +26,29 @@ BANDS, ROWS = 42, 6
 COORDS = BANDS * ROWS
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 1000
-SEEDS = mix(np.arange(1, 2 * COORDS + 1, dtype=U) * U(0x9E3779B97F4A7C15))
+#: Coordinates of the wide sketches, which only members of mixed groups get; what agreement may
+#: fall short of the threshold, in standard deviations.
+WIDE, DEVIATIONS = 2048, 5
+SEEDS = mix(np.arange(1, 2 * WIDE + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 EMPTY = U((1 << 64) - 1)
 
 
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """(sets, COORDS) coordinates; rows of empty sets stay EMPTY."""
-    out = np.full((len(sets), COORDS), EMPTY, U)
+def sketches(sets: list[np.ndarray], coords: int = COORDS) -> np.ndarray:
+    """(sets, coords) coordinates; rows of empty sets stay EMPTY."""
+    out = np.full((len(sets), coords), EMPTY, U)
     flat = out.ravel()
     items = np.concatenate([*sets, np.zeros(0, U)])
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    for i in range(2 * COORDS):
+    for i in range(2 * coords):
         if not len(items):
             break
         h = mix(items ^ SEEDS[i])
         value = (h & U(0xFFFFFFFF)) | U(i << 32)
-        if i < COORDS:
-            bins = (((h >> U(32)) * U(COORDS)) >> U(32)).astype(np.int64)
+        if i < coords:
+            bins = (((h >> U(32)) * U(coords)) >> U(32)).astype(np.int64)
         else:
-            bins = np.full(len(items), i - COORDS)
-        np.minimum.at(flat, owner * COORDS + bins, value)  # earlier rounds have smaller values
+            bins = np.full(len(items), i - coords)
+        np.minimum.at(flat, owner * coords + bins, value)  # earlier rounds have smaller values
         if i < 8 or i % 16 == 0:
             open_ = (out == EMPTY).any(axis=1)[owner]
             items, owner = items[open_], owner[open_]
@@ -59,7 +63,7 @@ def band_keys(coords: np.ndarray) -> np.ndarray:
     return keys
 
 
-SIGNED = "k long, n long, s1 long, s2 long, bands array<long>, sketch binary"
+SIGNED = "k long, n long, s1 long, s2 long, bands array<long>"
 
 
 def _sign(width: int):
@@ -75,10 +79,8 @@ def _sign(width: int):
                     pa.array(band_keys(coords).view(np.int64).ravel()))
                 sums = [(len(s), s.sum(dtype=U), mix(s ^ SEEDS[0]).sum(dtype=U)) for s in sets]
                 n, s1, s2 = (np.array(c, U).view(np.int64) for c in zip(*sums))
-                low = [r.tobytes() for r in (coords & U(255)).astype(np.uint8)]
                 yield pa.record_batch([b.column("k").slice(lo, hi - lo), pa.array(n), pa.array(s1),
-                                       pa.array(s2), bands, pa.array(low, pa.binary())],
-                                      schema=schema)
+                                       pa.array(s2), bands], schema=schema)
     return run
 
 
@@ -111,49 +113,85 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> Data
             .mapInArrow(_verify(percent, width), "a long, b long"))
 
 
-def _agree(least: float):
-    """Pairs of two blocks of one bucket, of different components, whose sketches agree enough."""
+def _widen(width: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("t").cast(pa.binary())
+            for lo, hi in text_slices(texts, 1 << 20):
+                rows = sketches(shingle_sets(texts.slice(lo, hi - lo).to_pylist(), width), WIDE)
+                low = [r.tobytes() for r in (rows & U(255)).astype(np.uint8)]
+                yield pa.record_batch([b.column("k").slice(lo, hi - lo), pa.array(low, pa.binary())],
+                                      names=["k", "wide"])
+    return run
+
+
+def _agree(percent: int, across: bool):
+    """Pairs of two blocks of one group, of different components, whose wide sketches agree to
+    within ``DEVIATIONS`` of the threshold; ``across``: only of different hubs."""
+    p = percent / 100
+    least = WIDE * p - DEVIATIONS * (WIDE * p * (1 - p)) ** 0.5
+
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("k", "ascending")])
-        k, comp = (table.column(c).to_numpy() for c in ("k", "comp"))
-        side = table.column("side").to_numpy()
-        rows = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8)
-        rows = rows.reshape(len(k), COORDS)
-        left, right = side != 1, side != 0
-        out_a, out_b = [], []
-        for i in np.flatnonzero(left):
-            other = np.flatnonzero(right & (comp != comp[i]) & ((side != 2) | (k > k[i])))
-            near = other[(rows[other] == rows[i]).sum(axis=1) >= least * COORDS]
+        k, comp, hub, side = (table.column(c).to_numpy() for c in ("k", "comp", "hub", "side"))
+        rows = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint8)
+        rows = rows.reshape(len(k), WIDE)
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in np.flatnonzero(side != 1):
+            fit = (side != 0) & (comp != comp[i]) & ((side != 2) | (k > k[i]))
+            if across:
+                fit &= hub != hub[i]
+            other = np.flatnonzero(fit)
+            # an eighth of the coordinates first, at six deviations
+            eighth = rows[other, :WIDE // 8] == rows[i, :WIDE // 8]
+            other = other[eighth.sum(axis=1) >= WIDE * p / 8 - (WIDE * p - least) / 8 ** 0.5 * 1.2]
+            near = other[(rows[other] == rows[i]).sum(axis=1) >= least]
             out_a.append(np.full(len(near), k[i]))
             out_b.append(k[near])
-        none = [np.zeros(0, np.int64)]
-        return pa.table({"a": np.concatenate(out_a + none), "b": np.concatenate(out_b + none)})
+        return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
     return run
 
 
-def _rest(members: DataFrame, comp: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+def _rest(members: DataFrame, star: DataFrame, comp: DataFrame, texts: DataFrame, percent: int,
+          width: int) -> DataFrame:
     """Candidate pairs that share a bucket but no component yet.
 
-    A bucket is cut into blocks of about ``BLOCK`` members; each pair of blocks is one group of a
-    bounded size. Sketch agreement removes pairs more than five standard deviations under the
-    threshold.
+    Documents of one hub are compared in the hub's group, those of different hubs that share a
+    bucket in the bucket. Groups of one component need nothing. The others are cut into blocks of
+    about ``BLOCK``; each pair of blocks is one group of a bounded size. Agreement of wide sketches
+    leaves the pairs near or above the threshold, which are verified on whole sets.
     """
-    m = (members.join(comp, members.k == comp.id, "left")
-         .select("key", "k", F.coalesce("component", "k").alias("comp")))
-    mixed = (m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                  F.count("*").alias("m")).filter("lo != hi"))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    m = (m.join(mixed.select("key", blocks.alias("blocks")), "key")
-         .withColumn("own", F.pmod(F.xxhash64("k", "key"), F.col("blocks")).cast("int"))
-         .join(signed.select("k", "sketch"), "k"))
-    m = m.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = (F.when(F.col("own") == F.col("with"), 2).when(F.col("own") < F.col("with"), 0)
-            .otherwise(1))
-    m = m.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"),
-                 side.alias("side"), "k", "comp", "sketch")
-    p = percent / 100
-    least = p - 5 * (p * (1 - p) / COORDS) ** 0.5
-    return (m.groupBy("key", "i", "j").applyInArrow(_agree(least), "a long, b long")
+    nodes = (members.select("k").distinct().join(comp, F.col("k") == F.col("id"), "left")
+             .join(star, F.col("k") == F.col("a"), "left")
+             .select("k", F.coalesce("component", "k").alias("comp"),
+                     F.coalesce("b", "k").alias("hub")))
+    nodes = stage(nodes, "nodes")
+    shared = stage(members.select("key", "k").join(nodes, "k"), "bucket-nodes")
+
+    def mixed(m: DataFrame, across: bool) -> DataFrame:
+        ends = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+                                    F.min("hub").alias("u"), F.max("hub").alias("v"),
+                                    F.count("*").alias("m"))
+        ends = ends.filter("lo != hi and u != v" if across else "lo != hi")
+        return m.join(ends.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")),
+                      "key")
+
+    parts = [(stage(mixed(nodes.withColumn("key", F.col("hub")), False), "hub-groups"), False),
+             (stage(mixed(shared, True), "mixed-buckets"), True)]
+    ids = parts[0][0].select("k").union(parts[1][0].select("k")).distinct()
+    wide = stage(texts.join(ids, "k", "left_semi").mapInArrow(_widen(width), "k long, wide binary")
+                 .groupBy("k").agg(F.min("wide").alias("wide")), "wide-sketches")
+    pairs = []
+    for m, across in parts:
+        m = (m.withColumn("own", F.pmod(F.xxhash64("k", "key"), F.col("blocks")).cast("int"))
+             .join(wide, "k")
+             .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+        side = (F.when(F.col("own") == F.col("with"), 2).when(F.col("own") < F.col("with"), 0)
+                .otherwise(1))
+        m = m.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"),
+                     side.alias("side"), "k", "comp", "hub", "wide")
+        pairs.append(m.groupBy("key", "i", "j").applyInArrow(_agree(percent, across),
+                                                             "a long, b long"))
+    return (pairs[0].union(pairs[1])
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
@@ -183,9 +221,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     member_of = stage(known.select("k", "s1", "s2").join(classes, ["s1", "s2"])
                       .select("k", "rep").distinct(), "classes")
     reps = (known.join(classes, ["s1", "s2"]).filter("k = rep")
-            .select("k", "bands", "sketch").dropDuplicates(["k", "sketch"]))
-    reps = stage(reps, "representatives")
-    bands = reps.select("k", F.explode("bands").alias("key")).distinct()
+            .select("k", "bands").distinct())
+    bands = stage(reps.select("k", F.explode("bands").alias("key")).distinct(), "bands")
     sizes = bands.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     members = stage_freeing(bands.join(sizes, "key"), "members")
 
@@ -201,7 +238,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     first = stage(_links(star, texts, percent, width), "links-to-hubs")
     same = member_of.filter("k != rep").select(F.col("k").alias("a"), F.col("rep").alias("b"))
     # ids that repeat may stand in several classes: their classes are linked through them
-    rest = _rest(members, components(first, "a", "b"), reps, percent)
+    rest = _rest(members, star, components(first, "a", "b"), texts, percent, width)
     second = stage(_links(stage(rest, "pairs"), texts, percent, width), "links-of-rest")
     comp = components(first.union(second).union(same), "a", "b")
     out = signed.select("k", "n").join(comp, signed.k == comp.id, "left").select(
@@ -209,3 +246,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return out.select(id_back(F.col("k")).alias("doc_id"), F.col("n").alias("n_shingles"),
                       id_back(F.col("c")).alias("component_id"),
                       (F.col("k") == F.col("c")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 85,
+             width: int = 5) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates, the one of the smallest id.
+
+    Of rows that repeat an id one stays: that whose text has the smallest hash.
+    """
+    near = near_duplicates(docs, text, doc_id, percent, width)
+    kept = near.filter("kept").select(id_key("doc_id").alias("k")).distinct()
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                    id_key(doc_id).alias("k"), F.xxhash64(F.col(f"`{text}`")).alias("h"))
+    first = F.row_number().over(W.partitionBy("k").orderBy("h"))
+    return d.withColumn("n", first).filter("n = 1").join(kept, "k").select("row.*")
