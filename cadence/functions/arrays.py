@@ -23,12 +23,25 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# A number as Python's float() reads it: underscores between digits, no suffix.
+_DIGITS = r"[0-9]+(?:_[0-9]+)*"
+_NUMBER = (rf"^[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?"
+           r"|(?i:inf|infinity|nan))$")
+# A list of items or of lists, and nothing behind it (strings taken out before).
+_SHAPE = r"^\[[^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*\]$"
+
+
+# Numbers only: read straight as doubles, without a look at each item.
+_PLAIN = r"^[\[\]0-9eE+\-., ]*$"
+
+
 def _item(x: Column) -> Column:
     """One item as a number: quoted numbers, NaN and Infinity read as floats,
     booleans as 1/0 (as Python's ``float``), anything else NULL."""
-    t = F.regexp_replace(x, '^"|"$', "")
-    return (F.when(x == "true", F.lit(1.0)).when(x == "false", F.lit(0.0))
-             .otherwise(t.try_cast("double")))
+    t = F.trim(F.regexp_replace(x, '^"|"$', ""))
+    t = F.when(F.contains(t, F.lit("_")), F.regexp_replace(F.when(t.rlike(_NUMBER), t), "_", "")).otherwise(t)
+    number = F.when(t.rlike(_NUMBER), t.try_cast("double"))
+    return F.when(x == "true", F.lit(1.0)).when(x == "false", F.lit(0.0)).otherwise(number)
 
 
 def _channel_of(items: Column) -> Column:
@@ -49,18 +62,23 @@ def _parse_json(text: Column) -> Column:
 def parse_series(cell: Column | str) -> Column:
     """A1: text cell -> array<array<double>>.
 
-    NULL, blank and unparsable text give NULL; JSON first, then the common
-    Python-literal spellings (single quotes, None/True/False).  Nulls inside a
-    channel are dropped, non-numeric items become NULL, a flat array is one
-    channel.
+    NULL, blank and unparsable text, and text behind the list, give NULL; JSON
+    first, then the common Python-literal spellings (single quotes,
+    None/True/False, a trailing comma, a plus sign, underscores in numbers).
+    Nulls inside a channel are dropped, non-numeric items become NULL, a flat
+    array is one channel.
     """
     text = F.trim(_col(cell).cast("string"))
-    text = F.when(text != "", text)
+    bare = F.regexp_replace(text, r""""(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'""", "s")
+    plain = F.from_json(F.when(text.rlike(_PLAIN), text), "array<array<double>>")
     literal = F.regexp_replace(text, "'", '"')
     literal = F.regexp_replace(literal, r"\bNone\b", "null")
     literal = F.regexp_replace(literal, r"\bTrue\b", "true")
     literal = F.regexp_replace(literal, r"\bFalse\b", "false")
-    return F.coalesce(_parse_json(text), _parse_json(literal)).cast(
+    literal = F.regexp_replace(literal, r",\s*\]", "]")
+    literal = F.regexp_replace(literal, r"([\[,]\s*)\+(?=[0-9.])", "$1")
+    literal = F.regexp_replace(literal, r"(?<=[0-9])_(?=[0-9])", "")
+    return F.when(bare.rlike(_SHAPE), F.coalesce(plain, _parse_json(text), _parse_json(literal))).cast(
         "array<array<double>>")
 
 
@@ -97,8 +115,8 @@ def ch_last(x: Column) -> Column:
 
 
 def channel_stats(x: Column) -> Column:
-    """A2-A10 of one channel as a struct (sum computed once, reused)."""
-    return _stats_from_parts(_channel_parts(x))
+    """A2-A10 of one channel as a struct (sum and mean computed once, reused)."""
+    return _stats_from_parts(_with_mean(_channel_parts(x)))
 
 
 def _channel_parts(x: Column) -> Column:
@@ -106,36 +124,41 @@ def _channel_parts(x: Column) -> Column:
     return F.struct(x.alias("x"), F.array_size(x).alias("n"), ch_sum(x).alias("s"))
 
 
+def _with_mean(p: Column) -> Column:
+    n = p["n"]
+    return F.struct(p["x"].alias("x"), n.alias("n"), p["s"].alias("s"),
+                    (p["s"] / F.when(n > 0, n).otherwise(F.lit(1.0))).alias("m"))
+
+
 def _stats_from_parts(p: Column) -> Column:
-    """Second pass: every statistic from the items and the first-pass sums."""
-    x, n, total = p["x"], p["n"], p["s"]
-    mean = total / F.when(n > 0, n).otherwise(F.lit(1.0))
+    """Second pass: every statistic from the items, their sum and their mean."""
+    x, mean = p["x"], p["m"]
     first, last = ch_first(x), ch_last(x)
     return F.struct(
-        n.alias("len"),
+        p["n"].alias("len"),
         F.array_min(x).alias("min"),
         F.array_max(x).alias("max"),
         mean.alias("mean"),
         ch_std(x, mean).alias("std"),
         first.alias("first"),
         last.alias("last"),
-        total.alias("sum"),
+        p["s"].alias("sum"),
         (last - first).alias("slope"),
     )
 
 
-def _mean_skip_null(values: Column) -> Column:
-    acc = F.aggregate(
-        values,
-        F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n")),
-        lambda a, v: F.when(v.isNull(), a).otherwise(
-            F.struct((a["s"] + v).alias("s"), (a["n"] + 1).alias("n"))),
-    )
-    return F.when(acc["n"] > 0, acc["s"] / acc["n"])
+def _row_of(stat: Column) -> Column:
+    return F.array(*[stat[name].cast("double") for name in CHANNEL_STATS])
 
 
-def _field(name: str):
-    return lambda s: s[name].cast("double")
+def _channel_means(rows: Column) -> Column:
+    """Mean of each statistic over the channels that have it, as one array:
+    sums and counts of all of them in one pass each."""
+    k = len(CHANNEL_STATS)
+    zero = F.array(*[F.lit(0.0)] * k)
+    total = F.aggregate(rows, zero, lambda a, r: F.zip_with(a, r, lambda x, v: x + F.coalesce(v, F.lit(0.0))))
+    n = F.aggregate(rows, zero, lambda a, r: F.zip_with(a, r, lambda x, v: x + v.isNotNull().cast("double")))
+    return F.zip_with(total, n, lambda t, c: F.when(c > 0, t / c))
 
 
 def summarize_series(parsed: Column, prefix: str, null_len: str = "null") -> list[Column]:
@@ -146,18 +169,19 @@ def summarize_series(parsed: Column, prefix: str, null_len: str = "null") -> lis
     (``null_len="null"``) or the reference numbers (``"minus_one"``: lengths
     -1, std 0, the rest NULL).
     """
-    return _means(F.transform(parsed, channel_stats), parsed, prefix, null_len)
+    stats = F.transform(parsed, channel_stats)
+    return _means(_channel_means(F.transform(stats, _row_of)), stats, parsed, prefix, null_len)
 
 
-def _means(stats: Column, parsed: Column, prefix: str, null_len: str) -> list[Column]:
-    out = {}
-    for name in CHANNEL_STATS:
-        out[f"{name}_mean"] = _mean_skip_null(F.transform(stats, _field(name)))
-    out["len_max"] = F.array_max(F.transform(stats, lambda s: s["len"]))
+def _means(means: Column, stats: Column, parsed: Column, prefix: str, null_len: str) -> list[Column]:
+    place = {f"{name}_mean": i for i, name in enumerate(CHANNEL_STATS)}
     empty = parsed.isNull() | (F.array_size(parsed) == 0)
     cols = []
     for suffix in SUMMARY_SUFFIXES:
-        expr = out[suffix]
+        if suffix == "len_max":
+            expr = F.array_max(F.transform(stats, lambda s: s["len"]))
+        else:
+            expr = means[place[suffix]]
         if null_len == "minus_one":
             if suffix == "len_mean":
                 expr = F.when(empty, F.lit(-1.0)).otherwise(expr)
@@ -174,8 +198,8 @@ def summarize_series_columns(df: DataFrame, columns, parse: bool = True,
     """A12 over many columns with no shuffle; a missing column is skipped
     (the reference warns).
 
-    Three narrow projections: parse each cell once, compute the channel
-    statistics once, then the means.  Spark does not merge a projection into
+    Narrow projections: parse each cell once, compute sums, means and
+    statistics of each channel once, then the means over channels.  Spark does not merge a projection into
     the next when that would repeat an expensive expression, so each step
     runs once per row."""
     present = [c for c in columns if c in df.columns]
@@ -186,11 +210,15 @@ def summarize_series_columns(df: DataFrame, columns, parse: bool = True,
                               for c in present])
     step = step.select(*keep, *[F.transform(f"__p_{c}", _channel_parts).alias(f"__q_{c}")
                                 for c in present], *[f"__p_{c}" for c in present])
-    step = step.select(*keep, *[F.transform(f"__q_{c}", _stats_from_parts).alias(f"__s_{c}")
+    step = step.select(*keep, *[F.transform(f"__q_{c}", _with_mean).alias(f"__m_{c}")
+                                for c in present], *[f"__p_{c}" for c in present])
+    step = step.select(*keep, *[F.transform(f"__m_{c}", _stats_from_parts).alias(f"__s_{c}")
                                 for c in present], *[f"__p_{c}" for c in present])
+    step = step.select("*", *[F.transform(f"__s_{c}", _row_of).alias(f"__r_{c}") for c in present])
+    step = step.select("*", *[_channel_means(F.col(f"__r_{c}")).alias(f"__t_{c}") for c in present])
     out = []
     for c in present:
-        out.extend(_means(F.col(f"__s_{c}"), F.col(f"__p_{c}"), c, null_len))
+        out.extend(_means(F.col(f"__t_{c}"), F.col(f"__s_{c}"), F.col(f"__p_{c}"), c, null_len))
     return step.select(*keep, *out)
 
 

@@ -56,14 +56,17 @@ def parse_timestamp(col: Column | str, formats=DEFAULT_FORMATS) -> Column:
     """First format that parses wins; text no format parses gives NULL.
 
     Each layout is tried only on text of its shape (a cheap regex that is a
-    necessary condition), so a row costs one real parse, not six."""
+    necessary condition), so a row costs one real parse, not six.  The text is
+    read as UTC and the instant turned back into a wall clock in UTC, so hours
+    that a session zone skips or repeats read as they are written."""
     c = F.trim(F.col(col) if isinstance(col, str) else col)
     parsed = []
     for f in formats:
-        p = F.try_to_timestamp(c, F.lit(f)).cast("timestamp_ntz")
+        p = F.try_to_timestamp(F.concat(c, F.lit("Z")), F.lit(f + "X"))
         shape = shape_of(f)
         parsed.append(F.when(c.rlike(shape), p) if shape else p)
-    return F.coalesce(*parsed)
+    us = F.unix_micros(F.coalesce(*parsed))
+    return F.timestamp_add("MICROSECOND", us, F.lit(_EPOCH).cast("timestamp_ntz"))
 
 
 def to_wall_clock(df: DataFrame, name: str) -> DataFrame:

@@ -8,8 +8,8 @@ rows).  Two exact replacements:
   *first* row of key + 1.  So: one aggregate per key (``max``/``min`` of a
   struct, map-side combined, a hot key costs nothing) and an equi-join on
   ``key + 1`` (J2).  No single task, no global sort.
-* no rule (older ETLs): the dense position of ``rowindex`` and a join on
-  position + 1, globally or within each stream (W1/W2).
+* no rule (older ETLs): the dense position of ``rowindex`` and a lead inside
+  blocks of positions, globally or within each stream (W1/W2).
 """
 
 from __future__ import annotations
@@ -59,20 +59,17 @@ def strict_next_cycle(df: DataFrame, roles: ColumnRoles, max_gap: float | None =
                       row_hash(df).alias("_h"), *cols)
     # order inside a key: whole seconds, stream id, then a hash of the whole row
     rec = F.struct("_tsl", "_sid", "_h", *[F.col(c) for c in cols])
-    head = F.struct("_tsl", "_sid", "_h", F.col(roles.time).alias("_t"),
+    last = keyed.groupBy("_key").agg(F.max(rec).alias("last"))
+    # the first row of key + 1 needs five narrow columns only
+    head = F.struct(tsl.alias("_tsl"), sid.alias("_sid"), F.col(roles.time).alias("_t"),
                     F.col(roles.cycle).cast("long").alias("_c"))
-    # fan-out: a row is a candidate "last row" of its own key (role 0) and a
-    # candidate "first row of the next key" of key - 1 (role 1); one shuffle,
-    # combined map-side
-    role = F.col("_role")
-    fan = keyed.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("_role"), *keyed.columns)
-    per_key = fan.groupBy((F.col("_key") - role).alias("_key")).agg(
-        F.max(F.when(role == 0, rec)).alias("last"), F.min(F.when(role == 1, head)).alias("nf"))
+    first = (df.select((order_key(roles) - 1).alias("_key"), head.alias("_head"))
+               .groupBy("_key").agg(F.min("_head").alias("nf")))
+    per_key = last.join(first, "_key", "left")
     valid = (F.col(f"last.{roles.cycle}").isNotNull() & F.col("nf._c").isNotNull()
              & ((F.col("nf._c") - F.col(f"last.{roles.cycle}").cast("long")) == 1))
     gap = F.when(valid, whole_second_gap(F.col(f"last.{roles.time}"), F.col("nf._t")))
-    out = (per_key.filter(F.col("last").isNotNull())
-                  .select(*[F.col(f"last.{c}").alias(c) for c in cols],
+    out = (per_key.select(*[F.col(f"last.{c}").alias(c) for c in cols],
                           F.col("nf._t").alias(NEXT_TS),
                           cap_gap(gap, max_gap).alias(TARGET)))
     return out.filter(F.col(TARGET).isNotNull())

@@ -1,8 +1,7 @@
 """Regressors, metrics, scoring, prediction tables.
 
-* R1 ridge is solved from one distributed aggregate (the Gram matrix: F*(F+1)/2
-  sums, map-side combined) and an F x F solve on the driver: the only value
-  that reaches the driver is that fixed-size matrix.
+* R1 ridge is MLlib's normal-equation solver: one distributed pass over vectors
+  sums the F x F Gram matrix, the only value that reaches the driver.
 * R2/R3/R13 are MLlib estimators; R4 is a real ``pyspark.ml.Pipeline``
   (imputation and scaling with train statistics as a ``SQLTransformer``,
   ``VectorAssembler``, model), so it can be saved with ``PipelineModel.save``.
@@ -27,6 +26,7 @@ from cadence.operators.stats import (LONG_THRESHOLD, RATE_FLOOR, ZERO_STD_EPS, d
 # Reference model settings.
 RIDGE_ALPHA = 1.0
 RF_TREES = 400
+RF_DEPTH = 30  # no limit in the reference; the deepest that MLlib grows
 GBT_ROUNDS, GBT_RATE, GBT_DEPTH, GBT_SUBSAMPLE, GBT_COLSAMPLE = 800, 0.05, 6, 0.8, "0.8"
 SEED = 42
 
@@ -40,10 +40,9 @@ class RidgeModel:
     intercept: float
 
     def predict(self, name: str = "pred") -> Column:
-        expr = F.lit(float(self.intercept))
-        for f, w in zip(self.features, self.coef):
-            expr = expr + F.lit(float(w)) * F.col(f)
-        return expr.alias(name)
+        products = F.zip_with(F.array(*[F.col(f).cast("double") for f in self.features]),
+                              F.array(*[F.lit(float(w)) for w in self.coef]), lambda x, w: x * w)
+        return F.aggregate(products, F.lit(float(self.intercept)), lambda a, v: a + v).alias(name)
 
     def table(self, spark) -> DataFrame:
         rows = [(f, float(w)) for f, w in zip(self.features, self.coef)]
@@ -51,33 +50,27 @@ class RidgeModel:
         return spark.createDataFrame(rows, "feature string, coef double")
 
 
-def gram_sums(df: DataFrame, features: list[str], label: str) -> dict:
-    """One aggregate: n, sums, cross-product sums (upper triangle), label sums."""
-    xs = [F.col(f).cast("double") for f in features]
-    y = F.col(label).cast("double")
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy")]
-    aggs += [F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)]
-    aggs += [F.sum(xs[i] * y).alias(f"sy{i}") for i in range(len(xs))]
-    aggs += [F.sum(xs[i] * xs[j]).alias(f"s{i}_{j}")
-             for i in range(len(xs)) for j in range(i, len(xs))]
-    return df.agg(*aggs).first().asDict()
-
-
 def ridge_fit(df: DataFrame, features: list[str], label: str, alpha: float = RIDGE_ALPHA) -> RidgeModel:
-    """Minimise ||y - Xw - b||^2 + alpha ||w||^2 (intercept not penalised)."""
-    s = gram_sums(df, features, label)
-    k, n = len(features), float(s["n"])
-    if n == 0:
+    """Minimise ||y - Xw - b||^2 + alpha ||w||^2 (intercept not penalised).
+
+    MLlib's normal-equation solver: one distributed pass sums the centred Gram
+    matrix as a vector (no expression per pair of features), the driver solves
+    it.  A NULL in a feature or the label of a training row is an error."""
+    rows = df.select(*[F.col(f"`{f}`").cast("double").alias(f"x{i}") for i, f in enumerate(features)],
+                     F.col(f"`{label}`").cast("double").alias("y"))
+    missing = F.col("y").isNull()
+    for i in range(len(features)):
+        missing = missing | F.col(f"x{i}").isNull()
+    n, bad, spread = rows.agg(F.count(F.lit(1)), F.count_if(missing), F.stddev_pop("y")).first()
+    if not n:
         raise RuntimeError("ridge_fit: no training rows")
-    mx = np.array([s[f"s{i}"] / n for i in range(k)])
-    my = s["sy"] / n
-    G = np.empty((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            G[i, j] = G[j, i] = s[f"s{i}_{j}"] - n * mx[i] * mx[j]
-    c = np.array([s[f"sy{i}"] - n * mx[i] * my for i in range(k)])
-    w = np.linalg.solve(G + alpha * np.eye(k), c)
-    return RidgeModel(list(features), w, float(my - mx @ w))
+    if bad:
+        raise ValueError(f"ridge_fit: {bad} training rows hold a NULL; impute them first")
+    if not spread:  # a constant label: nothing to explain
+        return RidgeModel(list(features), np.zeros(len(features)), float(rows.agg(F.avg("y")).first()[0]))
+    vector = VectorAssembler(inputCols=[f"x{i}" for i in range(len(features))], outputCol="features")
+    fitted = make_regressor("Ridge", "y", n, spread, alpha).fit(vector.transform(rows).select("features", "y"))
+    return RidgeModel(list(features), fitted.coefficients.toArray(), float(fitted.intercept))
 
 
 # --- R5, R6: metrics and model choice -------------------------------------------------
@@ -138,7 +131,7 @@ def scaler_statement(df: DataFrame, features: list[str], impute: str = "median",
 
 
 def make_regressor(kind: str, label: str, n_train: int | None = None, y_std: float | None = None,
-                   alpha: float = RIDGE_ALPHA, rf_trees: int = RF_TREES, rf_depth: int = 5,
+                   alpha: float = RIDGE_ALPHA, rf_trees: int = RF_TREES, rf_depth: int = RF_DEPTH,
                    gbt_rounds: int = GBT_ROUNDS):
     """R1 (MLlib form), R2, R3 with the reference settings."""
     if kind == "Ridge":
@@ -149,7 +142,8 @@ def make_regressor(kind: str, label: str, n_train: int | None = None, y_std: flo
                                 solver="normal", fitIntercept=True)
     if kind == "RF":
         return RandomForestRegressor(featuresCol="features", labelCol=label, predictionCol="pred",
-                                     numTrees=rf_trees, maxDepth=rf_depth, seed=SEED)
+                                     numTrees=rf_trees, maxDepth=rf_depth,
+                                     featureSubsetStrategy="all", seed=SEED)
     if kind == "GBT":
         return GBTRegressor(featuresCol="features", labelCol=label, predictionCol="pred",
                             maxIter=gbt_rounds, stepSize=GBT_RATE, maxDepth=GBT_DEPTH,
@@ -209,19 +203,24 @@ def fit_window_classifier(train_win: DataFrame, threshold: float = LONG_THRESHOL
     return lr.fit(data)
 
 
+def prediction_columns(keys: list[str], pred: Column, prob: Column, threshold: float = LONG_THRESHOLD,
+                       label: str = "y") -> list[Column]:
+    """Keys, true and predicted seconds, long probability and flags."""
+    return [*[F.col(k) for k in keys], F.col(label).alias("true_sec"), pred.alias("pred_sec"),
+            prob.alias("pred_long_prob"), long_flag(label, threshold).alias("is_long_true"),
+            decide(prob).alias("is_long_pred")]
+
+
 def prediction_table(win: DataFrame, reg_model, cls_model, keys: list[str],
                      threshold: float = LONG_THRESHOLD, log_target: bool = False) -> DataFrame:
-    """Keys, true and predicted seconds, long probability and flags."""
-    flat = flatten_windows(win)
-    p = reg_model.transform(flat).withColumnRenamed("pred", "_pred")
+    """R15 for fitted window models."""
+    p = reg_model.transform(flatten_windows(win)).withColumnRenamed("pred", "_pred")
     if cls_model is not None:
-        p = cls_model.transform(p).withColumn("pred_long_prob", vector_to_array("prob")[1])
+        p = cls_model.transform(p).withColumn("_prob", vector_to_array("prob")[1])
     else:
-        p = p.withColumn("pred_long_prob", F.lit(None).cast("double"))
+        p = p.withColumn("_prob", F.lit(None).cast("double"))
     pred = F.expm1("_pred") if log_target else F.col("_pred")
-    return p.select(*keys, F.col("y").alias("true_sec"), pred.alias("pred_sec"), "pred_long_prob",
-                    long_flag("y", threshold).alias("is_long_true"),
-                    decide(F.col("pred_long_prob")).alias("is_long_pred"))
+    return p.select(*prediction_columns(keys, pred, F.col("_prob"), threshold))
 
 
 # --- R14: per-row losses ----------------------------------------------------------------

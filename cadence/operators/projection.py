@@ -27,7 +27,7 @@ def feature_columns(df: DataFrame, roles: ColumnRoles | None = None, exclude=(),
             drop.discard(roles.label)
     out = []
     for f in df.schema.fields:
-        if f.name in drop or f.name.startswith("_"):
+        if f.name in drop:
             continue
         if numeric_only and not isinstance(f.dataType, _NUMERIC):
             if not (include_label and roles is not None and f.name == roles.label):

@@ -3,19 +3,20 @@
 ``Window.orderBy(...)`` with no partition moves every row to one task, and
 ``Window.partitionBy(stream)`` puts a hot stream (say a third of all rows) on
 one task.  Here the order is cut into ranges by ``repartitionByRange`` on the
-*whole* composite order key (a hot stream is split by its time column), rows
-are counted per range, and a row's global position is the size of earlier
-ranges plus its place inside its range.  The number of ranges follows the
-estimated input size; the per-range sizes are one number per range (a bound
-we choose), joined back as a small local table.
+*whole* composite order key (a hot stream is split by its time column, rows
+that are equal in every column by their place in the input), rows are counted
+per range, and a row's global position is the size of earlier ranges plus its
+place inside its range.  The number of ranges follows the estimated input
+size; the per-range sizes are one number per range (a bound we choose), joined
+back as a small local table.
 
 The indexed rows are checkpointed to the cluster's checkpoint folder, so the
 numbering is fixed once and survives lost executors.
 
-Neighbours (lead/lag) are an equi-join on position (unique keys, no skew).
-Sliding windows are a *fan-out*: each row is copied to the positions whose
-window holds it and grouped by position, so every group holds at most
-``L + 1`` rows whatever the data skew.
+Neighbours (lead/lag) and sliding windows are plain window functions inside
+blocks of ``BLOCK`` positions.  The rows at a block's ends stand in the next
+block too, so one exchange by block is enough, and a block holds at most
+``BLOCK`` rows and two short ends whatever the data skew.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from cadence.session import ensure_checkpoint_dir, shuffle_partitions
 
 RN = "_rn"
+BLOCK = 8192  # positions of one block of neighbours and windows
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the record number in the low 33 bits
 
 
@@ -55,68 +57,52 @@ def _input_bytes(df: DataFrame) -> int:
     return total
 
 
-def range_partitions(df: DataFrame, cap: int = 100_000) -> int:
+def range_partitions(df: DataFrame) -> int:
     """Number of ranges for the index: at least the shuffle partitions, and
     about one per ``spark.sql.files.maxPartitionBytes`` of input, so a range
     stays sortable in one task at any data size."""
     spark = df.sparkSession
-    n = max(shuffle_partitions(spark), 1)
-    try:
-        target = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b"))
-        n = max(n, -(-_input_bytes(df) // max(target, 1)))
-    except Exception:  # noqa: BLE001 - statistics are an optimisation only
-        pass
-    return int(min(n, cap))
+    size = str(spark.conf.get("spark.sql.files.maxPartitionBytes", "128MB"))
+    target = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(size)
+    return max(shuffle_partitions(spark), 1, -(-_input_bytes(df) // max(target, 1)))
 
 
 def with_row_index(df: DataFrame, order: list, name: str = RN,
-                   num_partitions: int | None = None, tiebreak: bool = True,
-                   checkpoint: bool = True) -> DataFrame:
+                   num_partitions: int | None = None, tiebreak: bool = True) -> DataFrame:
     """Add ``name``: 0-based position of each row in ``order`` (ascending,
     NULLs first, as SQL ``ORDER BY``).
 
     ``tiebreak`` appends a hash of the whole row so that the order is total
     and the numbering is reproducible; rows equal in every column are
-    interchangeable.
+    interchangeable, and split over ranges by their place in the input.
     """
     spark = df.sparkSession
     n = num_partitions or range_partitions(df)
     keys = _cols(order)
     if tiebreak:
-        df = df.withColumn("_tb", row_hash(df))
-        keys = keys + [F.col("_tb")]
+        df = df.withColumn("_tb", row_hash(df)).withColumn(
+            "_tp", F.xxhash64(F.monotonically_increasing_id()))
+        keys = keys + [F.col("_tb"), F.col("_tp")]
     ranged = (df.repartitionByRange(n, *keys)
                 .sortWithinPartitions(*keys)
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_loc", F.monotonically_increasing_id()
                             .bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
-    if checkpoint:
-        ensure_checkpoint_dir(spark)
-        ranged = ranged.checkpoint(eager=True)
-        # one count per range partition (n values, a bound we choose): read
-        # once from the checkpoint and applied as a literal, so every later
-        # use of the index is a plain projection of the checkpointed rows
-        sizes = dict(ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).collect())
-        offsets, acc = [], 0
-        for pid in range(n):
-            offsets.append((pid, acc))
-            acc += sizes.get(pid, 0)
-        # a local table of n rows: joined by broadcast, nothing recomputed
-        off = spark.createDataFrame(offsets, "_pid int, _off long")
-        out = (ranged.join(F.broadcast(off), "_pid")
-                     .withColumn(name, F.col("_off") + F.col("_loc"))
-                     .drop("_pid", "_loc", "_off"))
-        return out.drop("_tb") if tiebreak else out
-    sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per range partition: bounded by n, so the broadcast is safe
-    offsets = sizes.select(
-        "_pid",
-        F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    out = (ranged.join(F.broadcast(offsets), "_pid")
-                 .withColumn(name, (F.col("_off") + F.col("_loc")).cast("long"))
-                 .drop("_pid", "_loc", "_off"))
-    return out.drop("_tb") if tiebreak else out
+    ensure_checkpoint_dir(spark)
+    ranged = ranged.drop("_tb", "_tp").checkpoint(eager=True)
+    # one count per range partition (n values, a bound we choose): read once
+    # from the checkpoint, so every later use of the index is a plain
+    # projection of the checkpointed rows
+    sizes = dict(ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).collect())
+    offsets, acc = [], 0
+    for pid in range(n):
+        offsets.append((pid, acc))
+        acc += sizes.get(pid, 0)
+    # a local table of n rows: joined by broadcast, nothing recomputed
+    off = spark.createDataFrame(offsets, "_pid int, _off long")
+    return (ranged.join(F.broadcast(off), "_pid")
+                  .withColumn(name, F.col("_off") + F.col("_loc"))
+                  .drop("_pid", "_loc", "_off"))
 
 
 def with_stream_index(df: DataFrame, streams: list[str], order: list,
@@ -137,6 +123,19 @@ def with_stream_index(df: DataFrame, streams: list[str], order: list,
               .drop("_start", *[f"_s_{s}" for s in streams]))
 
 
+def _blocks(ix: DataFrame, before: int, after: int, rn: str) -> tuple[DataFrame, Window]:
+    """Rows with the block they stand in (``_blk``), those at an end of a block
+    also in the neighbouring one (``_end``): ``before`` rows ahead of a block
+    and ``after`` behind it.  And the window over a block by position."""
+    size = max(BLOCK, 2 * (before + after))
+    own, place = F.floor(F.col(rn) / size), F.pmod(F.col(rn), F.lit(size))
+    to = F.array_compact(F.array(own, F.when(place >= size - before, own + 1),
+                                 F.when(place < after, own - 1)))
+    out = (ix.withColumn("_own", own).withColumn("_blk", F.explode(to))
+             .withColumn("_end", F.col("_blk") != F.col("_own")).drop("_own"))
+    return out, Window.partitionBy("_blk").orderBy(rn)
+
+
 def neighbour(ix: DataFrame, carry: list[str], offset: int = 1, prefix: str = "next_",
               same: list[str] | None = None, rn: str = RN) -> DataFrame:
     """Lead (``offset>0``) or lag (``offset<0``) of ``carry`` by position.
@@ -144,17 +143,14 @@ def neighbour(ix: DataFrame, carry: list[str], offset: int = 1, prefix: str = "n
     With ``same`` (stream columns) a neighbour from another stream is
     missing, exactly as ``Window.partitionBy(stream)`` would give."""
     same = same or []
-    nb = ix.select((F.col(rn) - F.lit(offset)).alias("_nk"),
-                   *[F.col(c).alias(f"_nb_{c}") for c in dict.fromkeys(carry + same)])
-    joined = ix.join(nb, ix[rn] == nb["_nk"], "left")
-    ok = F.lit(True)
+    rows, by_position = _blocks(ix, max(-offset, 0), max(offset, 0), rn)
+    rec = F.struct(*[F.col(c) for c in dict.fromkeys([*carry, *same])])
+    out = rows.withColumn("_nb", F.lead(rec, offset).over(by_position)).filter(~F.col("_end"))
+    ok = F.col("_nb").isNotNull()
     for s in same:
-        ok = ok & F.col(s).eqNullSafe(F.col(f"_nb_{s}")) & F.col("_nk").isNotNull()
-    out = joined
-    for c in carry:
-        out = out.withColumn(f"{prefix}{c}", F.when(ok, F.col(f"_nb_{c}")))
-    drop = ["_nk", *[f"_nb_{c}" for c in dict.fromkeys(carry + same)]]
-    return out.drop(*drop)
+        ok = ok & F.col(s).eqNullSafe(F.col(f"_nb.{s}"))
+    return out.select(*ix.columns, *[F.when(ok, F.col(f"_nb.{c}")).alias(f"{prefix}{c}")
+                                     for c in carry])
 
 
 def sliding_windows(ix: DataFrame, features: list[str], length: int, *,
@@ -172,36 +168,79 @@ def sliding_windows(ix: DataFrame, features: list[str], length: int, *,
     and ``y`` (the target value, if ``target``).
     """
     same = same or []
-    lo, hi = (0, length - 1) if target_inside else (1, length)
-    payload_cols = list(dict.fromkeys(same + meta + ([target] if target else [])))
+    last = 0 if target_inside else 1
+    rows, by_position = _blocks(ix, length - 1 + last, 0, rn)
     row = F.array(*[F.col(c).cast("double") for c in features])
-    rec = F.struct(*[F.col(c) for c in payload_cols], row.alias("_x"))
-    # pos 0 always carries the target row; pos lo..hi are window members
-    pos = F.explode(F.sequence(F.lit(0), F.lit(hi))).alias("_pos")
-    fan = (ix.select(F.col(rn), rec.alias("_rec"), pos)
-             .filter((F.col("_pos") == 0) | (F.col("_pos") >= lo))
-             .select((F.col(rn) + F.col("_pos")).alias("_key"), "_pos", "_rec"))
-    grouped = fan.groupBy("_key").agg(
-        F.max(F.when(F.col("_pos") == 0, F.col("_rec"))).alias("_t"),
-        F.sort_array(F.collect_list(F.when(F.col("_pos") >= lo,
-                                           F.struct(F.col("_pos"), F.col("_rec")))),
-                     asc=False).alias("_w"))
-    t = F.col("_t")
+    rows = rows.select(rn, "_blk", "_end", row.alias("_x"),
+                       *dict.fromkeys([*same, *meta, *([target] if target else [])]))
+    frame = by_position.rowsBetween(-(length - 1 + last), -last)
+    rec = F.struct(F.col("_x"), *[F.col(c) for c in same])
     members = F.col("_w")
     if same:
-        members = F.filter(members, lambda m: _same(m["_rec"], t, same))
-    out = (grouped.filter(t.isNotNull())
-                  .withColumn("_w", members)
-                  .filter(F.size("_w") == length)
-                  .select(*[t[c].alias(c) for c in meta],
-                          F.col("_key").alias(rn),
-                          F.transform("_w", lambda m: m["_rec"]["_x"]).alias("X"),
-                          *([t[target].cast("double").alias("y")] if target else [])))
-    return out
-
-
-def _same(a: Column, b: Column, cols: list[str]) -> Column:
+        members = F.filter(members, lambda m: _same(m, same))
+    return (rows.withColumn("_w", F.collect_list(rec).over(frame)).filter(~F.col("_end"))
+                .withColumn("_w", members)
+                .filter(F.size("_w") == length)
+                .select(*meta, rn, F.col("_w._x").alias("X"),
+                        *([F.col(target).cast("double").alias("y")] if target else [])))
+
+
+def _same(member: Column, cols: list[str]) -> Column:
     cond = F.lit(True)
     for c in cols:
-        cond = cond & a[c].eqNullSafe(b[c])
+        cond = cond & member[c].eqNullSafe(F.col(c))
     return cond
+
+
+# --- values at given ranks, exact at any size ---------------------------------
+
+PARTS = 1024  # value ranges counted in one pass for each interval
+
+
+def values_at_ranks(values: DataFrame, ranks: dict[str, list[int]]) -> dict[tuple[str, int], float]:
+    """The values at 0-based ``ranks`` of each feature of (feature, v), v not
+    NULL and finite.
+
+    Each pass cuts the intervals that still hold a wanted rank into ``PARTS``
+    equal value ranges and counts them (combined map-side, so a constant or a
+    hot value is one number per task), then goes on with the ranges that hold
+    the ranks, shrunk to their smallest and largest value.  Nothing is sorted
+    and no value meets others in one task; the driver gets one row for each
+    wanted rank and pass."""
+    spark = values.sparkSession
+    values = values.filter(F.col("feature").isin(*ranks)) if ranks else values.limit(0)
+    found: dict[tuple[str, int], float] = {}
+    ends = values.groupBy("feature").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+    open_ = [(r.feature, r.lo, r.hi, 0, sorted(ranks[r.feature])) for r in ends]
+    while open_:
+        rest = []
+        for feature, lo, hi, before, wanted in open_:
+            if lo == hi:
+                found.update({(feature, r): lo for r in wanted})
+            else:
+                rest.append((feature, lo, hi, before, wanted))
+        if not rest:
+            break
+        kind = values.schema["v"].dataType.simpleString()
+        cuts = spark.createDataFrame([(i, *r) for i, r in enumerate(rest)],
+                                     f"_i int, feature string, _lo {kind}, _hi {kind}, _before long, "
+                                     "_ranks array<long>")
+        half = lambda c: F.col(c).cast("double") / 2  # noqa: E731 - so that a difference cannot overflow
+        width = half("_hi") - half("_lo")
+        part = (F.when(width > 0, F.least(F.floor((half("v") - half("_lo")) / width * PARTS),
+                                          F.lit(PARTS - 1)))
+                .otherwise((F.col("v") > F.col("_lo")).cast("long")))
+        counted = (values.join(F.broadcast(cuts), "feature")
+                   .filter((F.col("v") >= F.col("_lo")) & (F.col("v") <= F.col("_hi")))
+                   .groupBy("_i", part.alias("_p"))
+                   .agg(F.count(F.lit(1)).alias("_n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+        upto = Window.partitionBy("_i").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+        counted = (counted.withColumn("_sofar", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+                   .join(F.broadcast(cuts.select("_i", "feature", "_before", "_ranks")), "_i")
+                   .withColumn("_first", F.col("_before") + F.col("_sofar"))
+                   .withColumn("_here", F.filter("_ranks", lambda r: (r >= F.col("_first"))
+                                                 & (r < F.col("_first") + F.col("_n"))))
+                   .filter(F.size("_here") > 0))
+        open_ = [(r.feature, r.lo, r.hi, r["_first"], list(r["_here"]))
+                 for r in counted.select("feature", "lo", "hi", "_first", "_here").collect()]
+    return found

@@ -1,8 +1,8 @@
 """Previous target, sequence windows, latest rows.
 
 All windows come from ``rowindex``: a distributed dense position over
-``partition columns + order`` and a bounded fan-out, never an unpartitioned
-``Window`` and never one task per stream.
+``partition columns + order`` and window functions inside blocks of positions,
+never an unpartitioned ``Window`` and never one task per stream.
 """
 
 from __future__ import annotations
@@ -106,23 +106,9 @@ def scoring_window(df: DataFrame, features: list[str], length: int, order: list[
 
 
 def last_n_per_stream(df: DataFrame, stream: str, order: list[str], n: int) -> DataFrame:
-    """O6 (per stream): the last ``n`` rows of every stream, from the per-stream
-    position and the stream size (no window over a hot stream)."""
+    """O6 (per stream): the last ``n`` rows of every stream, NULL stream
+    included: the first ``n`` positions of the stream in descending order (no
+    window over a hot stream)."""
     from cadence.operators.rowindex import with_stream_index
-    ix = with_stream_index(df, [stream], order, name="_srn")
-    sizes = ix.groupBy(stream).agg(F.count(F.lit(1)).alias("_size"))
-    return (ix.join(sizes, stream)
-              .filter(F.col("_srn") >= F.col("_size") - n)
-              .drop("_size", RN))
-
-
-def sequence_frame(df: DataFrame, roles: ColumnRoles, features: list[str], length: int,
-                   per_split: bool = True, per_stream: bool = False,
-                   target_inside: bool = True) -> DataFrame:
-    """The trainer's sequence table: rows with a target, ordered by (time,
-    stream, cycle), windows inside each split (W11) and optionally stream."""
-    src = df.dropna(subset=[roles.target])
-    part = ([roles.split] if per_split else []) + ([roles.stream] if per_stream and roles.stream else [])
-    meta = [c for c in (roles.stream, roles.cycle, roles.time) if c] + [roles.split]
-    return windows(src, features, length, roles.order(), target_inside=target_inside,
-                   meta=list(dict.fromkeys(meta)), partition=part, target=roles.target)
+    ix = with_stream_index(df, [stream], [F.col(c).desc() for c in order], name="_srn")
+    return ix.filter(F.col("_srn") < n).drop("_srn", RN)

@@ -2,32 +2,50 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadence.functions.timeparse import epoch_micros
 from cadence.operators.rowindex import RN, with_row_index
 from cadence.roles import SPLIT, TARGET
 
-# Reference split fractions and percentile accuracy of the oracle runs.
+# Reference split fractions.
 TRAIN_FRAC, VAL_FRAC = 0.70, 0.85
-DEFAULT_ACCURACY = 1_000_000
 
 
 def time_quantiles(df: DataFrame, time_col: str, fractions=(TRAIN_FRAC, VAL_FRAC),
-                   accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """One-row frame ``q`` with the approximate time quantiles.
-
-    ``percentile_approx`` is a mergeable sketch (partial aggregation), so it
-    scales with the data; accuracy is a parameter (the reference uses 1000)."""
-    return df.select(F.percentile_approx(time_col, list(fractions), accuracy).alias("_q"))
+                   accuracy: int | None = None) -> DataFrame:
+    """One-row frame ``_q`` with the time quantiles: the smallest time with
+    at least the fraction of the rows at or before it, exact at any size
+    (``rowindex.values_at_ranks``).  ``accuracy`` opts for the mergeable
+    ``percentile_approx`` sketch of that accuracy instead."""
+    from cadence.operators.rowindex import values_at_ranks
+    if accuracy is not None:
+        return df.select(F.percentile_approx(time_col, list(fractions), accuracy).alias("_q"))
+    times = df.select(F.col(time_col).alias("_v")).filter(F.col("_v").isNotNull())
+    kind = times.schema["_v"].dataType
+    micros = epoch_micros("_v")
+    n = times.count()
+    ranks = [max(n - math.floor(n - f * n), 1) - 1 for f in fractions]
+    got = values_at_ranks(times.select(F.lit("t").alias("feature"), micros.alias("v")), {"t": ranks})
+    at = [got.get(("t", r)) for r in ranks]
+    value = lambda us: F.lit(None).cast(kind) if us is None else _from_micros(int(us)).cast(kind)
+    return df.sparkSession.range(1).select(F.array(*[value(us) for us in at]).alias("_q"))
+
+
+def _from_micros(us: int) -> Column:
+    return F.lit(dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=us)).cast("timestamp_ntz")
 
 
 def assign_time_split(df: DataFrame, time_col: str, fractions=(TRAIN_FRAC, VAL_FRAC),
-                      accuracy: int = DEFAULT_ACCURACY, name: str = SPLIT) -> DataFrame:
+                      accuracy: int | None = None, name: str = SPLIT) -> DataFrame:
     """``<= q70`` train, ``<= q85`` val, else test.
 
-    The thresholds stay a one-row frame joined by broadcast (size bound: one
-    row), so no value goes through the driver."""
+    The thresholds are a one-row frame joined by broadcast (size bound: one
+    row)."""
     q = time_quantiles(df, time_col, fractions, accuracy)
     t = F.col(time_col)
     return (df.crossJoin(F.broadcast(q))
@@ -90,20 +108,9 @@ def ordered_fraction_split(df: DataFrame, order: list, fraction: float = 0.8,
               .drop("_n"))
 
 
-def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """M9: at most ``n`` rows, the first ``n`` in the md5 order of ``key:seed``.
-
-    The md5 prefix is uniform, so rows whose prefix lies below a threshold
-    sized for about 2n rows hold the first n whenever at least n of them pass
-    (checked by a count; otherwise all rows are candidates).  The final
-    top-n then merges about 2n rows instead of n rows from every partition."""
-    h = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
-    src = df.withColumn("_h", h)
-    total = df.count()
-    if total > 4 * n:
-        cut = min(1.0, (2.0 * n + 10.0 * (n ** 0.5) + 100.0) / total)
-        hexcut = format(min(int(cut * 16 ** 8), 16 ** 8 - 1), "08x")
-        cand = src.filter(F.substring("_h", 1, 8) < F.lit(hexcut))
-        if cand.count() >= n:
-            src = cand
-    return src.orderBy("_h").limit(n).drop("_h")
+def seeded_sample(df: DataFrame, key: Column | str, n: int, seed: int = 42) -> DataFrame:
+    """M9: at most ``n`` rows, the first ``n`` in the md5 order of ``key:seed``
+    (top ``n`` of each task, then a merge)."""
+    k = F.col(key) if isinstance(key, str) else key
+    h = F.md5(F.concat_ws(":", k.cast("string"), F.lit(str(seed))))
+    return df.withColumn("_h", h).orderBy("_h").limit(n).drop("_h")

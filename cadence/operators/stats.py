@@ -7,6 +7,7 @@ the driver, the broadcast has a fixed size (one value per feature).
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -60,42 +61,32 @@ def target_stats(df: DataFrame, target: str = TARGET) -> DataFrame:
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas, SQL ``quantile_cont``)
-    of several columns, without holding any column in one task.
-
-    The values are unpivoted to (feature, value) and ranked by the
-    distributed dense index over (feature, value) (a range-partitioned sort:
-    a constant or hot value is split by the tie-break hash).  The per-feature
-    counts (one number per column) give where each feature starts, so only
-    the rows at ranks floor/ceil of p*(n-1) are selected: at most
-    2 * len(probs) rows per feature.  NULL, NaN and infinities are skipped.
-    Output: (feature, p, value)."""
-    import math
-
-    from cadence.operators.rowindex import with_row_index
+    of several columns, without sorting them and without a hot task.
+
+    One aggregate counts the usable values of each column; the values at the
+    ranks floor/ceil of p*(n-1) come from ``rowindex.values_at_ranks``
+    (counts over value ranges, combined map-side).  NULL, NaN and infinities
+    are skipped.  Output: (feature, p, value), one row per column and p."""
+    from cadence.operators.rowindex import values_at_ranks
     spark = df.sparkSession
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), finite_or_null(F.col(c).cast("double")).alias("v"))
-        for c in columns])).alias("_x")).select("_x.*").filter(F.col("v").isNotNull())
-    ix = with_row_index(long, ["feature", "v"])
-    counts = dict(ix.groupBy("feature").count().collect())          # one row per column
-    start, wanted = 0, []
-    for f in sorted(counts, key=lambda name: name.encode("utf-8")):  # Spark's string order
-        n = counts[f]
-        for p in probs:
-            pos = p * (n - 1)
-            wanted.append((f, float(p), start + math.floor(pos), start + math.ceil(pos),
-                           pos - math.floor(pos)))
-        start += n
-    if not wanted:
-        return spark.createDataFrame([], "feature string, p double, value double")
-    want = spark.createDataFrame(wanted, "feature string, p double, _lo long, _hi long, _frac double")
-    ranks = sorted({r for w in wanted for r in (w[2], w[3])})
-    vals = ix.filter(F.col("_rn").isin(ranks)).select("_rn", "v")     # at most 2*P*F rows
-    lo = vals.select(F.col("_rn").alias("_lo"), F.col("v").alias("v_lo"))
-    hi = vals.select(F.col("_rn").alias("_hi"), F.col("v").alias("v_hi"))
-    out = want.join(F.broadcast(lo), "_lo").join(F.broadcast(hi), "_hi")
-    value = F.col("v_lo") + F.col("_frac") * (F.col("v_hi") - F.col("v_lo"))
-    return out.select("feature", "p", value.alias("value"))
+    v = {c: finite_or_null(F.col(c).cast("double")) for c in columns}
+    counts = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(v.values())]).first()
+    ranks: dict[str, list[int]] = {}
+    for c, n in zip(columns, counts):
+        if n:
+            ranks[c] = sorted({f(p * (n - 1)) for p in probs for f in (math.floor, math.ceil)})
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), x.alias("v"))
+                                         for c, x in v.items() if c in ranks] or
+                                       [F.struct(F.lit("").alias("feature"), F.lit(None).cast("double").alias("v"))]
+                                       )).alias("x")).select("x.*").filter(F.col("v").isNotNull())
+    got = values_at_ranks(long, ranks)
+    rows = []
+    for c, n in zip(columns, counts):
+        for p in probs if n else []:
+            at = p * (n - 1)
+            lo, hi = got[c, math.floor(at)], got[c, math.ceil(at)]
+            rows.append((c, float(p), lo + (at - math.floor(at)) * (hi - lo)))
+    return spark.createDataFrame(rows, "feature string, p double, value double")
 
 
 def describe(df: DataFrame, columns: list[str], exact: bool = True,
@@ -168,11 +159,12 @@ def class_rate(df: DataFrame, target: str = TARGET, threshold: float = LONG_THRE
                            / F.greatest(F.col("long_rate"), F.lit(RATE_FLOOR))))
 
 
-def stream_sizes(df: DataFrame, stream: str, window: int, top: int = 15) -> DataFrame:
-    """Streams with at least ``window + 1`` rows, largest first, top n."""
-    return (df.groupBy(stream).agg(F.count(F.lit(1)).alias("rows"))
-              .filter(F.col("rows") >= window + 1)
-              .orderBy(F.desc("rows"), F.asc(stream)).limit(top))
+def stream_sizes(df: DataFrame, stream: str, window: int, top: int | None = None) -> DataFrame:
+    """Every stream with at least ``window + 1`` rows; with ``top`` the
+    listing of the largest ones, largest first."""
+    sizes = (df.groupBy(stream).agg(F.count(F.lit(1)).alias("rows"))
+               .filter(F.col("rows") >= window + 1))
+    return sizes if top is None else sizes.orderBy(F.desc("rows"), F.asc(stream)).limit(top)
 
 
 def train_mean(df: DataFrame, target: str = TARGET, split: str = SPLIT) -> DataFrame:
@@ -182,24 +174,30 @@ def train_mean(df: DataFrame, target: str = TARGET, split: str = SPLIT) -> DataF
 
 # --- M1-M4: row imputation and scaling -----------------------------------------
 
-def _stats_row(stats: DataFrame) -> DataFrame:
-    """Scaler table -> one row with a struct per feature (for a broadcast join)."""
-    return stats.agg(F.map_from_entries(F.collect_list(F.struct(
-        "feature", F.struct("mean", "std", "median")))).alias("_st"))
+def _stats_row(stats: DataFrame, features: list[str]) -> DataFrame:
+    """Scaler table -> one row with one struct per feature, by place."""
+    pick = lambda f, v: F.max(F.when(F.col("feature") == f, F.col(v))).alias(v)
+    return stats.agg(*[F.struct(*[pick(f, v) for v in ("mean", "std", "median")]).alias(f"_st{i}")
+                       for i, f in enumerate(features)])
+
+
+def _with_stats(df: DataFrame, features: list[str], stats: DataFrame, value) -> DataFrame:
+    """Each feature replaced by ``value(column, its struct)`` in one projection;
+    the statistics are one row, joined by broadcast."""
+    place = {f: i for i, f in enumerate(features)}
+    joined = df.crossJoin(F.broadcast(_stats_row(stats, features)))
+    return joined.select(*[value(F.col(f"`{c}`"), F.col(f"_st{place[c]}")).alias(c) if c in place
+                           else F.col(f"`{c}`") for c in df.columns])
 
 
 def impute(df: DataFrame, features: list[str], stats: DataFrame, how: str = "median",
            all_null: float | None = 0.0) -> DataFrame:
     """M1 (``median``) / M2 (``mean``): fill missing and non-finite values with
     the train statistic; a feature with no train value gets ``all_null``."""
-    st = F.broadcast(_stats_row(stats))
-    out = df.crossJoin(st)
-    for c in features:
-        fill = F.col("_st")[c][how]
-        if all_null is not None:
-            fill = F.coalesce(fill, F.lit(all_null))
-        out = out.withColumn(c, F.coalesce(finite_or_null(F.col(c).cast("double")), fill))
-    return out.drop("_st")
+    def value(c: Column, st: Column) -> Column:
+        fill = st[how] if all_null is None else F.coalesce(st[how], F.lit(all_null))
+        return F.coalesce(finite_or_null(c.cast("double")), fill)
+    return _with_stats(df, features, stats, value)
 
 
 def standardize(df: DataFrame, features: list[str], stats: DataFrame,
@@ -207,18 +205,16 @@ def standardize(df: DataFrame, features: list[str], stats: DataFrame,
     """M4: (x - mean) / std with train mean and population std.  A zero std
     leaves the value unscaled (``zero_std="one"``, sklearn) or is floored at
     1e-8 (``"floor"``, the scoring path)."""
-    st = F.broadcast(_stats_row(stats))
-    out = df.crossJoin(st)
-    for c in features:
-        mu, sd = F.col("_st")[c]["mean"], F.col("_st")[c]["std"]
+    def value(c: Column, st: Column) -> Column:
+        mu, sd = F.coalesce(st["mean"], F.lit(0.0)), st["std"]
         if zero_std == "one":
             # a std within float noise of zero counts as zero (as sklearn's scaler)
-            tiny = F.lit(ZERO_STD_EPS) * F.greatest(F.abs(F.coalesce(mu, F.lit(0.0))), F.lit(1.0))
+            tiny = F.lit(ZERO_STD_EPS) * F.greatest(F.abs(mu), F.lit(1.0))
             sd = F.when(sd.isNull() | (sd <= tiny), F.lit(1.0)).otherwise(sd)
         else:
             sd = F.greatest(F.coalesce(sd, F.lit(0.0)), F.lit(STD_FLOOR))
-        out = out.withColumn(c, (F.col(c) - F.coalesce(mu, F.lit(0.0))) / sd)
-    return out.drop("_st")
+        return (c - mu) / sd
+    return _with_stats(df, features, stats, value)
 
 
 # --- M3, M5: sequence windows ---------------------------------------------------

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadence.operators import attribution as AT
 from cadence.operators import models as M
 from cadence.operators import stats as S
-from cadence.operators.projection import feature_columns
+from cadence.operators.projection import drop_case_insensitive, feature_columns
 from cadence.operators.sequences import last_step, scoring_window, template_row, windows
 from cadence.operators.splits import require_splits, seeded_sample
 from cadence.functions.timeparse import require_rows
@@ -83,6 +84,23 @@ def baselines(features: DataFrame, roles: ColumnRoles, kinds=("Ridge", "RF", "GB
     return Baselines(metrics, best, fitted)
 
 
+def save_pipeline(model: PipelineModel, path: str) -> str:
+    """The fitted pipeline (statistics, scaling, model) to a folder."""
+    model.write().overwrite().save(path)
+    return path
+
+
+def load_pipeline(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def score_batch(rows: DataFrame, model: PipelineModel, keep: list[str], drop: list[str] = ()) -> DataFrame:
+    """``inference`` of a baseline: feature rows (``io.read_scoring_input``, or ``latest_rows`` of a
+    feature table) scored by a loaded pipeline.  Role columns in ``drop`` go first, whatever their
+    case."""
+    return M.score(model, drop_case_insensitive(rows, drop), keep)
+
+
 @dataclass
 class SequenceModel:
     features: list[str]
@@ -147,7 +165,7 @@ def select_features(features: DataFrame, roles: ColumnRoles, topk: int = 50,
     feats = feature_columns(df, roles)
     train = df.filter(F.col(roles.split) == "train")
     if sample:
-        key = roles.cycle or roles.time
+        key = F.concat_ws(":", *[F.col(c).cast("string") for c in (roles.stream, roles.cycle, roles.time) if c])
         train = seeded_sample(train, key, sample, seed)
     st = S.train_stats(train, feats, split=None, median=False)
     z = S.standardize(S.impute(train, feats, st, how="mean"), feats, st)

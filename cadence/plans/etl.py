@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 from cadence.functions.arrays import summarize_series_columns
 from cadence.functions.timeparse import keep_parsed, to_wall_clock
 from cadence.operators.cycles import next_row, strict_next_cycle
-from cadence.operators.splits import DEFAULT_ACCURACY, assign_time_split
+from cadence.operators.splits import assign_time_split
 from cadence.roles import ColumnRoles
 
 
 def build_raw_table(raw: DataFrame, roles: ColumnRoles, fractions=(0.70, 0.85),
-                    accuracy: int = DEFAULT_ACCURACY, null_len: str = "null",
+                    accuracy: int | None = None, null_len: str = "null",
                     parse_series: bool = True) -> DataFrame:
     """Parsed time (P1/P2), per-row series summary (A12) and time split (G3),
     before any target: the reference's raw table."""
@@ -40,7 +40,7 @@ def add_target(df: DataFrame, roles: ColumnRoles, rule: str = "strict",
 
 
 def build_feature_table(raw: DataFrame, roles: ColumnRoles, max_gap: float | None = 300,
-                        fractions=(0.70, 0.85), accuracy: int = DEFAULT_ACCURACY,
+                        fractions=(0.70, 0.85), accuracy: int | None = None,
                         rule: str = "strict", null_len: str = "null",
                         parse_series: bool = True) -> DataFrame:
     """``rule``: ``strict`` (current ETL: global order, next cycle = +1,

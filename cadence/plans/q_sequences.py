@@ -93,6 +93,16 @@ def w8_windows_fallback(spark, sf_dir):
     return win.select("A", "B", *_summ(win), "y")
 
 
+@query("W8_windows_streams", with_ctes(
+    _CONV, _win_sql("2 PRECEDING AND 1 PRECEDING", "A", src="c", target="value", keys="A, B", n=2)) +
+    "SELECT A, B, n, x_sum, x_first, x_last, y FROM w WHERE n = 2 AND (SELECT mx FROM m) >= 3", doubles=_D)
+def w8_windows_streams(spark, sf_dir):
+    """The per-stream branch: conversations are longer than the window."""
+    c = streams_conv(spark, sf_dir)
+    win = windows_with_fallback(c, ["value"], 2, ORDER, "A", meta=["A", "B"], target="value")
+    return win.select("A", "B", *_summ(win), "y")
+
+
 @query("W9_last_step", with_ctes(EVENTS_CT, _win_sql(f"{L} PRECEDING AND 1 PRECEDING")) +
        f"SELECT B, x_last FROM w WHERE n = {L}", doubles=("x_last",))
 def w9_last_step(spark, sf_dir):
@@ -108,6 +118,12 @@ def w10_order_number(spark, sf_dir):
     return order_number(f, ["C", "B"], stream="A").select("A", "B", "order_no")
 
 
+@query("W10_global_number", with_ctes(EVENTS_CT) +
+       "SELECT A, B, row_number() OVER (ORDER BY C, A, B) - 1 AS order_no FROM feat")
+def w10_global_number(spark, sf_dir):
+    return order_number(events_features(spark, sf_dir), ORDER).select("A", "B", "order_no")
+
+
 @query("O1_sorted_rows", with_ctes(EVENTS_CT) +
        "SELECT B, row_number() OVER (ORDER BY floor(epoch(C)), B, A) - 1 AS pos FROM feat")
 def o1_sorted_rows(spark, sf_dir):
@@ -119,10 +135,10 @@ def o1_sorted_rows(spark, sf_dir):
 
 
 @query("O2_first5_by_cycle", with_ctes(EVENTS_CT) +
-       f"SELECT A, B, {ts_text('C')} AS C, split FROM feat ORDER BY B LIMIT 5")
+       f"SELECT A, B, {ts_text('C')} AS C, split FROM feat ORDER BY B, A, C LIMIT 5")
 def o2_first5_by_cycle(spark, sf_dir):
     f = events_features(spark, sf_dir)
-    return f.orderBy("B").limit(5).select("A", "B", sts("C").alias("C"), "split")
+    return f.orderBy("B", "A", "C").limit(5).select("A", "B", sts("C").alias("C"), "split")
 
 
 @query("O4_latest_rows", with_ctes(EVENTS_CT) +
@@ -141,6 +157,15 @@ def o5_template_row(spark, sf_dir):
     return t.select("A", "B", sts("C").alias("C"), "D", "value")
 
 
+@query("O5_template_fallback", with_ctes(EVENTS_CT) +
+       f"SELECT A, B, {ts_text('C')} AS C, D, value FROM feat WHERE split <> 'test' "
+       "ORDER BY C DESC, A DESC, B DESC LIMIT 1", doubles=("value",))
+def o5_template_fallback(spark, sf_dir):
+    """A table without test rows: the latest row overall."""
+    t = template_row(events_features(spark, sf_dir).filter(F.col("split") != "test"), ORDER)
+    return t.select("A", "B", sts("C").alias("C"), "D", "value")
+
+
 @query("O6_scoring_window", with_ctes(EVENTS_CT, """
 t AS (SELECT * FROM feat WHERE split = 'test' ORDER BY C DESC, A DESC, B DESC LIMIT 5)""") +
        "SELECT CAST(count(*) AS INTEGER) AS n, sum(value) AS x_sum, arg_min(value, (C, A, B)) AS x_first, "
@@ -161,6 +186,13 @@ def o6_stream_last_rows(spark, sf_dir):
 
 
 @query("G10_stream_sizes", with_ctes(EVENTS_CT) +
-       "SELECT A, count(*) AS rows FROM feat GROUP BY A HAVING count(*) >= 11 ORDER BY rows DESC, A LIMIT 15")
+       "SELECT A, count(*) AS rows FROM feat GROUP BY A HAVING count(*) >= 11")
 def g10_stream_sizes(spark, sf_dir):
     return stream_sizes(events_features(spark, sf_dir), "A", 10)
+
+
+@query("G10_top_streams", with_ctes(EVENTS_CT) +
+       "SELECT A, count(*) AS rows FROM feat GROUP BY A HAVING count(*) >= 6 ORDER BY rows DESC, A LIMIT 15")
+def g10_top_streams(spark, sf_dir):
+    """The listing of the largest streams."""
+    return stream_sizes(events_features(spark, sf_dir), "A", 5, top=15)

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from cadence.functions.arrays import SUMMARY_SUFFIXES
 from cadence.operators.splits import split_target_summary
 from cadence.plans.etl import build_feature_table
-from cadence.plans.oracle import EVENTS_CT, EVENTS_TEXT_BASE, events_ct, with_ctes
+from cadence.plans.oracle import EVENTS_CT, EVENTS_TEXT_BASE, events_ct, ts_text, with_ctes
 from cadence.plans.q_cycles import events_features, text_time
 from cadence.plans.registry import query
+from cadence.plans.registry import ts_text as sts
 from cadence.plans.views import EVENTS_ROLES, table
 from cadence.roles import ColumnRoles
 from cadence.sources import io
@@ -91,56 +92,84 @@ def s10_round_trip(spark, sf_dir):
     return io.round_trip(events_features(spark, sf_dir), io.scratch_path(spark, "roundtrip"))
 
 
-@query("S11_fingerprint")
+_FP = ("md5(concat_ws(chr(31), A::VARCHAR, B::VARCHAR, " + ts_text("C") + ", coalesce(D, '\\N'), split, "
+       + ts_text("next_ts") + ", CAST(CAST(CycleTime_sec AS BIGINT) AS VARCHAR)))")
+
+
+@query("S11_fingerprint", with_ctes(EVENTS_CT, f"h AS (SELECT {_FP} AS h FROM feat)") +
+       "SELECT CAST(sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS VARCHAR) AS fingerprint_a, "
+       "CAST(sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)) AS VARCHAR) AS fingerprint_b, count(*) AS rows FROM h")
 def s11_fingerprint(spark, sf_dir):
-    return io.fingerprint(events_features(spark, sf_dir))
+    f = events_features(spark, sf_dir)
+    return io.fingerprint(f.select("A", "B", sts("C").alias("C"), "D", "split", sts("next_ts").alias("next_ts"),
+                                   F.col("CycleTime_sec").cast("long").alias("CycleTime_sec")))
+
+
+@query("S5_scoring_csv", with_ctes(EVENTS_CT) + "SELECT A, B, value FROM feat WHERE split = 'test'",
+       doubles=("value",))
+def s5_scoring_csv(spark, sf_dir):
+    rows = events_features(spark, sf_dir).filter(F.col("split") == "test").select("A", "B", "value")
+    path = io.write_csv(rows, io.scratch_path(spark, "score_csv"))
+    return io.read_scoring_input(spark, path, "A long, B long, value double")
+
+
+# --- the full ETL: text time (six layouts) + twelve text series columns ---------------
 
+SERIES = tuple("EFGHIJKLMNOP")
+SERIES_ROLES = ColumnRoles(stream="A", cycle="B", time="C", label="D", series=SERIES)
+CHANNEL = 8  # values of a channel; a series is two channels that follow each other
 
-# --- the full ETL: text time (six layouts) + two text series columns -----------------
 
-SERIES_ROLES = ColumnRoles(stream="A", cycle="B", time="C", label="D", series=("E", "F"))
+def _start(i: int) -> int:
+    """Where series ``i`` begins in a vector of 64 values (from 0)."""
+    return 4 * i
 
 
 def cycles_with_series(spark, sf_dir):
-    """events (text time) left-joined to embeddings by id: E = channels 1-2,
-    F = channels 3-4 of the embedding as JSON text; no embedding -> NULL."""
+    """events (text time) with twelve series each, as JSON text: pieces of the embedding numbered
+    event id modulo the number of embeddings (whose ids are 0, 1, ...)."""
     t = events_text_table(spark, sf_dir)
     emb = table(spark, sf_dir, "embeddings")
+    count = emb.agg(F.count(F.lit(1)).alias("_n"))  # one row
     d = F.col("embedding").cast("array<double>")
-    s = emb.select(F.col("vec_id").alias("B"),
-                   F.to_json(F.array(F.slice(d, 1, 16), F.slice(d, 17, 16))).alias("E"),
-                   F.to_json(F.array(F.slice(d, 33, 16), F.slice(d, 49, 16))).alias("F"))
-    return t.join(s, "B", "left")
+    cells = [F.to_json(F.array(*[F.slice(d, _start(i) + CHANNEL * c + 1, CHANNEL) for c in (0, 1)])).alias(n)
+             for i, n in enumerate(SERIES)]
+    t = t.crossJoin(F.broadcast(count)).withColumn("_v", F.pmod("B", "_n")).drop("_n")
+    # both sides grow with the data: dealt by vector, so the parsing behind it is spread too
+    return t.join(emb.select(F.col("vec_id").alias("_v"), *cells).hint("merge"), "_v", "left").drop("_v")
 
 
-_CH = """
-ch AS (SELECT vec_id, CAST(i AS INTEGER) AS i, CAST(embedding[16 * i + 1 : 16 * i + 16] AS DOUBLE[]) AS x
-       FROM embeddings CROSS JOIN range(4) AS t(i))
+_CH = f"""
+ch AS (SELECT vec_id, s, CAST(embedding[4 * s + {CHANNEL} * c + 1 : 4 * s + {CHANNEL} * c + {CHANNEL}] AS DOUBLE[]) AS x
+       FROM embeddings CROSS JOIN range(12) AS t(s) CROSS JOIN range(2) AS u(c)),
+en AS (SELECT count(*) AS n FROM embeddings)
 """
 _STAT = {"len": "len(x)", "min": "list_min(x)", "max": "list_max(x)", "mean": "list_sum(x) / len(x)",
          "std": "CASE WHEN len(x) > 1 THEN list_aggregate(x, 'stddev_samp') ELSE 0.0 END",
          "first": "x[1]", "last": "x[-1]", "sum": "list_sum(x)", "slope": "x[-1] - x[1]"}
 
 
-def _series_sql(name, cond):
+def _series_sql():
+    """One row for each vector: the summary of every series."""
     cols = []
-    for suffix in SUMMARY_SUFFIXES:
-        stat, how = suffix.rsplit("_", 1)
-        agg = f"CAST(max({_STAT[stat]}) AS INTEGER)" if how == "max" else f"avg({_STAT[stat]})"
-        cols.append(f"{agg} AS {name}_{suffix}")
-    return f"{name.lower()}s AS (SELECT vec_id, {', '.join(cols)} FROM ch WHERE {cond} GROUP BY vec_id)"
+    for i, name in enumerate(SERIES):
+        for suffix in SUMMARY_SUFFIXES:
+            stat, how = suffix.rsplit("_", 1)
+            agg = f"max({_STAT[stat]})" if how == "max" else f"avg({_STAT[stat]})"
+            agg += f" FILTER (WHERE s = {i})"
+            cols.append((f"CAST({agg} AS INTEGER)" if how == "max" else agg) + f" AS {name}_{suffix}")
+    return f"sm AS (SELECT vec_id, {', '.join(cols)} FROM ch GROUP BY vec_id)"
 
 
-_SERIES_COLS = [f"{n}_{s}" for n in ("E", "F") for s in SUMMARY_SUFFIXES]
+_SERIES_COLS = [f"{n}_{s}" for n in SERIES for s in SUMMARY_SUFFIXES]
 
 
-@query("ETL_feature_table", with_ctes(events_ct(EVENTS_TEXT_BASE), _CH, _series_sql("E", "i < 2"),
-                                      _series_sql("F", "i >= 2")) +
-       f"SELECT feat.B, split, CycleTime_sec, {', '.join(_SERIES_COLS)} FROM feat "
-       "LEFT JOIN es ON feat.B = es.vec_id LEFT JOIN fs ON feat.B = fs.vec_id",
+@query("ETL_feature_table", with_ctes(events_ct(EVENTS_TEXT_BASE), _CH, _series_sql()) +
+       f"SELECT feat.B, split, CycleTime_sec, {', '.join(_SERIES_COLS)} FROM feat CROSS JOIN en "
+       "LEFT JOIN sm ON feat.B % en.n = sm.vec_id",
        doubles=("CycleTime_sec", *[c for c in _SERIES_COLS if not c.endswith("len_max")]))
 def etl_feature_table(spark, sf_dir):
-    """Flagship: text time in six layouts, two text series columns, per-row
-    series summary before any shuffle, time split, strict next-cycle gap."""
+    """Flagship: text time in six layouts, twelve text series columns, per-row series summary
+    before any shuffle, time split, strict next-cycle gap."""
     out = build_feature_table(cycles_with_series(spark, sf_dir), SERIES_ROLES)
     return out.select("B", "split", "CycleTime_sec", *_SERIES_COLS)

@@ -5,13 +5,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-# The configuration keys a cycle-table configuration uses, in
-# its natural order (series columns, id, cycle number, time, label, input and
-# output paths, split fractions, gap cap).
-CONFIG_KEYS = ("time_series_columns", "id_column", "cycle_number_column", "timestamp_column",
-               "good_bad_label_column", "csv_path", "raw_parquet_path", "features_parquet_path",
-               "split", "max_gap_sec")
-
 # Names of the derived columns (target, split, next time).
 TARGET = "CycleTime_sec"
 SPLIT = "split"

@@ -30,8 +30,10 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    On a cluster this is a shared folder set by the operator; only where it is
-    unset (local tests) a fresh folder is created, never reused between runs.
+    On a cluster this is a shared folder set by the operator. Only a
+    ``local[...]`` session (tests, benches) without that setting gets a fresh
+    temporary folder; any other master fails, as a machine-local folder would
+    lose what other executors write.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -40,6 +42,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        master = sc.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="cadence-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -1,7 +1,8 @@
 """Sources, sinks and table checks.
 
 Outputs of a run go to a fresh folder under the cluster's shared checkpoint
-folder (``spark.checkpoint.dir``), never to a machine-local path.
+folder (``spark.checkpoint.dir``); only a ``local[...]`` session may do
+without one.
 """
 
 from __future__ import annotations
@@ -66,14 +67,22 @@ def read_scoring_input(spark: SparkSession, path: str, schema: StructType | str,
     return spark.read.schema(schema).option("multiLine", multiline).json(path)
 
 
-def cached_sql_summary(df: DataFrame, view: str | None = None) -> DataFrame:
-    """Temp view, ``CACHE TABLE``, SQL aggregate per split."""
+def cached_sql_summary(df: DataFrame, split: str = "split",
+                       target: str = "CycleTime_sec") -> DataFrame:
+    """Temp view, ``CACHE TABLE``, SQL aggregate per split.  Only the two
+    columns that the aggregate reads are cached; view and cache are released
+    once its result, a row for each split, is known."""
     spark = df.sparkSession
-    view = view or f"features_{uuid.uuid4().hex[:8]}"
-    df.createOrReplaceTempView(view)
+    view = f"features_{uuid.uuid4().hex[:8]}"
+    df.select(F.col(split).alias("split"), F.col(target).alias("CycleTime_sec")).createOrReplaceTempView(view)
     spark.sql(f"CACHE TABLE {view}")
-    return spark.sql(f"SELECT split, AVG(CycleTime_sec) AS avg_cycle, COUNT(*) AS n "
-                     f"FROM {view} GROUP BY split ORDER BY split")
+    try:
+        out = spark.sql(f"SELECT split, AVG(CycleTime_sec) AS avg_cycle, COUNT(*) AS n "
+                        f"FROM {view} GROUP BY split ORDER BY split")
+        return spark.createDataFrame(out.collect(), out.schema)
+    finally:
+        spark.sql(f"UNCACHE TABLE IF EXISTS {view}")
+        spark.catalog.dropTempView(view)
 
 
 def column_profile(df: DataFrame) -> DataFrame:
@@ -100,10 +109,14 @@ def round_trip(df: DataFrame, path: str) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Content fingerprint, independent of row order and file layout:
-    XOR of a 64-bit hash of every row, and the row count."""
+    """Content fingerprint, independent of row order and file layout: the
+    row count and the sums of two 60-bit parts of the md5 of each row's text.
+    Repeated rows add up (they do not cancel)."""
     from pyspark.sql.types import MapType
     cols = [F.array_sort(F.map_entries(F.col(f.name))) if isinstance(f.dataType, MapType) else F.col(f.name)
-            for f in df.schema.fields]          # a map as its sorted entries (hashable, canonical)
-    h = F.xxhash64(*cols)
-    return df.agg(F.bit_xor(h).alias("fingerprint"), F.count(F.lit(1)).alias("rows"))
+            for f in df.schema.fields]          # a map as its sorted entries (canonical)
+    text = [F.coalesce(c.cast("string"), F.lit("\\N")) for c in cols]
+    h = F.md5(F.concat_ws("\x1f", *text))
+    part = lambda at: F.sum(F.conv(F.substring(h, at, 15), 16, 10).cast("decimal(38,0)"))
+    return df.agg(part(1).cast("string").alias("fingerprint_a"), part(16).cast("string").alias("fingerprint_b"),
+                  F.count(F.lit(1)).alias("rows"))
