@@ -6,7 +6,6 @@ session time zone; epoch seconds are taken from the wall clock the same way.
 
 from __future__ import annotations
 
-import datetime as _dt
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -23,7 +22,7 @@ DEFAULT_FORMATS = (
     "yyyy-MM-dd'T'HH:mm:ss",
 )
 
-_EPOCH = _dt.datetime(1970, 1, 1)
+_EPOCH = "1970-01-01 00:00:00"  # cast from text: no zone takes part
 
 
 def shape_of(fmt: str) -> str | None:

@@ -37,7 +37,7 @@ def time_quantiles(df: DataFrame, time_col: str, fractions=(TRAIN_FRAC, VAL_FRAC
 
 
 def _from_micros(us: int) -> Column:
-    return F.lit(dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=us)).cast("timestamp_ntz")
+    return F.lit((dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=us)).isoformat(" ")).cast("timestamp_ntz")
 
 
 def assign_time_split(df: DataFrame, time_col: str, fractions=(TRAIN_FRAC, VAL_FRAC),
