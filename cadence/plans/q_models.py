@@ -23,7 +23,7 @@ from cadence.plans.views import reg_lines
 ZF = ["l_quantity", "l_discount"]
 FEATS = ["l_quantity", "l_discount", "tax_ratio"]
 #: Depth of the forest of R2: the reference sets none, and MLlib grows 30 at most.
-FOREST_DEPTH = 12
+FOREST_DEPTH = 5
 
 
 def ridge_ctes(src: str, alpha: float = 1.0, n: str = "") -> str:
