@@ -16,7 +16,7 @@ def suffix_order(symbols: np.ndarray, length: int) -> np.ndarray:
         key[:max(0, n - j)] |= symbols[j:]
     known = 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         if known >= length:
             return order
         ranked = key[order]
@@ -38,7 +38,7 @@ def prefixes_below(symbols: np.ndarray, order: np.ndarray, length: int) -> np.nd
     not extended.
     """
     n = len(symbols)
-    before = symbols[order - 1].copy()
+    before = symbols[order - 1].astype(np.uint16)
     before[order == 0] = 0
     # where the suffix one symbol longer stands in the order
     place = np.empty(n, np.int64)
@@ -51,7 +51,7 @@ def prefixes_below(symbols: np.ndarray, order: np.ndarray, length: int) -> np.nd
         inside = np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
         owner = np.repeat(np.arange(len(lo)), size)
         to = place[inside]
-        by = np.argsort(to, kind="stable")
+        by = np.argsort(to)
         to, owner, c = to[by], owner[by], before[inside][by]
         first = np.concatenate(([True], (owner[1:] != owner[:-1]) | (c[1:] != c[:-1])
                                 | (to[1:] != to[:-1] + 1)))

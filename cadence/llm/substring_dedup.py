@@ -21,15 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadence.llm.bwt import repeated_starts
-from cadence.llm.common import (arrow_schema, id_back, id_key, shuffle_partitions, stage,
-                                stage_freeing, text_slices)
+from cadence.llm.common import (arrow_schema, free, id_back, id_key, shuffle_partitions, stage,
+                                text_slices)
 from cadence.llm.shingles import U, _powers, mix
 
 LENGTH, ANCHOR = 50, 24
 REACH = LENGTH - ANCHOR
 #: Bytes of a chunk of documents, anchors of a bucket, and bytes of one transform.
-CHUNK, BUCKET, TEXT = 1 << 20, 1_000_000, 1 << 20
-LOW = U((1 << 48) - 1)
+CHUNK, BUCKET, TEXT = 1 << 20, 400_000, 1 << 20
+LOW32 = U((1 << 32) - 1)
 _RNG = np.random.default_rng(50)
 _ROLL, _CONTEXT = (_RNG.integers(1, 1 << 63, 256, dtype=np.int64).astype(U) for _ in range(2))
 _FACTORS = [U(int(x) | 1) for x in _RNG.integers(1, 1 << 62, 8)]
@@ -46,7 +46,7 @@ def _slide(x: np.ndarray, width: int, what) -> np.ndarray:
 
 
 def _roll(data: np.ndarray) -> np.ndarray:
-    """Hash of the ``ANCHOR`` bytes from each position, by doubling; never 0."""
+    """Hash of the ``ANCHOR`` bytes from each position, by doubling."""
     h, span = _ROLL[data], 1
     for f in _FACTORS:
         if span == ANCHOR:
@@ -54,7 +54,7 @@ def _roll(data: np.ndarray) -> np.ndarray:
         step = min(span, ANCHOR - span)
         h = h[:len(h) - step] * f + h[step:]
         span += step
-    return mix(h) | U(1)
+    return h
 
 
 class Anchors:
@@ -62,7 +62,7 @@ class Anchors:
 
     a, c: hashes; entry: the entry of each position; at, lo, hi: position and its context's
     bounds in ``data``; doc: index of its document; first: the smallest id with that entry.
-    Entries are sorted by (a, c).
+    Entries are sorted by the upper half of a.
     """
 
     def __init__(self, ids: np.ndarray, texts: list[bytes]):
@@ -73,13 +73,14 @@ class Anchors:
         if len(data) < LENGTH or sizes.max(initial=0) < LENGTH:
             at = np.zeros(0, np.int64)
         else:
-            h = _roll(data)
+            hashes = _roll(data)
+            h = (hashes >> U(32)).astype(np.uint32) | np.uint32(1)
             low = _slide(h, REACH + 1, np.minimum)  # of each string of LENGTH bytes
             across = np.zeros(len(low), bool)
             for e in self.ends[:-1]:  # strings that run over a document's end
                 across[max(0, e - LENGTH + 1):e] = True
             low[across] = 0
-            edge = np.zeros(REACH, U)
+            edge = np.zeros(REACH, np.uint32)
             best = _slide(np.concatenate((edge, low, edge)), REACH + 1, np.maximum)
             at = np.flatnonzero(best == h)
         self.doc = np.searchsorted(self.ends, at, side="right")
@@ -91,17 +92,19 @@ class Anchors:
         np.cumsum(_CONTEXT[data] * power[:len(data)], out=sums[1:])
         shape = ((self.hi - self.lo) * 64 + (at - self.lo)).astype(U)
         c = mix((sums[self.hi] - sums[self.lo]) * inverse[self.lo] + mix(shape))
-        a = h[at] if len(at) else np.zeros(0, U)
+        a = mix(hashes[at]) if len(at) else np.zeros(0, U)
         owner = ids[self.doc]
-        order = np.lexsort((owner, c, a))
+        # by bucket, then by both hashes; stable, so that every pass numbers entries alike
+        order = np.argsort((a & ~LOW32) | (mix(a ^ mix(c)) >> U(32)), kind="stable")
         a, c, owner = a[order], c[order], owner[order]
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
         self.entry = np.empty(len(a), np.int64)
         self.entry[order] = np.cumsum(new) - 1
-        self.a, self.c, self.first = a[new], c[new], owner[new]
-        last = np.concatenate((np.flatnonzero(new)[1:] - 1, [len(a) - 1])) if len(a) else order
-        self.several = owner[last] > self.first
+        starts = np.flatnonzero(new)
+        self.a, self.c = a[starts], c[starts]
+        self.first = np.minimum.reduceat(owner, starts) if len(a) else owner
+        self.several = (np.maximum.reduceat(owner, starts) if len(a) else owner) > self.first
 
     def buckets(self, n: int) -> list[tuple[int, int, int]]:
         """(bucket, from, to): entries by ranges of the anchor's hash."""
@@ -161,19 +164,26 @@ def _hashes(buckets: int):
                 x = Anchors(*_open(row))
                 out = []
                 for bucket, lo, hi in x.buckets(buckets):
-                    names, which = np.unique(x.first[lo:hi], return_inverse=True)
-                    kind = "<u2" if len(names) <= 0x10000 else "<u4"
-                    docs = struct.pack("<I", len(names)) + names.tobytes() + which.astype(kind).tobytes()
                     out.append((bucket, row["chunk"], hi - lo, _six(x.a[lo:hi]) + _six(x.c[lo:hi]),
-                                docs, np.packbits(x.several[lo:hi]).tobytes()))
+                                _pack_ids(x.first[lo:hi]), np.packbits(x.several[lo:hi]).tobytes()))
                 yield from _emit(out, schema)
     return run
 
 
-def _doc_ids(data: bytes) -> np.ndarray:
-    n = struct.unpack_from("<I", data)[0]
-    kind = "<u2" if n <= 0x10000 else "<u4"
-    return np.frombuffer(data, np.int64, n, 4)[np.frombuffer(data, kind, offset=4 + 8 * n)]
+def _pack_ids(ids: np.ndarray) -> bytes:
+    """Distinct ids as steps, and for each id its place among them, in as few bytes as will do."""
+    names, which = np.unique(ids, return_inverse=True)
+    steps = np.diff(names.view(U), prepend=names[:1].view(U))
+    wide = int(steps.max()) >= 1 << 32
+    return (struct.pack("<IBq", len(names), wide, names[0]) + steps.astype("<u8" if wide else "<u4").tobytes()
+            + which.astype("<u2" if len(names) <= 0x10000 else "<u4").tobytes())
+
+
+def _unpack_ids(data: bytes) -> np.ndarray:
+    n, wide, first = struct.unpack_from("<IBq", data)
+    steps = np.frombuffer(data, "<u8" if wide else "<u4", n, 13).astype(U)
+    which = np.frombuffer(data, "<u2" if n <= 0x10000 else "<u4", offset=13 + n * (8 if wide else 4))
+    return (np.cumsum(steps, dtype=U).view(np.int64) + first)[which]
 
 
 #: 1: a smaller document of another chunk has this context; 2: no smaller one has, and the anchor
@@ -186,10 +196,11 @@ def _judge(rows: list[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     sizes = [r["n"] for r in rows]
     a = np.concatenate([_from_six(r["hashes"][:6 * n]) for r, n in zip(rows, sizes)])
     c = np.concatenate([_from_six(r["hashes"][6 * n:]) for r, n in zip(rows, sizes)])
-    doc = np.concatenate([_doc_ids(r["docs"]) for r in rows])
+    doc = np.concatenate([_unpack_ids(r["docs"]) for r in rows])
     several = np.concatenate([np.unpackbits(np.frombuffer(r["several"], np.uint8), count=n)
                               for r, n in zip(rows, sizes)])
-    order = np.lexsort((doc, c, a))
+    # anchors together, and their contexts but for rare ties, which only make two of one context
+    order = np.argsort((a << U(16)) | (c & U(0xFFFF)))
     a, c, doc, several = a[order], c[order], doc[order], several[order]
     new_a = np.concatenate(([True], a[1:] != a[:-1]))
     new_c = new_a | np.concatenate(([True], c[1:] != c[:-1]))
@@ -198,7 +209,7 @@ def _judge(rows: list[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     spread = (np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts))
     spread |= np.maximum.reduceat(several, starts) > 0
     contexts = np.add.reduceat(new_c.astype(np.int64), starts)
-    least = doc[np.flatnonzero(new_c)][np.cumsum(new_c) - 1]
+    least = np.minimum.reduceat(doc, np.flatnonzero(new_c))[np.cumsum(new_c) - 1]
     verdict = np.where(doc > least, HELD, np.where((spread & (contexts > 1))[of_a], SHIP, 0))
     back = np.empty(len(order), np.uint8)
     back[order] = verdict
@@ -223,7 +234,8 @@ def _by_bucket(work, ddl: str):
 
 
 #: Contexts to compare: their entries in (chunk, bucket), hashes of their anchors, owners, bytes.
-SHIPPED = "bucket int, chunk long, entries binary, anchors binary, owners binary, sizes binary, data binary"
+SHIPPED = "bucket int, chunk long, entries binary, anchors binary, owners binary, lefts binary, " \
+          "sizes binary, data binary"
 
 
 def _verdicts_of(x: Anchors, row: dict, buckets: int) -> np.ndarray:
@@ -255,6 +267,7 @@ def _ship(buckets: int):
                     parts = [row["data"][i:j] for i, j in zip(x.lo[at[p:q]], x.hi[at[p:q]])]
                     out.append((bucket, row["chunk"], (entries[p:q] - lo).tobytes(),
                                 x.a[entries[p:q]].tobytes(), x.first[entries[p:q]].tobytes(),
+                                (x.at - x.lo)[at[p:q]].astype(np.uint8).tobytes(),
                                 np.array([len(t) for t in parts], np.uint8).tobytes(),
                                 b"".join(parts)))
                 yield from _emit(out, schema)
@@ -265,24 +278,48 @@ def _ship(buckets: int):
 FOUND = "bucket int, chunk long, entries binary, starts binary, ends binary"
 
 
+def _halves(anchors: np.ndarray, owners: np.ndarray, lefts: np.ndarray, sizes: np.ndarray,
+            data: np.ndarray) -> np.ndarray:
+    """Contexts that can share a string with one of another owner: a string around an anchor holds
+    half of its reach before the anchor or half of it behind, so one of these must be shared."""
+    half = REACH // 2
+    power, inverse = _powers(len(data) + 1)[:2]
+    sums = np.zeros(len(data) + 1, U)
+    np.cumsum(_CONTEXT[data] * power[:len(data)], out=sums[1:])
+    at = np.cumsum(sizes) - sizes + lefts
+    keep = np.zeros(len(anchors), bool)
+    for lo, hi, there in ((at - half, at, lefts >= half),
+                          (at + ANCHOR, at + ANCHOR + half, sizes - lefts - ANCHOR >= half)):
+        which = np.flatnonzero(there)
+        lo, hi = lo[which], hi[which]
+        key = mix(((sums[hi] - sums[lo]) * inverse[lo]) ^ mix(anchors[which]))
+        order = np.lexsort((owners[which], key))
+        key, who = key[order], owners[which][order]
+        new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
+        starts = np.flatnonzero(new)
+        if len(starts):
+            several = np.minimum.reduceat(who, starts) < np.maximum.reduceat(who, starts)
+            keep[which[order]] |= several[np.cumsum(new) - 1]
+    return keep
+
+
 def _expand(rows: list[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Transforms over groups of whole anchors, about ``TEXT`` bytes each."""
-    sizes = [np.frombuffer(r["sizes"], np.uint8).astype(np.int64) for r in rows]
-    anchors = np.concatenate([np.frombuffer(r["anchors"], U) for r in rows])
-    owners = np.concatenate([np.frombuffer(r["owners"], np.int64) for r in rows])
-    entries = np.concatenate([np.frombuffer(r["entries"], np.int64) for r in rows])
-    source = np.repeat(np.arange(len(rows)), [len(s) for s in sizes])
-    texts = [r["data"][e - n:e] for r, s in zip(rows, sizes) for e, n in zip(np.cumsum(s), s)]
-    order = np.argsort(anchors, kind="stable")
-    new = np.concatenate(([True], anchors[order][1:] != anchors[order][:-1]))
-    load = np.cumsum([len(texts[i]) + 1 for i in order])
-    groups = np.flatnonzero(new)
-    part = load[groups] // TEXT  # whole anchors that end in the same stretch go together
-    cuts = groups[np.flatnonzero(np.diff(part)) + 1]
+    read = lambda c, kind: np.concatenate([np.frombuffer(r[c], kind) for r in rows])
+    sizes, lefts = read("sizes", np.uint8).astype(np.int64), read("lefts", np.uint8).astype(np.int64)
+    anchors, owners, entries = read("anchors", U), read("owners", np.int64), read("entries", np.int64)
+    data = b"".join(r["data"] for r in rows)
+    source = np.repeat(np.arange(len(rows)), [len(r["sizes"]) for r in rows])
+    ends = np.cumsum(sizes)
+    some = np.flatnonzero(_halves(anchors, owners, lefts, sizes, np.frombuffer(data, np.uint8)))
+    order = some[np.argsort(anchors[some], kind="stable")]
+    new = np.flatnonzero(np.concatenate(([True], anchors[order][1:] != anchors[order][:-1])))
+    part = np.cumsum(sizes[order] + 1)[new] // TEXT if len(order) else np.zeros(0, np.int64)
+    cuts = new[np.flatnonzero(np.diff(part)) + 1]  # anchors that end in one stretch go together
     found: list[list[np.ndarray]] = [[] for _ in rows]
-    for group in np.split(order, cuts):
-        starts = repeated_starts([texts[i] for i in group], owners[group], LENGTH)
-        for i, s in zip(group, starts):
+    for group in np.split(order, cuts) if len(order) else []:
+        texts = [data[ends[i] - sizes[i]:ends[i]] for i in group]
+        for i, s in zip(group, repeated_starts(texts, owners[group], LENGTH)):
             if len(s):
                 gap = np.flatnonzero(np.diff(s) > 1)
                 first = s[np.concatenate(([0], gap + 1))]
@@ -312,11 +349,12 @@ def _cover(x: Anchors, ids: np.ndarray, row: dict, buckets: int) -> np.ndarray:
     whole = ((verdicts == HELD)[x.entry] | (ids[x.doc] > x.first[x.entry])) & (x.hi - x.lo >= LENGTH)
     mark(x.lo[whole], x.hi[whole])
     order = np.argsort(x.entry, kind="stable")
+    first = np.searchsorted(x.entry[order], np.arange(len(x.a) + 1))  # of each entry in that order
+    base = {b: lo for b, lo, _ in x.buckets(buckets)}
     for found in row["found"] or ():
-        base = next(lo for b, lo, _ in x.buckets(buckets) if b == found["bucket"])
         entry, lo, hi = (np.frombuffer(found[c], np.int64) for c in ("entries", "starts", "ends"))
-        a, b = (np.searchsorted(x.entry[order], entry + base, side=s) for s in ("left", "right"))
-        n = b - a  # every position of the entry
+        a = first[entry + base[found["bucket"]]]
+        n = first[entry + base[found["bucket"]] + 1] - a  # every position of the entry
         which = order[np.arange(n.sum()) + np.repeat(a - (np.cumsum(n) - n), n)]
         mark(x.lo[which] + np.repeat(lo, n), x.lo[which] + np.repeat(hi, n) + LENGTH)
     return np.cumsum(change[:-1]) > 0
@@ -360,17 +398,21 @@ def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     spark = docs.sparkSession
     d = docs.select(id_key(doc_id).alias("k"),
                     F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
-    chunks = stage(d.mapInArrow(_chunks, CHUNKED), "chunks")
+    chunks = stage(d.mapInArrow(_chunks, CHUNKED), "chunks", compression="zstd")
     size = chunks.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     buckets = max(shuffle_partitions(spark), -(-size // (14 * BUCKET)))
-    dealt = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    verdicts = dealt(chunks.mapInArrow(_hashes(buckets), HASHES))
-    verdicts = stage_freeing(verdicts.mapInArrow(_by_bucket(_judge, VERDICTS), VERDICTS), "verdicts")
-    told = verdicts.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "verdicts")).alias("told"))
-    told = stage_freeing(chunks.join(told, "chunk", "left"), "judged")
-    shipped = dealt(told.mapInArrow(_ship(buckets), SHIPPED))
-    found = stage_freeing(shipped.mapInArrow(_by_bucket(_expand, FOUND), FOUND), "found")
+
+    def by_bucket(rows: DataFrame, work, ddl: str, name: str) -> DataFrame:
+        dealt = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+        return stage(dealt.mapInArrow(_by_bucket(work, ddl), ddl), name)
+
+    verdicts = by_bucket(chunks.mapInArrow(_hashes(buckets), HASHES), _judge, VERDICTS, "verdicts")
+    told = chunks.join(verdicts.groupBy("chunk").agg(
+        F.collect_list(F.struct("bucket", "verdicts")).alias("told")), "chunk", "left")
+    free(spark)
+    found = by_bucket(told.mapInArrow(_ship(buckets), SHIPPED), _expand, FOUND, "found")
     found = found.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "entries", "starts", "ends"))
                                        .alias("found"))
+    free(spark)
     out = told.join(found, "chunk", "left").mapInArrow(_finish(buckets), RESULT)
     return out.select(id_back(F.col("k")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
