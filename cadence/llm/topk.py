@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from cadence.llm.common import arrow_schema, id_back, id_key, shuffle_partitions
 from cadence.llm.vectors import matrix, widen
 
-#: Dimensions of one step; candidates a task holds; queries of a block; scores at once.
-DIMS, HELD, QUERIES, TILE = 8, 40_000, 256, 4096
+#: Dimensions of one step; candidates a task holds, at most and at least (about); queries of a
+#: block; candidates of a tile.
+DIMS, HELD, LEAST, QUERIES, TILE = 8, 40_000, 2000, 256, 4096
 #: The survivors are compacted when they are under this share.
 SPARSE = 0.15
 LIMIT = 1 << 62
@@ -170,7 +171,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "ve
     spark = vectors.sparkSession
     cols = [id_key(vec_id).alias("k"), F.col(f"`{embedding}`").alias("v")]
     every, asked = vectors.select(*cols), queries.select(*cols)
-    slots = max(shuffle_partitions(spark), -(-every.count() // HELD))
+    total = every.count()
+    slots = max(1, min(shuffle_partitions(spark), -(-total // LEAST)), -(-total // HELD))
     every = every.withColumn("slot", F.pmod(F.xxhash64("k", "v"), F.lit(slots)).cast("int"))
     asked = asked.groupBy("k").agg(F.min("v").alias("v")).withColumn("slot", F.lit(0))
     packed = (every.mapInArrow(_pack(0, slots), PACKED)
