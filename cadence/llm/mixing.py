@@ -24,7 +24,7 @@ from cadence.llm.common import shuffle_partitions
 #: Slots of a frame: weights are held to one part in so many.
 FRAME = 1000
 #: Rows numbered by one task.
-NUMBERED = 50_000
+NUMBERED = 8192
 REST = "\0rest"
 
 
