@@ -21,17 +21,18 @@ from pyspark.sql import functions as F
 from cadence.llm.common import arrow_schema
 
 #: Words and neighbour tests that a worker remembers.
-CACHE = 800_000
+CACHE = 600_000
 SPACE = "▁"
 _PARTS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 _RUN = re.compile(f"{SPACE}*")
 
 
-class PieceCodec:
+class PieceCodec(dict):
     """Encodes and decodes as the model file says.
 
     Taken from the file: pieces, scores, byte pieces, begin and end id. Supported: merge-type
-    models with byte fallback, no normalisation rules and a blank put before the text.
+    models with byte fallback, no normalisation rules and a blank put before the text. The codec
+    is the dictionary of the words it remembers, each with its ids as bytes.
     """
 
     def __init__(self, path: str):
@@ -66,7 +67,6 @@ class PieceCodec:
         found.make_automaton()
         self.found = found
         self.fits: dict[int, bool] = {}
-        self.words: dict[str, bytes] = {}
         self.chars = frozenset(p for p in self.ids if len(p) == 1)
 
     def _reachable(self, piece: str) -> bool:
@@ -138,6 +138,10 @@ class PieceCodec:
                 grown[-2:] = [grown[-2] + grown[-1]]
         return [self.ids[SPACE * g] for g in grown]
 
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = np.asarray(self._word(word), "<u4").tobytes()
+        return ids
+
     def _word(self, word: str) -> list[int]:
         """A word with the blanks before it."""
         blanks = _RUN.match(word).end()
@@ -168,13 +172,11 @@ class PieceCodec:
                 words = _PARTS.findall(marked)
             else:
                 words = marked.replace(SPACE, "\0" + SPACE).replace("\n", "\0\n\0").split("\0")
-            known = self.words
-            if len(known) > CACHE:
-                known.clear()
+            if len(self) > CACHE:
+                self.clear()
+            if len(self.fits) > CACHE:
                 self.fits.clear()
-            for w in set(words).difference(known):
-                known[w] = np.asarray(self._word(w), "<u4").tobytes()
-            body = b"".join(map(known.__getitem__, words))
+            body = b"".join(map(self.__getitem__, words))
         return b"".join((np.uint32(self.bos).tobytes(), body, np.uint32(self.eos).tobytes()))
 
     def decode(self, ids: np.ndarray) -> str:
