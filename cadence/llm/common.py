@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -68,20 +69,21 @@ def shipped(query: Callable) -> Callable:
     return run
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, **options) -> DataFrame:
     """Write ``df`` to a scratch table and read it again: later steps do not repeat its work,
     and losing an executor loses none of it."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stage_freeing(df: DataFrame, name: str) -> DataFrame:
-    """``stage``, and let Spark's cleaner drop the shuffle files of what it replaces."""
-    out = stage(df, name)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+def free(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of steps that nothing refers to any more: their
+    results are in scratch tables."""
+    gc.collect()
+    spark.range(1).count()  # the session holds on to the query that ran last
+    spark.sparkContext._jvm.System.gc()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cadence.llm.common import arrow_schema, id_back, id_key, stage, stage_freeing, text_slices
+from cadence.llm.common import arrow_schema, free, id_back, id_key, stage, text_slices
 from cadence.llm.components import components
 from cadence.llm.shingles import U, mix, shingle_sets
 
@@ -215,6 +215,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     d = docs.select(id_key(doc_id).alias("k"),
                     F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
+    spark = docs.sparkSession
     signed = stage(d.mapInArrow(_sign(width), SIGNED), "signed")
     known = signed.filter("n > 0")
     classes = known.groupBy("s1", "s2").agg(F.min("k").alias("rep"))
@@ -224,7 +225,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             .select("k", "bands").distinct())
     bands = stage(reps.select("k", F.explode("bands").alias("key")).distinct(), "bands")
     sizes = bands.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
-    members = stage_freeing(bands.join(sizes, "key"), "members")
+    members = stage(bands.join(sizes, "key"), "members")
 
     score = members.groupBy("k").agg(F.sum("m").alias("score"))
     order = F.struct("score", F.bitwise_not("k").alias("low"))
@@ -234,7 +235,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     star = shared.groupBy("k").agg(F.max_by("hub", F.struct("n", F.bitwise_not("hub").alias("low")))
                                    .alias("hub"))
     star = stage(star.select(F.col("k").alias("a"), F.col("hub").alias("b")), "stars")
-    texts = stage_freeing(d.join(members.select("k").distinct(), "k", "left_semi"), "texts")
+    free(spark)
+    texts = stage(d.join(members.select("k").distinct(), "k", "left_semi"), "texts")
     first = stage(_links(star, texts, percent, width), "links-to-hubs")
     same = member_of.filter("k != rep").select(F.col("k").alias("a"), F.col("rep").alias("b"))
     # ids that repeat may stand in several classes: their classes are linked through them
