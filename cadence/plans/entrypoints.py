@@ -17,7 +17,8 @@ from cadence.operators import attribution as AT
 from cadence.operators import models as M
 from cadence.operators import stats as S
 from cadence.operators.projection import drop_case_insensitive, feature_columns
-from cadence.operators.sequences import last_step, scoring_window, template_row, windows
+from cadence.operators.sequences import (last_step, previous_target, scoring_window, template_row,
+                                         windows)
 from cadence.operators.splits import require_splits, seeded_sample
 from cadence.functions.timeparse import require_rows
 from cadence.plans.etl import add_target, build_raw_table
@@ -59,6 +60,9 @@ def etl_from_config(spark: SparkSession, cfg: dict, schema=None) -> DataFrame:
                max_gap=float(cfg.get("max_gap_sec", 90)), fractions=(train, round(train + val, 12)))
 
 
+PREV = "prev_ct"  # the previous target as a feature
+
+
 @dataclass
 class Baselines:
     metrics: DataFrame          # (model, split, mae, rmse, r2) on val and test
@@ -114,16 +118,20 @@ class SequenceModel:
 
 def sequence_model(features: DataFrame, roles: ColumnRoles, length: int = 5,
                    feature_list: list[str] | None = None, log_target: bool = False,
-                   oversample_long: float | None = None,
+                   oversample_long: float | None = None, prev_target: bool = False,
                    threshold: float = S.LONG_THRESHOLD) -> tuple[SequenceModel, DataFrame, DataFrame]:
     """``make lstm`` re-aimed: windows inside each split (target row inside),
     train-only imputation and scaling over all cells, a regressor and a
     class-weighted long-cycle classifier on the flattened window.
     ``log_target`` fits the regressor on log1p(seconds) and inverts with
     expm1 (P11); ``oversample_long`` draws long train windows with that
-    weight (M6).  Returns (model, prediction table for val+test, metrics)."""
+    weight (M6); ``prev_target`` adds the previous row's target inside each
+    split as a feature (W4), which drops the first row of a split.  Returns (model, prediction table for val+test, metrics)."""
     df = features.dropna(subset=[roles.target])
     feats = feature_list or feature_columns(df, roles)
+    if prev_target:
+        df = previous_target(df, roles.order(), [roles.split], roles.target, PREV, drop_missing=[])
+        feats = [*feats, PREV]
     meta = [c for c in (roles.stream, roles.cycle, roles.time) if c] + [roles.split]
     win = windows(df, feats, length, roles.order(), target_inside=True, meta=meta,
                   partition=[roles.split], target=roles.target)
@@ -145,6 +153,9 @@ def score_latest(features: DataFrame, roles: ColumnRoles, model: SequenceModel)
     """``inference``: the last L rows (test split, or all rows when it is
     shorter) as one window, imputed and scaled with the train scaler."""
     keys = tuple(c for c in (roles.stream, roles.cycle) if c)
+    if PREV in model.features:
+        part = [roles.split] if roles.split in features.columns else []
+        features = previous_target(features, roles.order(), part, roles.target, PREV)
     w = scoring_window(features, model.features, model.length, roles.order(), roles.split, keys)
     w = w.withColumn("y", F.lit(None).cast("double"))
     z = S.apply_window_scaler(w, model.means, model.scale)

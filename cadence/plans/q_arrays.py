@@ -92,6 +92,20 @@ def a12_series_summary(spark, sf_dir):
     return A.summarize_series_columns(t, ["E"]).drop("label")
 
 
+@query("A12_missing_series", "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN -1.0 ELSE 2.0 END AS E_len_mean, "
+       "CAST(CASE WHEN vec_id % 3 = 0 THEN -1 ELSE 3 END AS INTEGER) AS E_len_max, "
+       "CASE WHEN vec_id % 3 <> 0 THEN label + 1.0 END AS E_max_mean FROM embeddings",
+       doubles=("E_len_mean", "E_max_mean"))
+def a12_missing_series(spark, sf_dir):
+    """The reference's numbers for a missing or empty cell: lengths -1 (``minus_one``)."""
+    e = table(spark, sf_dir, "embeddings")
+    cell = F.when(F.col("vec_id") % 6 == 0, F.lit(None)).when(F.col("vec_id") % 3 == 0, F.lit("[]")).otherwise(
+        F.concat(F.lit("[[0, 1, "), (F.col("label") + 2).cast("string"), F.lit("], ["),
+                 F.col("label").cast("string"), F.lit("]]")))
+    out = A.summarize_series_columns(e.select("vec_id", cell.alias("E")), ["E"], null_len="minus_one")
+    return out.select("vec_id", "E_len_mean", "E_len_max", "E_max_mean")
+
+
 @query("G1_channel_mean", _summary_sql(), doubles=_SUMMARY_DOUBLES)
 def g1_channel_mean(spark, sf_dir):
     """Test form: explode channels, group by key, average the statistics."""

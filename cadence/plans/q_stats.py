@@ -89,6 +89,17 @@ def m4_standardize(spark, sf_dir):
     return S.standardize(r, f, S.train_stats(r, f, median=False)).select("row_key", *f)
 
 
+@query("M4_standardize_floor", with_ctes(REG_LINES, """
+st AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq FROM rl WHERE split = 'train')""") +
+       "SELECT row_key, (l_quantity - mq) / greatest(sq, 1e-8) AS l_quantity, "
+       "CAST(0.0 AS DOUBLE) AS flat FROM rl CROSS JOIN st", doubles=("l_quantity", "flat"))
+def m4_standardize_floor(spark, sf_dir):
+    """The scoring path's form: a std of zero (the constant column) is floored at 1e-8."""
+    r = reg_lines(spark, sf_dir).withColumn("flat", F.lit(3.0))
+    f = ["l_quantity", "flat"]
+    return S.standardize(r, f, S.train_stats(r, f, median=False), zero_std="floor").select("row_key", *f)
+
+
 def _prev_ct_all(spark, sf_dir):
     f = events_features(spark, sf_dir)
     return previous_target(f, EVENTS_ROLES.order(), partition=["split"])
@@ -169,6 +180,14 @@ def p3_numeric_features(spark, sf_dir):
     return r.select("row_key", *feats)
 
 
+@query("P3_pattern_features", with_ctes(REG_LINES) + "SELECT row_key, l_discount, l_quantity FROM rl",
+       doubles=("l_discount", "l_quantity"))
+def p3_pattern_features(spark, sf_dir):
+    """Features by name pattern, sorted, the first two."""
+    r = reg_lines(spark, sf_dir)
+    return r.select("row_key", *feature_columns(r, exclude=("y", "split"), pattern="^l_", limit=2))
+
+
 @query("P5_role_projection", "SELECT user_id AS A, event_id AS B, event_type AS D FROM events")
 def p5_role_projection(spark, sf_dir):
     e = table(spark, sf_dir, "events")

@@ -52,6 +52,24 @@ def test_sequence_options(spark):
     assert E.score_latest(f, R, model).count() == 1
 
 
+def test_previous_target_as_a_feature(spark):
+    f = _features(spark)
+    model, preds, _ = E.sequence_model(f, R, length=4, prev_target=True)
+    plain, all_preds, _ = E.sequence_model(f, R, length=4)
+    assert model.features == [*plain.features, "prev_ct"]
+    assert preds.count() == all_preds.count() - 2    # one row less in val and in test
+    assert E.score_latest(f, R, model).first().pred_sec is not None
+
+
+def test_saved_pipeline_scores_alike(spark):
+    from cadence.sources import io
+    f = _features(spark)
+    model = E.baselines(f, R, kinds=("Ridge",)).models["Ridge"]
+    loaded = E.load_pipeline(E.save_pipeline(model, io.scratch_path(spark, "pipeline")))
+    a, b = (E.score_batch(f, m, ["B"]).orderBy("B").collect() for m in (model, loaded))
+    assert a == b and len(a) > 0
+
+
 def test_etl_from_csv_with_raw_table(spark):
     from cadence.sources import io
     rows = [("m1", i, f"2024-01-01 00:{i:02d}:00", i % 2, f"[[{i},{i + 1}]]") for i in range(20)]
