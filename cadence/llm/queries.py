@@ -20,6 +20,8 @@ QUERIES = {
 QUERIES = {name: shipped(query) for name, query in QUERIES.items()}
 ORACLE_SQL = {
     "op2_mix_sources": q_mixing.SQL,
+    "op5_minhash": q_near.NEAR_SQL,
     "op6_line_dedup": q_lines.SQL,
     "op9_top_k": q_vectors.TOP_K_SQL,
+    "op10_embedding_dedup": q_vectors.NEAR_SQL,
 }
