@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from cadence.llm.common import arrow_schema, text_slices
 
 UNKNOWN = "und"
-#: Bounds of the training sample, the only thing that is sampled: rows of a language, characters
-#: of a row, and characters of all languages together.
-SAMPLE_ROWS, ROW_CHARS, TOTAL_CHARS = 400, 600, 240_000
+#: Bounds of the training sample, the only thing that is sampled: languages (the most frequent
+#: labels), rows of a language, characters of a row, and characters of all languages together.
+LANGUAGES, SAMPLE_ROWS, ROW_CHARS, TOTAL_CHARS = 200, 400, 600, 240_000
 #: Letters with a symbol of their own; texts are parsed in stretches of so many symbols.
 LETTERS, STRETCH = 90, 256
 
@@ -44,9 +44,10 @@ def training_sample(docs: DataFrame, text: str = "text", lang: str = "lang",
     d = d.filter(F.col("l").isNotNull() & F.col("t").isNotNull()
                  & (F.crc32(F.col("k").cast("string")) % 5 != 0))
     d = d.withColumn("h", F.xxhash64("k"))
-    first = (d.select("l", "h").withColumn("n", F.row_number().over(W.partitionBy("l").orderBy("h")))
+    labels = d.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES)
+    first = (d.join(F.broadcast(labels.select("l")), "l").select("l", "h").withColumn("n", F.row_number().over(W.partitionBy("l").orderBy("h")))
              .filter(F.col("n") <= SAMPLE_ROWS).groupBy("l").agg(F.max("h").alias("cut")))
-    rows = (d.join(F.broadcast(first), "l")  # one row a language
+    rows = (d.join(F.broadcast(first), "l")  # LANGUAGES rows at most
             .filter(F.col("h") <= F.col("cut"))
             .select("l", "h", F.substring("t", 1, ROW_CHARS).alias("t")).collect())
     texts: dict[str, list[str]] = {}
@@ -101,6 +102,9 @@ class Parser:
             c = chr(i)
             if c.isalpha():
                 self.symbol[i] = own.get(c.lower(), self.other)
+        # an automaton has at most two states a character, and a row for no phrase
+        states = sum(2 * len(t) + 2 for t in training.values())
+        self.kind = np.int32 if 2 * states * self.width < 1 << 31 else np.int64
         tables, self.idle, self.bits, base = [], [], [], 0
         for name in self.names:
             symbols = self._symbols(training[name])
@@ -118,15 +122,17 @@ class Parser:
         training text lacks is a phrase of its own and leads there.
         """
         idle = len(step)
-        out = np.full((idle + 1, self.width), -1, np.int64)
+        out = np.full((idle + 1, self.width), -1, self.kind)
         for s, nexts in enumerate(step):
             for c, t in nexts.items():
                 out[s, c] = t
         begins = out < 0
-        out = np.where(begins, np.where(out[0] < 0, idle, out[0]), out)
-        out = ((out + base) * self.width) * 2 + begins
+        np.copyto(out, np.where(out[0] < 0, idle, out[0]).astype(self.kind), where=begins)
+        out += base
+        out *= 2 * self.width
+        out += begins
         out[:, self.pad] = (base + idle) * self.width * 2
-        return out.astype(np.int32 if out.max(initial=0) < 1 << 31 else np.int64)
+        return out
 
     def _symbols(self, text: str) -> np.ndarray:
         return self._normalised([text])[0]
@@ -209,7 +215,7 @@ def predict_language(docs: DataFrame, training: dict[str, str], text: str = "tex
         parser, schema = _PARSERS[key], arrow_schema("p string, s double, b double")
         for b in batches:
             texts = b.column("text")
-            for lo, hi in text_slices(texts, 1 << 20):
+            for lo, hi in text_slices(texts, 1 << 19):
                 cols = zip(*parser.predict(texts.slice(lo, hi - lo).to_pylist()))
                 yield pa.record_batch([b.column("row").slice(lo, hi - lo),
                                        *(pa.array(c, f.type) for c, f in zip(cols, schema))],
