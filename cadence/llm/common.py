@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 #: A null id takes part as an id smaller than every other.
 NULL_ID = -(1 << 63)
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Rows of an Arrow batch.
+ARROW_ROWS = 1000
 #: The white space of words and of line ends: space and \t \n \v \f \r.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -47,8 +49,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once a session, so that queries run wherever they
-    were started from. Where it is installed on the executors this is not needed."""
+    were started from (where it is installed on the executors this is not needed), and keep Arrow
+    batches small unless the session says how large they are."""
     sc = spark.sparkContext
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch) == "10000":  # Spark's default: tens of MB of texts in each task
+        spark.conf.set(batch, str(ARROW_ROWS))
     if getattr(sc, "_cadence_sent", False):
         return
     package = Path(__file__).resolve().parents[1]

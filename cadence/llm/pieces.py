@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from cadence.llm.common import arrow_schema
 
 #: Words and neighbour tests that a worker remembers.
-CACHE = 600_000
+CACHE = 300_000
 SPACE = "▁"
 _PARTS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 _RUN = re.compile(f"{SPACE}*")
