@@ -219,10 +219,10 @@ def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return (spark.read.schema("path string, modificationTime timestamp, length long, "
-                              "content binary, shard int")
-            .format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/records")
-            .select("shard", "content"))
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "part-*")
+             .option("recursiveFileLookup", True).load(f"{path}/records"))
+    shard = F.regexp_extract("path", r"/shard=([0-9]+)/", 1).cast("int")
+    return files.select(shard.alias("shard"), "content")
 
 
 def scan_records(spark: SparkSession, path: str) -> DataFrame:

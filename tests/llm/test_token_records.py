@@ -13,11 +13,11 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def test_frames_and_damage():
     ids = np.array([5, 0, 50256], "<u2")
-    data = T.frame(7, 2, ids.tobytes()) + T.frame(-(1 << 63), 2, b"")
+    data = T.END.join((T.frame(7, 2, ids.tobytes()), T.frame(-(1 << 63), 2, b""), b""))
     k, got, nxt = T.read_frame(data, 0)
     assert (k, got.tolist()) == (7, [5, 0, 50256])
     assert T.read_frame(data, nxt)[:1] == (-(1 << 63),) and T.read_frame(data, nxt)[2] == len(data)
-    for at in range(len(T.frame(7, 2, ids.tobytes())) - 1):
+    for at in range(len(T.frame(7, 2, ids.tobytes()))):
         bad = bytearray(data)
         bad[at] ^= 1
         with pytest.raises(ValueError):
