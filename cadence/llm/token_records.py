@@ -35,7 +35,7 @@ END = b"\n"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 ODD = "\u180e"
 #: Words that a worker remembers with their ids.
-CACHE = 500_000
+CACHE = 800_000
 
 
 def masked_crc(data: bytes) -> int:
