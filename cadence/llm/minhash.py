@@ -195,27 +195,25 @@ def _rest(members: DataFrame, star: DataFrame, comp: DataFrame, texts: DataFrame
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
-                    percent: int = 85, width: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
-
-    Two documents are linked if 100 * intersection >= ``percent`` * union of their sets of
-    distinct ``width``-word shingles (words lower-cased in A-Z; fewer words: the whole sequence).
-    component_id is the smallest id that links reach, kept marks it.
-
-    A null text, or one without words, has no shingles and no links. A null id is one id smaller
-    than all others. Rows that repeat an id are one node with the links of all of them. Other
-    columns are not read. An empty table gives an empty result.
+def _nodes(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, bool]:
+    """Rows of ids (k), node keys (x) and texts (t), and whether ids repeat.
 
-    Steps: sign every document in one narrow pass; documents of equal sets become one (two 64-bit
-    sums over the hashes); band keys are grouped with partial aggregation, and each bucket links
-    its members to the member that shares most buckets, one link a document. Those are verified on
-    whole sets and contracted. Only buckets that still hold several components compare their
-    members, in blocks. So a bucket of m copies costs m verifications, not m * m.
+    Where no id repeats, the id is the key. Otherwise each distinct pair of id and text has a key
+    of its own, a 64-bit hash of both, so that unlike texts of one id stay apart.
     """
     d = docs.select(id_key(doc_id).alias("k"),
                     F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
-    spark = docs.sparkSession
+    repeat = d.groupBy("k").agg(F.count("*").alias("m")).filter("m > 1").limit(1).count() > 0
+    return d.withColumn("x", F.xxhash64("k", "t") if repeat else F.col("k")), repeat
+
+
+def _similar(d: DataFrame, repeat: bool, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """Signed nodes (k, n, ...) and components (id, component) of nodes that links reach."""
+    spark = d.sparkSession
+    if repeat:
+        d = stage(d.groupBy(F.col("x").alias("k")).agg(F.min("t").alias("t")), "nodes-texts")
+    else:
+        d = d.select(F.col("x").alias("k"), "t")
     signed = stage(d.mapInArrow(_sign(width), SIGNED), "signed")
     known = signed.filter("n > 0")
     classes = known.groupBy("s1", "s2").agg(F.min("k").alias("rep"))
@@ -239,10 +237,37 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     texts = stage(d.join(members.select("k").distinct(), "k", "left_semi"), "texts")
     first = stage(_links(star, texts, percent, width), "links-to-hubs")
     same = member_of.filter("k != rep").select(F.col("k").alias("a"), F.col("rep").alias("b"))
-    # ids that repeat may stand in several classes: their classes are linked through them
     rest = _rest(members, star, components(first, "a", "b"), texts, percent, width)
     second = stage(_links(stage(rest, "pairs"), texts, percent, width), "links-of-rest")
-    comp = components(first.union(second).union(same), "a", "b")
+    return signed, components(first.union(second).union(same), "a", "b")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
+                    percent: int = 85, width: int = 5) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
+
+    Two documents are linked if 100 * intersection >= ``percent`` * union of their sets of
+    distinct ``width``-word shingles (words lower-cased in A-Z; fewer words: the whole sequence).
+    component_id is the smallest id that links reach, kept marks it.
+
+    A null text, or one without words, has no shingles and no links. A null id is one id smaller
+    than all others. Rows that repeat an id share its component and have the links of all of them:
+    every text is compared on its own, then the components of an id's texts are joined. Other
+    columns are not read. An empty table gives an empty result.
+
+    Steps: sign every document in one narrow pass; documents of equal sets become one (two 64-bit
+    sums over the hashes); band keys are grouped with partial aggregation, and each bucket links
+    its members to the member that shares most buckets, one link a document. Those are verified on
+    whole sets and contracted. Only buckets that still hold several components compare their
+    members, in blocks. So a bucket of m copies costs m verifications, not m * m.
+    """
+    d, repeat = _nodes(docs, text, doc_id)
+    signed, comp = _similar(d, repeat, percent, width)
+    if repeat:
+        signed = stage(d.select("k", "x").join(signed.select(F.col("k").alias("x"), "n"), "x"), "rows")
+        linked = signed.select("k", "x").distinct().join(comp, F.col("x") == F.col("id"))
+        low = linked.groupBy("component").agg(F.min("k").alias("low"))
+        comp = components(linked.join(low, "component"), "k", "low")
     out = signed.select("k", "n").join(comp, signed.k == comp.id, "left").select(
         "k", "n", F.coalesce("component", "k").alias("c"))
     return out.select(id_back(F.col("k")).alias("doc_id"), F.col("n").alias("n_shingles"),
@@ -262,3 +287,30 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percen
                     id_key(doc_id).alias("k"), F.xxhash64(F.col(f"`{text}`")).alias("h"))
     first = F.row_number().over(W.partitionBy("k").orderBy("h"))
     return d.withColumn("n", first).filter("n = 1").join(kept, "k").select("row.*")
+
+
+def keep_unlike(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 85,
+                width: int = 5) -> DataFrame:
+    """``docs`` without the rows that resemble another: of each component of linked texts one row
+    stays, of the smallest id.
+
+    A row goes only if links lead from its text to the one that stays, whatever its id: unlike
+    texts that share an id, or have none, all stay, and so do texts without words.
+    """
+    d, repeat = _nodes(docs, text, doc_id)
+    _, comp = _similar(d, repeat, percent, width)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    if not repeat:
+        gone = comp.filter("id != component").select(F.col("id").alias("x"))
+        return (docs.select(row, id_key(doc_id).alias("x")).join(gone, "x", "left_anti")
+                .select("row.*"))
+    linked = d.select("k", "x").distinct().join(comp, F.col("x") == F.col("id"))
+    first = linked.groupBy("component").agg(F.min(F.struct("k", "x")).alias("first"))
+    gone = stage(linked.join(first, "component").filter("x != first.x").select("x"), "unkept")
+    rows = docs.select(row, F.xxhash64(id_key(doc_id), t).alias("x"),
+                       t.rlike(r"[^\x20\x09-\x0D]").alias("worded"))
+    one = F.row_number().over(W.partitionBy("x").orderBy("x"))
+    once = rows.filter("worded").withColumn("n", one).filter("n = 1").select("row", "x")
+    return (rows.filter("NOT worded").select("row")
+            .union(once.join(gone, "x", "left_anti").select("row")).select("row.*"))

@@ -4,7 +4,7 @@ import brute
 import numpy as np
 
 from cadence.llm.components import components
-from cadence.llm.minhash import COORDS, EMPTY, U, keep_one, near_duplicates, sketches
+from cadence.llm.minhash import COORDS, EMPTY, U, keep_one, keep_unlike, near_duplicates, sketches
 from cadence.llm.shingles import shingle_sets
 
 
@@ -81,3 +81,33 @@ def test_ids(spark):
     assert [r.doc_id for r in got if r.kept] == [None]
     assert keep_one(docs).count() == 1
     assert near_duplicates(docs.limit(0)).count() == 0 and keep_one(docs.limit(0)).count() == 0
+
+
+def test_unlike_texts_of_one_id_stay(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10 ** 6)}"
+    base = [" ".join(word() for _ in range(60)) for _ in range(40)]
+    rows = [(None, t) for t in base] + [(7, base[0] + " end"), (7, base[1] + " end"), (7, base[2])]
+    rows += [(8, base[3] + " end"), (None, base[4]), (None, ""), (None, None), (9, "one two"), (9, "three four")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id or 0, r.text or "") for r in keep_unlike(docs).collect()))
+    assert kept == sorted([(0, t) for t in base] + [(0, ""), (0, ""), (9, "one two"), (9, "three four")])
+    assert keep_unlike(docs.limit(0)).count() == 0
+
+
+def test_every_text_of_an_id_has_its_wide_sketch(spark):
+    """Groups around the threshold whose texts share ids: components of ids against brute force."""
+    rng = random.Random(8)
+    texts = []
+    for words, n, edits in ((60, 40, 3), (200, 60, 8), (20, 20, 1)):
+        texts += list(variants(rng, n, words, edits))
+    rng.shuffle(texts)
+    plain = brute.near(list(enumerate(texts)))
+    ids = [i // 2 for i in range(len(texts))]
+    links = [(ids[i], ids[c]) for i, (_, c) in plain.items()]
+    want = brute.smallest_reachable(set(ids), links)
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    got = near_duplicates(docs).collect()
+    assert len(got) == len(texts) and all(r.component_id == want[r.doc_id] for r in got)
+    unlike = {texts[i] for i, (_, c) in plain.items() if i == c}
+    assert len(keep_unlike(docs).collect()) == len(unlike)
