@@ -21,7 +21,8 @@ from cadence.llm.components import components
 from cadence.llm.shingles import U, mix, shingle_sets
 
 #: Bands of ``ROWS`` coordinates: a pair at similarity 0.85 is missed by all 42 bands once in
-#: 400 million times, (1 - 0.85**6)**42; a pair at 0.9 never in practice.
+#: 400 million times, (1 - 0.85**6)**42; a pair at 0.8 three times in a million; a pair at 0.9
+#: never in practice.
 BANDS, ROWS = 42, 6
 COORDS = BANDS * ROWS
 #: Members of a bucket that one task compares with as many others.

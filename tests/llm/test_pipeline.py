@@ -68,3 +68,15 @@ def test_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_at_four_fifths(spark, tmp_path):
+    """Pairs from 0.80 up to 0.85 are near duplicates, pairs below 0.80 are not."""
+    words = lambda p: [f"{p}{i}" for i in range(104)]
+    cut = lambda w, n: " ".join(w[:n])
+    a, b, c = words("a"), words("b"), words("c")  # prefixes of 100 shingles: n - 4 of them shared
+    rows = [(1, cut(a, 104)), (2, cut(a, 86)), (3, cut(b, 104)), (4, cut(b, 84)), (5, cut(c, 104)), (6, cut(c, 83))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.near(rows, percent=80)
+    kept = {r.doc_id for r in dict(P.STAGES)["near"](spark, docs, str(tmp_path)).collect()}
+    assert kept == {k for k, (_, comp) in want.items() if k == comp} == {1, 3, 5, 6}
