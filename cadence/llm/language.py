@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 from cadence.llm.common import arrow_schema, text_slices
 
 UNKNOWN = "und"
-#: Bounds of the training sample, the only thing that is sampled: languages (the most frequent
-#: labels), rows of a language, characters of a row, and characters of all languages together.
-LANGUAGES, SAMPLE_ROWS, ROW_CHARS, TOTAL_CHARS = 200, 400, 600, 240_000
-#: Letters with a symbol of their own; texts are parsed in stretches of so many symbols.
+#: Bounds of the training sample, the only thing that is sampled: rows of a language, characters of
+#: a row, and of a language (an even share of ``TOTAL_CHARS``, but ``LANG_CHARS`` at least).
+SAMPLE_ROWS, ROW_CHARS, TOTAL_CHARS, LANG_CHARS = 400, 600, 240_000, 1_200
+#: Letters with a column in the table (the others have sorted keys); texts are parsed in stretches
+#: of so many symbols.
 LETTERS, STRETCH = 90, 256
 
 
@@ -44,16 +45,15 @@ def training_sample(docs: DataFrame, text: str = "text", lang: str = "lang",
     d = d.filter(F.col("l").isNotNull() & F.col("t").isNotNull()
                  & (F.crc32(F.col("k").cast("string")) % 5 != 0))
     d = d.withColumn("h", F.xxhash64("k"))
-    labels = d.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES)
-    first = (d.join(F.broadcast(labels.select("l")), "l").select("l", "h").withColumn("n", F.row_number().over(W.partitionBy("l").orderBy("h")))
+    first = (d.select("l", "h").withColumn("n", F.row_number().over(W.partitionBy("l").orderBy("h")))
              .filter(F.col("n") <= SAMPLE_ROWS).groupBy("l").agg(F.max("h").alias("cut")))
-    rows = (d.join(F.broadcast(first), "l")  # LANGUAGES rows at most
+    rows = (d.join(F.broadcast(first), "l")  # one row a label
             .filter(F.col("h") <= F.col("cut"))
             .select("l", "h", F.substring("t", 1, ROW_CHARS).alias("t")).collect())
     texts: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.l, r.h, r.t)):
         texts.setdefault(r.l, []).append(r.t)
-    each = TOTAL_CHARS // max(1, len(texts))
+    each = max(LANG_CHARS, TOTAL_CHARS // max(1, len(texts)))
     return {name: "\n".join(parts[:SAMPLE_ROWS])[:each] for name, parts in texts.items()}
 
 
@@ -87,34 +87,70 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return step
 
 
+def letter(c: str) -> str:
+    return c.lower()[:1]
+
+
 class Parser:
-    """The automata of all languages in one table, and the parse of many texts at once."""
+    """The automata of all languages in one table, and the parse of many texts at once.
+
+    Every letter of the training text has a symbol. Transitions by blanks and the ``LETTERS`` most
+    frequent letters are columns of the table, those by other letters are sorted keys.
+    """
 
     def __init__(self, training: dict[str, str]):
         self.names = sorted(training)
-        counts = Counter(c for t in training.values() for c in t.lower() if c.isalpha())
-        letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]]
-        own = {c: i for i, c in enumerate(letters, 1)}
-        self.other, self.pad = len(letters) + 1, len(letters) + 2
-        self.width = len(letters) + 3
-        self.symbol = np.zeros(0x10000, np.uint8)  # 0: no letter
+        counts = Counter(letter(c) for t in training.values() for c in t if c.isalpha())
+        letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
+        dense = min(LETTERS, len(letters))
+        self.other, self.pad = dense + 1, dense + 2  # other: letters that no training text has
+        self.width = dense + 3
+        self.own = {c: i if i <= dense else i + 2 for i, c in enumerate(letters, 1)}
+        self.rare = len(letters) - dense  # their symbols follow the columns
+        self.symbol = np.zeros(0x10000, np.min_scalar_type(self.width + self.rare))  # 0: no letter
         for i in range(0x10000):
             c = chr(i)
             if c.isalpha():
-                self.symbol[i] = own.get(c.lower(), self.other)
+                self.symbol[i] = self.own.get(letter(c), self.other)
         # an automaton has at most two states a character, and a row for no phrase
         states = sum(2 * len(t) + 2 for t in training.values())
         self.kind = np.int32 if 2 * states * self.width < 1 << 31 else np.int64
         tables, self.idle, self.bits, base = [], [], [], 0
+        self.keys, self.next, self.begin = [], [], []  # of transitions by rare letters
         for name in self.names:
             symbols = self._symbols(training[name])
-            table = self._table(suffix_automaton(symbols.tolist()), base)
+            step = suffix_automaton(symbols.tolist())
+            rare = sorted((self._key(s + base, c), t + base) for s, nexts in enumerate(step)
+                          for c, t in nexts.items() if c >= self.width)
+            self.keys.append(np.array([k for k, _ in rare], np.int64))
+            self.next.append(np.array([t for _, t in rare], np.int64) * self.width)
+            # where no transition goes on, a phrase begins: by the start's own transition or none
+            begin = np.full(self.rare, base + len(step), np.int64)
+            for c, t in step[0].items():
+                if c >= self.width:
+                    begin[c - self.width] = base + t
+            table = self._table(step, base)
             base += len(table)
             self.idle.append((base - 1) * self.width)
             self.bits.append(math.log2(max(2, len(symbols))))
+            self.begin.append(begin * self.width)
             tables.append(table)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int64)
 
+    def _key(self, state, symbol):
+        return state * self.rare + (symbol - self.width)
+
+    def _rare(self, lang: int, state: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states (times ``width``) by rare letters, and whether a phrase begins."""
+        keys, after = self.keys[lang], self.begin[lang][symbols - self.width]
+        begins = np.ones(len(symbols), bool)
+        if len(keys):
+            wanted = self._key(state.astype(np.int64) // self.width, symbols)
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            found = keys[at] == wanted
+            after, begins = np.where(found, self.next[lang][at], after), ~found
+        return after, begins
+
     def _table(self, step: list[dict[int, int]], base: int) -> np.ndarray:
         """Next state times ``width``, doubled, plus 1 where a phrase begins with the symbol.
 
@@ -125,7 +161,8 @@ class Parser:
         out = np.full((idle + 1, self.width), -1, self.kind)
         for s, nexts in enumerate(step):
             for c, t in nexts.items():
-                out[s, c] = t
+                if c < self.width:
+                    out[s, c] = t
         begins = out < 0
         np.copyto(out, np.where(out[0] < 0, idle, out[0]).astype(self.kind), where=begins)
         out += base
@@ -144,7 +181,7 @@ class Parser:
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         symbols = self.symbol[np.minimum(points, 0xFFFF)]
         for p in np.unique(points[points > 0xFFFF]):
-            symbols[points == p] = self.other if chr(p).isalpha() else 0
+            symbols[points == p] = self.own.get(letter(chr(p)), self.other) if chr(p).isalpha() else 0
         doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
         keep = np.ones(len(points), bool)
         if len(points):
@@ -161,17 +198,23 @@ class Parser:
         rows = -(-sizes // STRETCH)
         starts = np.cumsum(rows) - rows
         place = np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        grid = np.full((STRETCH, int(rows.sum())), self.pad, np.uint8)
+        grid = np.full((STRETCH, int(rows.sum())), self.pad, symbols.dtype)
         grid[place % STRETCH, np.repeat(starts, sizes) + place // STRETCH] = symbols
         owner = np.repeat(np.arange(len(texts)), rows)
         out = np.zeros((len(texts), len(self.names)))
+        rare = [np.flatnonzero(column >= self.width) if self.rare else () for column in grid]
+        near = np.where(grid < self.width, grid, self.other).astype(grid.dtype) if self.rare else grid
         for lang, idle in enumerate(self.idle):
             state = np.full(grid.shape[1], idle, self.table.dtype)
             count = np.zeros(grid.shape[1], np.int32)
-            for column in grid:
+            for i, column in enumerate(near):
                 step = self.table.take(state + column)
-                count += step & 1
-                state = step >> 1
+                begins, after = step & 1, step >> 1
+                if len(rare[i]):
+                    at = rare[i]
+                    after[at], begins[at] = self._rare(lang, state[at], grid[i, at].astype(np.int64))
+                count += begins
+                state = after
             out[:, lang] = np.bincount(owner, count, minlength=len(texts))
         return out, sizes
 

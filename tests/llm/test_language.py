@@ -72,3 +72,29 @@ def test_edge_rows(spark):
     assert [r.lang_pred for r in got.collect()] == ["und", "und", "und", "en", "de", "de"]
     assert {r.lang_pred for r in predict_language(docs, {}).collect()} == {"und"}
     assert identify(docs.limit(0)).count() == 0
+
+
+def test_letters_beyond_the_table():
+    """Scripts of thousands of letters: phrases as by plain search, languages told apart."""
+    rng = random.Random(3)
+    han = [chr(0x4E00 + i) for i in range(900)] + [chr(0x20000 + i) for i in range(100)]
+    kana, hangul = [chr(0x3041 + i) for i in range(80)], [chr(0xAC00 + i) for i in range(700)]
+    scripts = {"ja": kana + han[:300], "ko": hangul, "zh": han}
+    words = {n: ["".join(rng.choice(s) for _ in range(rng.randrange(1, 5))) for _ in range(400)]
+             for n, s in scripts.items()}
+    text = lambda n, k: " ".join(rng.choice(words[n]) for _ in range(k))
+    training = {n: text(n, 1500) for n in scripts}
+    parser = Parser(training)
+    assert parser.rare > 1000
+    texts = [text(n, 25)[:STRETCH] for n in scripts for _ in range(20)]
+    counts, _ = parser.phrases(texts)
+    for t, row in zip(texts, counts):
+        assert row.tolist() == [plain_phrases(training[n], t) for n in sorted(training)]
+    found = [p for p, _, _ in parser.predict(texts)]
+    assert found == [n for n in scripts for _ in range(20)]
+
+
+def test_every_label_is_learned(spark):
+    rows = [(i, f"text {i}", f"l{i % 300}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(training_sample(docs)) == 300
