@@ -230,6 +230,13 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     return d.mapInArrow(run, kinds).select("row.*", *names)
 
 
+def digest_texts(docs: DataFrame, model: str) -> DataFrame:
+    """``docs`` with a struct of n_tokens, ids_sha256, decoded_sha256 in the place of the text."""
+    digest = F.struct("n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encode_pieces(docs, model).withColumn("text", digest).select(*docs.columns)
+
+
 def piece_digest(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
     return encode_pieces(docs.select("doc_id", "text"), model).select(

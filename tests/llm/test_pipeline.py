@@ -80,3 +80,17 @@ def test_near_at_four_fifths(spark, tmp_path):
     want = brute.near(rows, percent=80)
     kept = {r.doc_id for r in dict(P.STAGES)["near"](spark, docs, str(tmp_path)).collect()}
     assert kept == {k for k, (_, comp) in want.items() if k == comp} == {1, 3, 5, 6}
+
+
+def test_result_has_the_mixed_sequence(spark, tmp_path):
+    """A hot source: the rows of the result, ordered by their places, are the mixed files."""
+    steps = dict(P.STAGES)
+    rows = [(k, f"text {k}", "en", "src0" if k % 3 else f"src{k % 7}", 9) for k in range(1500)] + [(7, "again", "en", None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = stage(steps["mix"](spark, docs, str(tmp_path)), "mix")
+    files = mixed.select("doc_id", "_metadata.file_name", "_metadata.row_index").collect()
+    out = stage(steps["pieces"](spark, mixed.repartition(5), str(tmp_path)), "pieces").collect()
+    out.sort(key=lambda r: (r.mix_slot, r.mix_place))
+    files.sort(key=lambda r: (r.file_name, r.row_index))
+    assert len({(r.mix_slot, r.mix_place) for r in out}) == len(rows)
+    assert [r.doc_id for r in out] == [r.doc_id for r in files]
