@@ -26,6 +26,8 @@ SAMPLE_ROWS, ROW_CHARS, TOTAL_CHARS, LANG_CHARS = 400, 600, 240_000, 1_200
 #: Letters with a column in the table (the others have sorted keys); texts are parsed in stretches
 #: of so many symbols.
 LETTERS, STRETCH = 90, 256
+#: Stretches that a calibration needs at least; deviations that a recognised text may lie above.
+CALIBRATED, DEVIATIONS = 20, 6
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -234,6 +236,44 @@ class Parser:
         return out
 
 
+def bits_bound(training: dict[str, str]) -> tuple[float, float, int] | None:
+    """(median, deviation above it, symbols) of the bits a symbol of unseen text in the learned
+    languages; stretches below the median are left out of it, as repeated ones have hardly any bits.
+
+    The automata of the first halves of the training text parse stretches of the second halves.
+    Half the text knows fewer phrases, so the bound is on the generous side. None if there are
+    fewer than ``CALIBRATED`` stretches to tell.
+    """
+    halves = {n: (t[:len(t) // 2], t[len(t) // 2:]) for n, t in training.items()}
+    parts = {n: [b[i:i + STRETCH] for i in range(0, len(b) - STRETCH + 1, STRETCH)] for n, (_, b) in halves.items()}
+    names = [n for n, p in parts.items() if p]
+    if sum(len(parts[n]) for n in names) < CALIBRATED:
+        return None
+    parser = Parser({n: halves[n][0] for n in names})
+    bits = np.array([b for n in names for p, _, b in parser.predict(parts[n]) if p != UNKNOWN])
+    if len(bits) < CALIBRATED:
+        return None
+    median = np.median(bits)
+    return float(median), float(np.sqrt(np.mean((bits[bits >= median] - median) ** 2))), STRETCH
+
+
+def recognised(training: dict[str, str], text: str = "text") -> Column:
+    """Of ``predict_language``'s result: whether a text is in a learned language.
+
+    Its bits a symbol may exceed the median of the learned languages by ``DEVIATIONS`` deviations;
+    texts shorter than the stretches of the calibration vary more and get a wider bound. Without a
+    calibration, every text with a letter is; nothing is turned away for a lack of labels.
+    """
+    letters = F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False))
+    bound = bits_bound(training)
+    if bound is None:
+        return letters
+    median, deviation, symbols = bound
+    size = F.greatest(F.length(F.col(f"`{text}`")), F.lit(1))
+    wider = F.sqrt(F.greatest(F.lit(1.0), symbols / size))
+    return letters & (F.col("lang_bits") <= median + DEVIATIONS * deviation * wider)
+
+
 _PARSERS: dict[int, Parser] = {}
 
 

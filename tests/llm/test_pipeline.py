@@ -6,6 +6,7 @@ import brute
 import numpy as np
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from cadence.llm.common import stage
@@ -94,3 +95,27 @@ def test_result_has_the_mixed_sequence(spark, tmp_path):
     files.sort(key=lambda r: (r.file_name, r.row_index))
     assert len({(r.mix_slot, r.mix_place) for r in out}) == len(rows)
     assert [r.doc_id for r in out] == [r.doc_id for r in files]
+
+
+def test_language_decides(spark, tmp_path):
+    """Text of no learned language goes; without labels every text with a letter stays."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+            .select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    foreign = ["\u6f22\u5b57" * 200, "xq zvk wqj kxz vjq " * 40, "\u03b1\u03b2\u03b3 \u03b4\u03b5 " * 80]
+    rows += [(900_000 + i, t, None, None, len(t)) for i, t in enumerate(foreign)]
+    rows += [(910_000, "\u6f22", None, None, 1), (910_001, " 1 2", "en", None, 4), (910_002, None, "en", None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    step = dict(P.STAGES)["language"]
+    gone = {r[0] for r in rows} - {r.doc_id for r in step(spark, docs, str(tmp_path)).collect()}
+    assert gone == {900_000, 900_001, 900_002, 910_001, 910_002}
+
+    # a language without labels, in the script of those that have some
+    some = docs.filter("doc_id < 900000").withColumn("lang", F.when(F.col("lang") != "de", F.col("lang")))
+    stay = {r.doc_id for r in step(spark, some, str(tmp_path)).collect()}
+    assert {r[0] for r in rows if r[0] < 900_000 and r[2] != "de"} <= stay
+    assert not stay & {r[0] for r in rows if r[2] == "de" and len(r[1]) >= 256}  # shorter ones may pass
+
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    gone = {r[0] for r in rows} - {r.doc_id for r in step(spark, bare, str(tmp_path)).collect()}
+    assert gone == {910_001, 910_002}
