@@ -27,7 +27,7 @@ SAMPLE_ROWS, ROW_CHARS, TOTAL_CHARS, LANG_CHARS = 400, 600, 240_000, 1_200
 #: of so many symbols.
 LETTERS, STRETCH = 90, 256
 #: Stretches that a calibration needs at least; deviations that a recognised text may lie above.
-CALIBRATED, DEVIATIONS = 20, 6
+CALIBRATED, DEVIATIONS = 20, 10
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
