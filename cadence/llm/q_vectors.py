@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadence.llm.embedding_dedup import near_vectors
+from cadence.llm.hard_negatives import hard_negatives
 from cadence.llm.topk import top_k
 
 
@@ -18,6 +19,13 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = vectors.withColumn("label", moved)
+    return hard_negatives(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
 TOP_K_SQL = """
 WITH whole AS (
   SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
@@ -51,3 +59,25 @@ n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM comp LEFT JOIN n ON n.a = vec_id
 """
+
+HARD_SQL = """
+WITH good AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT a.vec_id AS a, c.vec_id AS c, a.label = c.label AS same,
+         CAST(list_inner_product(a.v, c.v) AS BIGINT) AS s
+  FROM good a JOIN good c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT a, c AS p, s AS ps, row_number() OVER (PARTITION BY a ORDER BY s DESC, c) AS r FROM scored WHERE same),
+negatives AS (
+  SELECT p.a, p.p, p.ps, n.c, n.s, row_number() OVER (PARTITION BY p.a, p.p ORDER BY n.s DESC, n.c) AS r
+  FROM positives p JOIN scored n ON n.a = p.a
+  WHERE p.r <= 5 AND NOT n.same AND 80 * p.ps <= 100 * n.s AND 100 * n.s <= 100 * p.ps)
+SELECT a AS anchor_id, p AS positive_id, CAST(r AS INTEGER) AS rank, c AS negative_id,
+       ps AS positive_score, s AS negative_score
+FROM negatives WHERE r <= 5
+"""

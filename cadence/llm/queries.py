@@ -16,6 +16,7 @@ QUERIES = {
     "op8_language": q_text.op8_language,
     "op9_top_k": q_vectors.op9_top_k,
     "op10_embedding_dedup": q_vectors.op10_embedding_dedup,
+    "op12_hard_negatives": q_vectors.op12_hard_negatives,
 }
 QUERIES = {name: shipped(query) for name, query in QUERIES.items()}
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op6_line_dedup": q_lines.SQL,
     "op9_top_k": q_vectors.TOP_K_SQL,
     "op10_embedding_dedup": q_vectors.NEAR_SQL,
+    "op12_hard_negatives": q_vectors.HARD_SQL,
 }
