@@ -17,6 +17,7 @@ QUERIES = {
     "op9_top_k": q_vectors.op9_top_k,
     "op10_embedding_dedup": q_vectors.op10_embedding_dedup,
     "op12_hard_negatives": q_vectors.op12_hard_negatives,
+    "op13_secrets": q_text.op13_secrets,
 }
 QUERIES = {name: shipped(query) for name, query in QUERIES.items()}
 ORACLE_SQL = {
@@ -26,4 +27,5 @@ ORACLE_SQL = {
     "op9_top_k": q_vectors.TOP_K_SQL,
     "op10_embedding_dedup": q_vectors.NEAR_SQL,
     "op12_hard_negatives": q_vectors.HARD_SQL,
+    "op13_secrets": q_text.SECRETS_SQL,
 }
