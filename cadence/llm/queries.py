@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadence.llm import q_lines, q_mixing, q_near, q_text, q_tokens, q_vectors
+from cadence.llm import q_lines, q_mixing, q_near, q_text, q_tokens, q_vectors, q_words
 from cadence.llm.common import shipped
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_language": q_text.op8_language,
     "op9_top_k": q_vectors.op9_top_k,
     "op10_embedding_dedup": q_vectors.op10_embedding_dedup,
+    "op11_spelling": q_words.op11_spelling,
     "op12_hard_negatives": q_vectors.op12_hard_negatives,
     "op13_secrets": q_text.op13_secrets,
 }
@@ -26,6 +27,7 @@ ORACLE_SQL = {
     "op6_line_dedup": q_lines.SQL,
     "op9_top_k": q_vectors.TOP_K_SQL,
     "op10_embedding_dedup": q_vectors.NEAR_SQL,
+    "op11_spelling": q_words.SQL,
     "op12_hard_negatives": q_vectors.HARD_SQL,
     "op13_secrets": q_text.SECRETS_SQL,
 }
