@@ -69,7 +69,6 @@ def window_attribution(win: DataFrame, weights: list[float], background: DataFra
     on the flattened window (weights in row-major L x F order): mean abs phi
     over (row, timestep) per feature."""
     n_feat = len(feature_names)
-    L = len(weights) // n_feat
     bg_cells = background.select(F.posexplode("X").alias("t", "r"))
     bg = bg_cells.groupBy("t").agg(F.array(*[F.avg(F.col("r")[j]) for j in range(n_feat)]).alias("m"))
     bgrow = bg.agg(F.sort_array(F.collect_list(F.struct("t", "m"))).alias("_bg"))
@@ -81,55 +80,78 @@ def window_attribution(win: DataFrame, weights: list[float], background: DataFra
         F.transform("r", lambda v, j: F.abs(w[F.col("t") * n_feat + j]
                                            * (v - F.col("_bg")[F.col("t")]["m"][j]))).alias("phi")
     )).alias("c"))
-    del L
     return per.groupBy(F.col("c.feature").alias("feature")).agg(F.avg("c.phi").alias("mean_abs_shap"))
 
 
-def permutation_importance(rows: DataFrame, model: RidgeModel, key: str, label: str,
-                           repeats: int = 1, seed: int = 42, metric: str = "mae") -> DataFrame:
-    """Rise of MAE (or fall of R2) when one feature is shuffled.
-
-    The shuffle is seeded and distributed.  One dense index (``rowindex``)
-    numbers, inside each group, the rows in key order (group ``_pos``) and in
-    ``md5(key:seed:feature:repeat)`` order (one group per feature and repeat).
-    The permuted value at position n is the value ranked n: one equi-join on
-    (position) gives every (feature, repeat) copy of every row, scored in one
-    plan."""
-    feats = model.features
-    base = rows.select(key, label, *feats)
-    # one pass over the rows: each row goes to the position group and to
-    # every (feature, repeat) group (explode, not a union that rescans)
-    carry = [F.col(c).cast("double").alias(c) for c in [label, *feats]]
-    nulls = [F.lit(None).cast("double").alias(c) for c in [label, *feats]]
-    groups = [F.struct(F.lit("_pos").alias("_g"), F.lit(-1).alias("_r"),
-                       F.col(key).cast("string").alias("_o"),
-                       F.lit(None).cast("double").alias("_v"), *carry)]
-    for f in feats:
+# --- R8: permutation importance without sorting ---------------------------------------
+
+#: Rounds of the shuffle, and the prime of its hash (fits 64-bit products).
+ROUNDS, PRIME = 24, (1 << 31) - 1
+
+
+def _hash(a, b):
+    """A number under ``PRIME`` from two; of Python numbers or of columns (none negative)."""
+    u = (a % PRIME * 48271 + b) % PRIME
+    return (u * u % PRIME * 69621 + u) % PRIME
+
+
+def shuffle_keys(n: int, seed: int) -> tuple[list[int], list[int]]:
+    """Per round of a shuffle of 0..n-1: the sum that two partners have, and the hash's key."""
+    sums = [(_hash(r, seed) * PRIME + _hash(r + ROUNDS, seed)) % n for r in range(ROUNDS)]
+    return sums, [_hash(r + 2 * ROUNDS, seed) for r in range(ROUNDS)]
+
+
+def shuffled_place(df: DataFrame, place: str, sums: str, keys: str, n: int, name: str) -> DataFrame:
+    """``name``: where a keyed bijection of 0..n-1 takes ``place`` (a "swap-or-not" shuffle: in each
+    round two places with the same sum modulo n swap, or not, as a hash of the larger says).
+
+    Only arithmetic on the row itself, for any n: nothing is sorted, ranked or exchanged.  (A fold over
+    the rounds: as nested projections, the optimiser would write each round out in the next.)"""
+    def swap(x, r):
+        partner = F.pmod(r["s"] + F.lit(n) - x, F.lit(n))
+        odd = F.floor(_hash(F.greatest(x, partner), r["k"]) / 4096) % 2 == 1
+        return F.when(odd, partner).otherwise(x)
+    rounds = F.arrays_zip(F.col(sums).alias("s"), F.col(keys).alias("k"))
+    return df.withColumn(name, F.aggregate(rounds, F.col(place).cast("long"), swap))
+
+
+def scored_by(model, df: DataFrame, name: str = "pred") -> DataFrame:
+    """``df`` with the prediction of a ridge model or of any fitted ``PipelineModel``."""
+    if isinstance(model, RidgeModel):
+        return df.withColumn(name, model.predict(name))
+    return model.transform(df).withColumnRenamed("pred", name)
+
+
+def permutation_importance(rows: DataFrame, model, key: str, label: str, repeats: int = 1, seed: int = 42,
+                           metric: str = "mae", features: list[str] | None = None) -> DataFrame:
+    """(feature, importance, spread): mean and population std over ``repeats`` of the rise of MAE
+    (or the fall of R2) when one feature is shuffled; of a ridge model, or of any fitted
+    ``PipelineModel`` that reads ``features``.
+
+    The rows are numbered once in key order (``rowindex``). Each (feature, repeat) has a bijection of
+    the positions, so the position of a row's donor is computed, and the donor's value is fetched by a
+    hashed equi-join on it: no copy of the rows is ranked or sorted."""
+    feats = list(model.features) if features is None else list(features)
+    ix = with_row_index(rows.select(key, label, *feats), [key], name="_p").drop(key)
+    n = ix.count()
+    if not n:
+        return ix.sparkSession.createDataFrame([], "feature string, importance double, spread double")
+    plans = []
+    for j, f in enumerate(feats):
         for r in range(repeats):
-            h = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)), F.lit(f), F.lit(str(r))))
-            groups.append(F.struct(F.lit(f).alias("_g"), F.lit(r).alias("_r"), h.alias("_o"),
-                                   F.col(f).cast("double").alias("_v"), *nulls))
-    allp = base.select(F.explode(F.array(*groups)).alias("_x")).select("_x.*")
-    # numbered once and checkpointed: everything below reads these rows only.
-    # Every group holds the same n rows, so the place inside a group is the
-    # global position modulo n (no per-group start table).
-    n = base.count()
-    ix = (with_row_index(allp, ["_g", "_r", "_o"])
-          .withColumn("_p", F.pmod(F.col("_rn"), F.lit(n))).drop("_rn"))
-    pos = ix.filter(F.col("_g") == "_pos").select("_p", label, *feats)
-    donors = ix.filter(F.col("_g") != "_pos").select(F.col("_g").alias("feature"),
-                                                      F.col("_r").alias("repeat"), "_p",
-                                                      F.col("_v").alias("_perm"))
-    copies = pos.join(donors, "_p")
-    pred = F.lit(float(model.intercept))
-    for f, w in zip(feats, model.coef):
-        x = F.when(F.col("feature") == f, F.col("_perm")).otherwise(F.col(f))
-        pred = pred + F.lit(float(w)) * x
-    scored = copies.select("feature", "repeat", label, pred.alias("pred"))
-    m = regression_metrics(scored, label, "pred", ["feature", "repeat"])
-    b = regression_metrics(pos.select(label, model.predict(name="pred")).withColumn("_g", F.lit(1)),
-                           label, "pred", ["_g"]).drop("_g")
-    b = b.select(F.col("mae").alias("_bmae"), F.col("r2").alias("_br2"))
-    out = m.crossJoin(F.broadcast(b))
-    imp = (F.col("mae") - F.col("_bmae")) if metric == "mae" else (F.col("_br2") - F.col("r2"))
-    return out.groupBy("feature").agg(F.avg(imp).alias("importance"))
+            sums, keys = shuffle_keys(n, _hash(seed, j * 1009 + r))
+            plans.append(F.struct(F.lit(f).alias("feature"), F.lit(j).alias("j"), F.lit(r).alias("repeat"),
+                                  F.lit(sums).cast("array<long>").alias("sums"), F.lit(keys).cast("array<long>").alias("keys")))
+    spark = ix.sparkSession
+    plan = spark.range(1).select(F.inline(F.array(*plans)))  # features x repeats rows, whatever the data
+    copies = shuffled_place(ix.crossJoin(F.broadcast(plan)), "_p", "sums", "keys", n, "_donor").drop("sums", "keys", "_p")
+    donors = ix.select(F.col("_p").alias("_donor"), F.array(*[F.col(f).cast("double") for f in feats]).alias("_values"))
+    met = copies.join(donors.hint("shuffle_hash"), "_donor")
+    shuffled = met.select("feature", "repeat", label, *[
+        F.when(F.col("j") == j, F.get("_values", F.lit(j))).otherwise(F.col(f).cast("double")).alias(f)
+        for j, f in enumerate(feats)])
+    m = regression_metrics(scored_by(model, shuffled), label, "pred", ["feature", "repeat"])
+    b = regression_metrics(scored_by(model, ix.withColumn("_g", F.lit(1))), label, "pred", ["_g"])
+    out = m.crossJoin(F.broadcast(b.select(F.col("mae").alias("_bmae"), F.col("r2").alias("_br2"))))
+    change = (F.col("mae") - F.col("_bmae")) if metric == "mae" else (F.col("_br2") - F.col("r2"))
+    return out.groupBy("feature").agg(F.avg(change).alias("importance"), F.stddev_pop(change).alias("spread"))

@@ -2,7 +2,11 @@
 
 * R1 ridge is MLlib's normal-equation solver: one distributed pass over vectors
   sums the F x F Gram matrix, the only value that reaches the driver.
-* R2/R3/R13 are MLlib estimators; R4 is a real ``pyspark.ml.Pipeline``
+* R13 is logistic regression by iteratively re-weighted least squares: each
+  step sums one weighted Gram matrix.
+* Linear models of windows are plain numbers (``WindowLinear``): they score with
+  a column expression and are saved as a small table.
+* R2/R3 are MLlib estimators; R4 is a real ``pyspark.ml.Pipeline``
   (imputation and scaling with train statistics as a ``SQLTransformer``,
   ``VectorAssembler``, model), so it can be saved with ``PipelineModel.save``.
 """
@@ -13,10 +17,9 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import (GBTRegressor, GeneralizedLinearRegression, LinearRegression,
+                                   RandomForestRegressor)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,6 +174,20 @@ def score(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
 
 # --- R12, R13: window models -----------------------------------------------------------
 
+@dataclass
+class WindowLinear:
+    """A linear model of the flattened L x F window, as plain numbers: nothing of the session that
+    fitted it is held on to."""
+    coef: list[float]
+    intercept: float
+    logit: bool = False
+
+    def predict(self, X: Column) -> Column:
+        products = F.zip_with(F.flatten(X), F.lit(self.coef), lambda x, w: x * w)
+        eta = F.aggregate(products, F.lit(self.intercept), lambda a, v: a + v)
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-eta)) if self.logit else eta
+
+
 def flatten_windows(win: DataFrame) -> DataFrame:
     """L x F window -> one feature vector of L*F values (``flatten``)."""
     from pyspark.ml.functions import array_to_vector
@@ -179,10 +196,26 @@ def flatten_windows(win: DataFrame) -> DataFrame:
 
 def fit_window_regressor(train_win: DataFrame, kind: str = "Ridge", alpha: float = RIDGE_ALPHA,
                          **kw):
-    """Next-step seconds from the flattened window."""
-    stats = train_win.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("y").alias("s")).first()
+    """Next-step seconds from the flattened window.  Ridge is a ``WindowLinear``, the other
+    kinds are MLlib models."""
+    stats = train_win.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("y").alias("s"),
+                          F.avg("y").alias("m"), F.max(F.size(F.flatten("X"))).alias("d")).first()
+    if not stats["n"]:
+        raise RuntimeError("fit_window_regressor: no training windows")
+    if kind == "Ridge" and not stats["s"]:  # a constant label: nothing to explain
+        return WindowLinear([0.0] * stats["d"], float(stats["m"]))
     est = make_regressor(kind, "y", n_train=stats["n"], y_std=stats["s"], alpha=alpha, **kw)
-    return est.fit(flatten_windows(train_win))
+    fitted = est.fit(flatten_windows(train_win).select("features", "y"))
+    if kind == "Ridge":
+        return WindowLinear(fitted.coefficients.toArray().tolist(), float(fitted.intercept))
+    return fitted
+
+
+def window_scores(win: DataFrame, model, name: str = "pred") -> DataFrame:
+    """``win`` with the model's prediction."""
+    if isinstance(model, WindowLinear):
+        return win.withColumn(name, model.predict(F.col("X")))
+    return model.transform(flatten_windows(win)).drop("features").withColumnRenamed("pred", name)
 
 
 def class_weights(df: DataFrame, threshold: float = LONG_THRESHOLD, label: str = "y") -> DataFrame:
@@ -195,12 +228,22 @@ def class_weights(df: DataFrame, threshold: float = LONG_THRESHOLD, label: str =
               .drop("_p"))
 
 
-def fit_window_classifier(train_win: DataFrame, threshold: float = LONG_THRESHOLD, max_iter: int = 100):
-    """Probability of a long cycle, class-weighted logistic regression."""
-    data = class_weights(flatten_windows(train_win), threshold)
-    lr = LogisticRegression(featuresCol="features", labelCol="is_long", weightCol="w",
-                            probabilityCol="prob", predictionCol="cls", maxIter=max_iter)
-    return lr.fit(data)
+def fit_window_classifier(train_win: DataFrame, threshold: float = LONG_THRESHOLD,
+                          max_iter: int = 25, tol: float = 1e-10) -> WindowLinear:
+    """Probability of a long cycle: class-weighted logistic regression by iteratively
+    re-weighted least squares.  With one class only the probability is its rate, kept within
+    ``RATE_FLOOR`` of 0 and 1."""
+    data = class_weights(flatten_windows(train_win), threshold).select("features", "is_long", "w")
+    rate, size = train_win.agg(F.avg(long_flag("y", threshold)), F.max(F.size(F.flatten("X")))).first()
+    if rate is None:
+        raise RuntimeError("fit_window_classifier: no training windows")
+    if rate in (0.0, 1.0):
+        p = min(max(rate, RATE_FLOOR), 1 - RATE_FLOOR)
+        return WindowLinear([0.0] * size, float(np.log(p / (1 - p))), logit=True)
+    irls = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="features",
+                                       labelCol="is_long", weightCol="w", maxIter=max_iter, tol=tol)
+    fitted = irls.fit(data)
+    return WindowLinear(fitted.coefficients.toArray().tolist(), float(fitted.intercept), logit=True)
 
 
 def prediction_columns(keys: list[str], pred: Column, prob: Column, threshold: float = LONG_THRESHOLD,
@@ -211,14 +254,12 @@ def prediction_columns(keys: list[str], pred: Column, prob: Column, threshold: f
             decide(prob).alias("is_long_pred")]
 
 
-def prediction_table(win: DataFrame, reg_model, cls_model, keys: list[str],
+def prediction_table(win: DataFrame, reg_model, cls_model: WindowLinear | None, keys: list[str],
                      threshold: float = LONG_THRESHOLD, log_target: bool = False) -> DataFrame:
     """R15 for fitted window models."""
-    p = reg_model.transform(flatten_windows(win)).withColumnRenamed("pred", "_pred")
-    if cls_model is not None:
-        p = cls_model.transform(p).withColumn("_prob", vector_to_array("prob")[1])
-    else:
-        p = p.withColumn("_prob", F.lit(None).cast("double"))
+    p = window_scores(win, reg_model, "_pred")
+    prob = F.lit(None).cast("double") if cls_model is None else cls_model.predict(F.col("X"))
+    p = p.withColumn("_prob", prob)
     pred = F.expm1("_pred") if log_target else F.col("_pred")
     return p.select(*prediction_columns(keys, pred, F.col("_prob"), threshold))
 

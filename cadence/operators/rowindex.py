@@ -192,6 +192,80 @@ def _same(member: Column, cols: list[str]) -> Column:
     return cond
 
 
+def with_prefix_sum(ix: DataFrame, value: str, name: str, rn: str = RN) -> tuple[DataFrame, float]:
+    """``name``: the sum of ``value`` over all earlier positions; and the total.
+
+    Sums are taken in blocks of ``BLOCK`` positions, those in blocks of ``BLOCK`` blocks, and so on,
+    each level map-side combined, until one block holds them all; on the way back each level adds
+    what stands before it.  No window sees more than ``BLOCK`` rows, at any size."""
+    rows = ix.withColumn("_b", F.floor(F.col(rn) / BLOCK).cast("long"))
+    sums = [rows.groupBy("_b").agg(F.sum(value).alias("_s")).checkpoint(eager=True)]
+    while (sums[-1].agg(F.max("_b")).first()[0] or 0) >= BLOCK:
+        up = sums[-1].groupBy(F.floor(F.col("_b") / BLOCK).cast("long").alias("_b")).agg(F.sum("_s").alias("_s"))
+        sums.append(up.checkpoint(eager=True))
+    before = lambda w: F.coalesce(F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    top = sums.pop().withColumn("_all", F.lit(0))
+    total = top.agg(F.sum("_s")).first()[0] or 0.0
+    ahead = top.select("_b", before(Window.partitionBy("_all").orderBy("_b")).alias("_ahead"))
+    while sums:
+        level = sums.pop().withColumn("_up", F.floor(F.col("_b") / BLOCK).cast("long"))
+        inside = level.withColumn("_in", before(Window.partitionBy("_up").orderBy("_b")))
+        ahead = inside.join(ahead.withColumnRenamed("_b", "_up"), "_up").select(
+            "_b", (F.col("_ahead") + F.col("_in")).alias("_ahead"))
+    inside = Window.partitionBy("_b").orderBy(rn).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0.0))).join(ahead, "_b")
+    return out.withColumn(name, F.col("_ahead") + F.col("_in")).drop("_b", "_in", "_ahead"), float(total)
+
+
+def with_place(ix: DataFrame, same: list[str] | None = None, rn: str = RN) -> DataFrame:
+    """``_place`` (from 0) and ``_size``: where a row stands in its group ``same`` (all rows without
+    one) and how many rows that has.  The groups' ends are one map-side combined aggregate; they
+    come back by a plain join, which Spark broadcasts only if their measured size allows it."""
+    same = same or []
+    ends = ix.groupBy(*same).agg(F.min(rn).alias("_start"), F.count(F.lit(1)).alias("_size"))
+    if not same:
+        out = ix.crossJoin(F.broadcast(ends))  # one row
+    else:
+        ends = ends.withColumnsRenamed({c: f"_s_{c}" for c in same})
+        out = ix.join(ends, on=[F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in same])
+    return out.withColumn("_place", F.col(rn) - F.col("_start")).drop("_start", *[f"_s_{c}" for c in same])
+
+
+def windows_holding(length: int, target_inside: bool) -> Column:
+    """How many windows hold a row of ``with_place``: a window of ``length`` rows may begin at places
+    0 to size - length (one less if its target is the row behind it)."""
+    last = F.col("_size") - length - (0 if target_inside else 1)
+    first = F.greatest(F.col("_place") - (length - 1), F.lit(0))
+    return F.greatest(F.least(F.col("_place"), last) - first + 1, F.lit(0))
+
+
+def at_timestep(t: int, length: int, target_inside: bool) -> Column:
+    """Whether a row of ``with_place`` is timestep ``t`` of some window."""
+    begin = F.col("_place") - t
+    return (begin >= 0) & (begin <= F.col("_size") - length - (0 if target_inside else 1))
+
+
+def last_steps(ix: DataFrame, features: list[str], length: int, *, target_inside: bool, meta: list[str],
+               target: str | None = None, same: list[str] | None = None, rn: str = RN) -> DataFrame:
+    """The last timestep of every window of ``sliding_windows``, without the windows: the target row
+    itself (``target_inside``) or the row before it, where enough rows of the group stand before.
+    One lag over a flag says so.  Output: ``meta``, ``rn``, the feature columns, and ``y``."""
+    same = same or []
+    back = length - 1 if target_inside else length
+    rows, by_position = _blocks(ix, back, 0, rn)
+    mark = F.struct(F.lit(1).alias("_one"), *[F.col(c) for c in same])
+    rows = rows.withColumn("_head", F.lag(mark, back).over(by_position) if back else mark)
+    if not target_inside:
+        step = F.lag(F.struct(*[F.col(c).cast("double").alias(c) for c in features])).over(by_position)
+    else:
+        step = F.struct(*[F.col(c).cast("double").alias(c) for c in features])
+    rows = rows.withColumn("_step", step).filter(~F.col("_end")).filter(F.col("_head").isNotNull())
+    for c in same:
+        rows = rows.filter(F.col(c).eqNullSafe(F.col(f"_head.{c}")))
+    return rows.select(*meta, rn, *[F.col("_step").getField(c).alias(c if c not in meta else f"x_{c}") for c in features],
+                       *([F.col(target).cast("double").alias("y")] if target else []))
+
+
 # --- values at given ranks, exact at any size ---------------------------------
 
 PARTS = 1024  # value ranges counted in one pass for each interval
@@ -244,3 +318,61 @@ def values_at_ranks(values: DataFrame, ranks: dict[str, list[int]]) -> dict[tupl
         open_ = [(r.feature, r.lo, r.hi, r["_first"], list(r["_here"]))
                  for r in counted.select("feature", "lo", "hi", "_first", "_here").collect()]
     return found
+
+
+# --- values at fractions of a table, in two evaluations of it ------------------------------
+
+SKETCH = 10_000  # accuracy of the sketch that brackets a rank
+
+
+def values_at_fractions(df: DataFrame, values: dict[str, Column], fractions: list[float], ranks
+                        ) -> tuple[dict[str, int], dict[tuple[str, int], float]]:
+    """How many values (not NULL) each of ``values`` has, and those at 0-based ranks
+    ``ranks(n, fraction)``, each within a rank or so of ``fraction * n``.
+
+    ``df`` is evaluated twice, whatever its size: one aggregate of counts and mergeable sketches, whose
+    error bound brackets every rank; then the values inside the brackets, some four in ten thousand,
+    go to a scratch table while the values below them are counted (``observe``).  ``values_at_ranks``
+    finds the ranks in that table.  Should a bracket miss its rank, that value is looked for in
+    ``df`` itself."""
+    from pyspark.sql import Observation
+
+    from cadence.sources.io import scratch_path
+    spark = df.sparkSession
+    cols = df.select(*[c.alias(f"_v{i}") for i, c in enumerate(values.values())])
+    v = [F.col(f"_v{i}") for i in range(len(values))]
+    ends = [min(max(f + s * 2 / SKETCH, 0.0), 1.0) for f in fractions for s in (-1, 1)]
+    row = cols.agg(*[x for c in v for x in (F.count(c), F.percentile_approx(c, ends, SKETCH))]).first()
+    counts = {name: row[2 * i] for i, name in enumerate(values)}
+    wanted = []  # (column, rank, lowest, highest value of its bracket)
+    for i, name in enumerate(values):
+        for k, f in enumerate(fractions if counts[name] else ()):
+            wanted += [(i, r, *row[2 * i + 1][2 * k:2 * k + 2]) for r in sorted(set(ranks(counts[name], f)))]
+    found: dict[tuple[str, int], float] = {}
+    names = list(values)
+    if not wanted:
+        return counts, found
+    seen = Observation()
+    inside = [v[i].between(F.lit(lo), F.lit(hi)) for i, _, lo, hi in wanted]
+    told = cols.observe(seen, *[F.count(F.when(v[i] < F.lit(lo), 1)).alias(f"b{j}") for j, (i, _, lo, _) in enumerate(wanted)],
+                        *[F.count(F.when(w, 1)).alias(f"n{j}") for j, w in enumerate(inside)])
+    near = F.array_compact(F.array(*[F.when(w, F.struct(F.lit(str(j)).alias("feature"), v[i].alias("v")))
+                                     for j, (w, (i, *_)) in enumerate(zip(inside, wanted))]))
+    path = scratch_path(spark, "brackets")
+    told.select(F.inline(near)).write.parquet(path)
+    below = seen.get
+    places = {str(j): [r - below[f"b{j}"]] for j, (_, r, _, _) in enumerate(wanted)
+              if 0 <= r - below[f"b{j}"] < below[f"n{j}"]}
+    kind = cols.schema["_v0"].dataType.simpleString()
+    got = values_at_ranks(spark.read.schema(f"feature string, v {kind}").parquet(path), places)
+    missed: dict[str, list[int]] = {}
+    for j, (i, r, _, _) in enumerate(wanted):
+        if str(j) in places:
+            found[names[i], r] = got[str(j), places[str(j)][0]]
+        else:
+            missed.setdefault(names[i], []).append(r)
+    if missed:
+        long = cols.select(F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), c.alias("v"))
+                                              for n, c in zip(names, v)]))).filter(F.col("v").isNotNull())
+        found.update(values_at_ranks(long, missed))
+    return counts, found

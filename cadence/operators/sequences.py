@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadence.operators.rowindex import RN, neighbour, sliding_windows, with_row_index
+from cadence.operators.rowindex import RN, last_steps, neighbour, sliding_windows, with_row_index
 from cadence.roles import SPLIT, TARGET, ColumnRoles
 
 
@@ -34,15 +34,20 @@ def windows(df: DataFrame, features: list[str], length: int, order: list[str], *
             target: str | None = TARGET) -> DataFrame:
     """W5 (``target_inside=True``), W6 (next step, global), W7 (per stream:
     ``partition=[stream]``), W11 (per split: ``partition=[split]``)."""
-    partition = partition or []
-    # index (and checkpoint) only the columns the windows use
-    needed = [*partition, *order, *features, *meta, *([target] if target else [])]
-    src = df.select(*dict.fromkeys(needed))
-    ix = with_row_index(src, [*partition, *order])
+    ix = window_index(df, features, order, meta, partition, target)
     return sliding_windows(ix, features, length, target_inside=target_inside,
                            meta=meta, target=target, same=partition)
 
 
+def window_index(df: DataFrame, features: list[str], order: list[str], meta: list[str],
+                 partition: list[str] | None = None, target: str | None = TARGET) -> DataFrame:
+    """The row index that windows are cut from: numbered (and checkpointed) once, with only the
+    columns the windows use.  Cell statistics come from it too, row by row."""
+    partition = partition or []
+    needed = [*partition, *order, *features, *meta, *([target] if target else [])]
+    return with_row_index(df.select(*dict.fromkeys(needed)), [*partition, *order])
+
+
 def windows_with_fallback(df: DataFrame, features: list[str], length: int, order: list[str],
                           stream: str, meta: list[str], target: str | None = TARGET) -> DataFrame:
     """Per-stream windows when some stream has ``length + 1`` rows,
@@ -53,9 +58,14 @@ def windows_with_fallback(df: DataFrame, features: list[str], length: int, order
                    partition=part, target=target)
 
 
-def last_step(win: DataFrame) -> DataFrame:
-    """The last timestep of each window (``X[:, -1, :]``)."""
-    return win.withColumn("x_last", F.element_at("X", -1))
+def last_step(df: DataFrame, features: list[str], length: int, order: list[str], *,
+              target_inside: bool, meta: list[str], partition: list[str] | None = None,
+              target: str | None = TARGET) -> DataFrame:
+    """The last timestep of each window (``X[:, -1, :]``) as columns, by a rule on positions:
+    no window is built."""
+    ix = window_index(df, features, order, meta, partition, target)
+    return last_steps(ix, features, length, target_inside=target_inside, meta=meta, target=target,
+                      same=partition)
 
 
 def order_number(df: DataFrame, order: list[str], stream: str | None = None,

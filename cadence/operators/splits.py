@@ -19,20 +19,17 @@ TRAIN_FRAC, VAL_FRAC = 0.70, 0.85
 def time_quantiles(df: DataFrame, time_col: str, fractions=(TRAIN_FRAC, VAL_FRAC),
                    accuracy: int | None = None) -> DataFrame:
     """One-row frame ``_q`` with the time quantiles: the smallest time with
-    at least the fraction of the rows at or before it, exact at any size
-    (``rowindex.values_at_ranks``).  ``accuracy`` opts for the mergeable
+    at least the fraction of the rows at or before it, exact at any size, from two
+    evaluations of ``df`` (``rowindex.values_at_fractions``).  ``accuracy`` opts for the mergeable
     ``percentile_approx`` sketch of that accuracy instead."""
-    from cadence.operators.rowindex import values_at_ranks
+    from cadence.operators.rowindex import values_at_fractions
     if accuracy is not None:
         return df.select(F.percentile_approx(time_col, list(fractions), accuracy).alias("_q"))
-    times = df.select(F.col(time_col).alias("_v")).filter(F.col("_v").isNotNull())
-    kind = times.schema["_v"].dataType
-    micros = epoch_micros("_v")
-    n = times.count()
-    ranks = [max(n - math.floor(n - f * n), 1) - 1 for f in fractions]
-    got = values_at_ranks(times.select(F.lit("t").alias("feature"), micros.alias("v")), {"t": ranks})
-    at = [got.get(("t", r)) for r in ranks]
+    kind = df.schema[time_col].dataType
+    rank = lambda n, f: [max(n - math.floor(n - f * n), 1) - 1]
+    counts, got = values_at_fractions(df, {"t": epoch_micros(time_col)}, list(fractions), rank)
     value = lambda us: F.lit(None).cast(kind) if us is None else _from_micros(int(us)).cast(kind)
+    at = [got[("t", rank(counts["t"], f)[0])] if counts["t"] else None for f in fractions]
     return df.sparkSession.range(1).select(F.array(*[value(us) for us in at]).alias("_q"))
 
 
@@ -41,12 +38,13 @@ def _from_micros(us: int) -> Column:
 
 
 def assign_time_split(df: DataFrame, time_col: str, fractions=(TRAIN_FRAC, VAL_FRAC),
-                      accuracy: int | None = None, name: str = SPLIT) -> DataFrame:
+                      accuracy: int | None = None, name: str = SPLIT,
+                      times: DataFrame | None = None) -> DataFrame:
     """``<= q70`` train, ``<= q85`` val, else test.
 
     The thresholds are a one-row frame joined by broadcast (size bound: one
-    row)."""
-    q = time_quantiles(df, time_col, fractions, accuracy)
+    row).  ``times``: a cheaper frame with the same times, to take them from."""
+    q = time_quantiles(df if times is None else times, time_col, fractions, accuracy)
     t = F.col(time_col)
     return (df.crossJoin(F.broadcast(q))
               .withColumn(name, F.when(t <= F.col("_q")[0], F.lit("train"))

@@ -63,30 +63,22 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> Da
     """Exact quantiles with linear interpolation (pandas, SQL ``quantile_cont``)
     of several columns, without sorting them and without a hot task.
 
-    One aggregate counts the usable values of each column; the values at the
-    ranks floor/ceil of p*(n-1) come from ``rowindex.values_at_ranks``
-    (counts over value ranges, combined map-side).  NULL, NaN and infinities
-    are skipped.  Output: (feature, p, value), one row per column and p."""
-    from cadence.operators.rowindex import values_at_ranks
-    spark = df.sparkSession
-    v = {c: finite_or_null(F.col(c).cast("double")) for c in columns}
-    counts = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(v.values())]).first()
-    ranks: dict[str, list[int]] = {}
-    for c, n in zip(columns, counts):
-        if n:
-            ranks[c] = sorted({f(p * (n - 1)) for p in probs for f in (math.floor, math.ceil)})
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), x.alias("v"))
-                                         for c, x in v.items() if c in ranks] or
-                                       [F.struct(F.lit("").alias("feature"), F.lit(None).cast("double").alias("v"))]
-                                       )).alias("x")).select("x.*").filter(F.col("v").isNotNull())
-    got = values_at_ranks(long, ranks)
+    ``df`` is evaluated twice (``rowindex.values_at_fractions``): counts and
+    sketches, then the few values around the ranks floor/ceil of p*(n-1).
+    NULL, NaN and infinities are skipped.  Output: (feature, p, value), one
+    row per column and p."""
+    from cadence.operators.rowindex import values_at_fractions
+    v = {c: finite_or_null(F.col(f"`{c}`").cast("double")) for c in columns}
+    between = lambda n, p: (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))
+    counts, got = values_at_fractions(df, v, list(probs), between)
     rows = []
-    for c, n in zip(columns, counts):
+    for c in columns:
+        n = counts[c]
         for p in probs if n else []:
             at = p * (n - 1)
             lo, hi = got[c, math.floor(at)], got[c, math.ceil(at)]
             rows.append((c, float(p), lo + (at - math.floor(at)) * (hi - lo)))
-    return spark.createDataFrame(rows, "feature string, p double, value double")
+    return df.sparkSession.createDataFrame(rows, "feature string, p double, value double")
 
 
 def describe(df: DataFrame, columns: list[str], exact: bool = True,
@@ -231,6 +223,38 @@ def window_cell_stats(windows: DataFrame, n_features: int, split: str | None = S
                      F.array(*[F.stddev_pop(x) for x in xs]).alias("_sd"))
 
 
+def row_cell_stats(placed: DataFrame, features: list[str], length: int, target_inside: bool,
+                   split: str | None = SPLIT, train_value: str = "train",
+                   imputed: bool = False) -> DataFrame:
+    """``window_cell_stats`` without windows: every row of ``rowindex.with_place`` counts as often as
+    windows hold it.  The windows must not cross ``split``.  ``imputed``: mean and std of the cells
+    after missing ones got the mean (0 where a feature has none).  Two aggregates over rows: the
+    means, then the squares around them."""
+    from cadence.operators.rowindex import windows_holding
+    src = placed.filter(F.col(split) == train_value) if split else placed
+    rows = src.select(windows_holding(length, target_inside).cast("double").alias("_w"), *[
+        finite_or_null(F.col(f"`{c}`").cast("double")).alias(f"_x{j}") for j, c in enumerate(features)])
+    rows = rows.filter("_w > 0")
+    xs = [F.col(f"_x{j}") for j in range(len(features))]
+    held = [F.sum(F.when(x.isNotNull(), F.col("_w"))) for x in xs]
+    mu = rows.agg(F.array(*[F.sum(F.col("_w") * x) / n for x, n in zip(xs, held)]).alias("_mu"))
+    around = [F.sum(F.col("_w") * (x - F.col("_mu")[j]) * (x - F.col("_mu")[j])) for j, x in enumerate(xs)]
+    sd = (rows.crossJoin(F.broadcast(mu))
+          .agg(F.array(*[F.sqrt((F.coalesce(a, F.lit(0.0)) / F.sum("_w")) if imputed else a / n)
+                         for a, n in zip(around, held)]).alias("_sd")))
+    if imputed:
+        mu = mu.select(F.transform("_mu", lambda m: F.coalesce(m, F.lit(0.0))).alias("_mu"))
+    return mu.crossJoin(F.broadcast(sd))
+
+
+def fit_row_scaler(placed: DataFrame, features: list[str], length: int, target_inside: bool = True,
+                   split: str | None = SPLIT, train_value: str = "train") -> tuple[DataFrame, DataFrame]:
+    """``fit_window_scaler`` from rows: train cell means for imputation, then mean and population
+    std of the imputed cells."""
+    scale = row_cell_stats(placed, features, length, target_inside, split, train_value, imputed=True)
+    return scale.select("_mu"), scale
+
+
 def impute_windows(windows: DataFrame, means: DataFrame) -> DataFrame:
     """M2 on windows: fill missing cells with the train cell mean (0 when a
     feature has none)."""
@@ -274,9 +298,22 @@ def timestep_means(windows: DataFrame, n_features: int) -> DataFrame:
     return per_t.agg(F.sort_array(F.collect_list(F.struct("t", "m"))).alias("_tm"))
 
 
-def impute_per_timestep(windows: DataFrame, n_features: int) -> DataFrame:
-    """M3: fill a missing cell with the batch mean of its feature at its timestep."""
-    tm = F.broadcast(timestep_means(windows, n_features))
+def row_timestep_means(placed: DataFrame, features: list[str], length: int,
+                       target_inside: bool) -> DataFrame:
+    """``timestep_means`` without windows: the rows of ``rowindex.with_place`` that are timestep t of
+    some window are averaged, L x F values in one aggregate."""
+    from cadence.operators.rowindex import at_timestep
+    mean = lambda c, ok: F.avg(F.when(ok, finite_or_null(F.col(f"`{c}`").cast("double"))))
+    return placed.agg(F.array(*[
+        F.struct(F.lit(t).alias("t"), F.array(*[mean(c, at_timestep(t, length, target_inside))
+                                                for c in features]).alias("m"))
+        for t in range(length)]).alias("_tm"))
+
+
+def impute_per_timestep(windows: DataFrame, n_features: int, means: DataFrame | None = None) -> DataFrame:
+    """M3: fill a missing cell with the batch mean of its feature at its timestep (``means``: from
+    ``row_timestep_means``, else from the windows)."""
+    tm = F.broadcast(timestep_means(windows, n_features) if means is None else means)
     return (windows.crossJoin(tm)
                    .withColumn("X", F.transform("X", lambda r, t: F.zip_with(
                        r, F.col("_tm")[t]["m"], lambda v, m: F.coalesce(finite_or_null(v), m))))
@@ -286,17 +323,27 @@ def impute_per_timestep(windows: DataFrame, n_features: int) -> DataFrame:
 # --- M6: weighted oversampling ------------------------------------------------------
 
 def oversample(df: DataFrame, key: str, weight: Column, seed: int = 42,
-               draws: Column | None = None) -> DataFrame:
-    """M6: row copies = floor(n * w / sum(w) + u), u from the seeded md5 of the
-    key: the expected draws of sampling with replacement, reproducible under
-    re-execution.  ``n`` defaults to the row count."""
-    tot = df.agg(F.sum(weight).alias("_sw"), F.count(F.lit(1)).alias("_n"))
-    n = draws if draws is not None else F.col("_n")
-    copies = F.floor(n * weight / F.col("_sw") + seeded_unit(F.col(key), seed)).cast("int")
-    return (df.crossJoin(F.broadcast(tot)).withColumn("_copies", copies)
-              .filter(F.col("_copies") > 0)
+               draws: int | None = None) -> DataFrame:
+    """M6: exactly ``draws`` rows (default: as many as there are), drawn with probability
+    proportional to ``weight``: systematic sampling.
+
+    The rows stand in the order of the seeded md5 of their key; the prefix sums of their weights
+    (``rowindex.with_prefix_sum``, no single task) cut the line of length sum(w) into pieces, and
+    draw k = 0 .. n-1 takes the row whose piece holds (k + u) * sum(w) / n, u from the seed.  So a
+    row comes floor or ceil of n * w / sum(w) times.  Rows without a positive weight never come."""
+    from cadence.operators.rowindex import RN, with_prefix_sum, with_row_index
+    src = df.withColumn("_w", F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(0.0)))
+    order = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    ix, total = with_prefix_sum(with_row_index(src, [order]), "_w", "_before")
+    n = ix.count() if draws is None else draws
+    if not total:
+        return df.limit(0).withColumn("_draw", F.lit(0))
+    u = seeded_unit(F.lit("draw"), seed)
+    upto = lambda at: F.ceil(at * float(n) / F.lit(total) - u)  # noqa: E731 - draws before a place
+    copies = (upto(F.col("_before") + F.col("_w")) - upto(F.col("_before"))).cast("int")
+    return (ix.withColumn("_copies", copies).filter(F.col("_copies") > 0)
               .withColumn("_draw", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-              .drop("_sw", "_n", "_copies"))
+              .drop("_copies", "_before", "_w", RN))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

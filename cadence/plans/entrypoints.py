@@ -7,7 +7,8 @@ runs on Spark, and only fixed-size model parameters reach the driver.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,9 @@ from cadence.operators import attribution as AT
 from cadence.operators import models as M
 from cadence.operators import stats as S
 from cadence.operators.projection import drop_case_insensitive, feature_columns
+from cadence.operators.rowindex import sliding_windows, with_place
 from cadence.operators.sequences import (last_step, previous_target, scoring_window, template_row,
-                                         windows)
+                                         window_index)
 from cadence.operators.splits import require_splits, seeded_sample
 from cadence.functions.timeparse import require_rows
 from cadence.plans.etl import add_target, build_raw_table
@@ -107,14 +109,34 @@ def score_batch(rows: DataFrame, model: PipelineModel, keep: list[str], drop: li
 
 @dataclass
 class SequenceModel:
+    """A fitted sequence model as plain numbers: scaler (train cell means, and mean and std of the
+    imputed cells, one of each for a feature), regressor and classifier."""
     features: list[str]
     length: int
-    means: DataFrame
-    scale: DataFrame
-    regressor: object
-    classifier: object
+    means: list[float | None]
+    center: list[float]
+    std: list[float]
+    regressor: M.WindowLinear
+    classifier: M.WindowLinear
     log_target: bool = False
 
+    def scaler(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+        """One-row frames for ``stats.apply_window_scaler``."""
+        means = spark.createDataFrame([(self.means,)], "_mu array<double>")
+        return means, spark.createDataFrame([(self.center, self.std)], "_mu array<double>, _sd array<double>")
+
+    def save(self, spark: SparkSession, path: str) -> str:
+        """The model as one JSON text in a new folder."""
+        spark.createDataFrame([(json.dumps(asdict(self)),)], "model string").coalesce(1).write.text(path)
+        return path
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> SequenceModel:
+        told = json.loads(spark.read.text(path).first()[0])
+        for part in ("regressor", "classifier"):
+            told[part] = M.WindowLinear(**told[part])
+        return cls(**told)
+
 
 def sequence_model(features: DataFrame, roles: ColumnRoles, length: int = 5,
                    feature_list: list[str] | None = None, log_target: bool = False,
@@ -133,18 +155,21 @@ def sequence_model(features: DataFrame, roles: ColumnRoles, length: int = 5,
         df = previous_target(df, roles.order(), [roles.split], roles.target, PREV, drop_missing=[])
         feats = [*feats, PREV]
     meta = [c for c in (roles.stream, roles.cycle, roles.time) if c] + [roles.split]
-    win = windows(df, feats, length, roles.order(), target_inside=True, meta=meta,
-                  partition=[roles.split], target=roles.target)
-    means, scale = S.fit_window_scaler(win, len(feats), roles.split)
-    trz = S.apply_window_scaler(win.filter(F.col(roles.split) == "train"), means, scale)
+    ix = window_index(df, feats, roles.order(), meta, [roles.split], roles.target)
+    means, scale = S.fit_row_scaler(with_place(ix, [roles.split]), feats, length, split=roles.split)
+    win = sliding_windows(ix, feats, length, target_inside=True, meta=meta, target=roles.target,
+                          same=[roles.split])
+    scaled = S.apply_window_scaler(win, means, scale).checkpoint(eager=True)  # read by every step below
+    trz = scaled.filter(F.col(roles.split) == "train")
     if oversample_long:
         w = F.when(S.long_flag("y", threshold) == 1, F.lit(float(oversample_long))).otherwise(F.lit(1.0))
         key = F.concat_ws(":", *[F.col(c).cast("string") for c in meta])
         trz = S.oversample(trz.withColumn("_key", key), "_key", w).drop("_key", "_draw")
     reg_train = trz.withColumn("y", S.log_target(F.col("y"))) if log_target else trz
-    model = SequenceModel(feats, length, means, scale, M.fit_window_regressor(reg_train),
-                          M.fit_window_classifier(trz, threshold), log_target)
-    evald = S.apply_window_scaler(win.filter(F.col(roles.split).isin("val", "test")), means, scale)
+    at = scale.first()
+    model = SequenceModel(feats, length, list(means.first()["_mu"]), list(at["_mu"]), list(at["_sd"]),
+                          M.fit_window_regressor(reg_train), M.fit_window_classifier(trz, threshold), log_target)
+    evald = scaled.filter(F.col(roles.split).isin("val", "test"))
     preds = M.prediction_table(evald, model.regressor, model.classifier, meta, threshold, log_target)
     return model, preds, M.regression_metrics(preds, "true_sec", "pred_sec", [roles.split])
 
@@ -158,7 +183,7 @@ def score_latest(features: DataFrame, roles: ColumnRoles, model: SequenceModel)
         features = previous_target(features, roles.order(), part, roles.target, PREV)
     w = scoring_window(features, model.features, model.length, roles.order(), roles.split, keys)
     w = w.withColumn("y", F.lit(None).cast("double"))
-    z = S.apply_window_scaler(w, model.means, model.scale)
+    z = S.apply_window_scaler(w, *model.scaler(features.sparkSession))
     return M.prediction_table(z, model.regressor, model.classifier, list(keys),
                               log_target=model.log_target).drop("true_sec", "is_long_true")
 
@@ -190,9 +215,8 @@ def attribute_sequence(features: DataFrame, roles: ColumnRoles, length: int = 10
     timestep, a ridge surrogate on train, mean |phi| on the other rows."""
     df = features.dropna(subset=[roles.target])
     feats = feature_list or feature_columns(df, roles)
-    win = last_step(windows(df, feats, length, roles.order(), target_inside=False,
-                            meta=[roles.split], target=roles.target))
-    flat = win.select(roles.split, F.col("y"), *[F.col("x_last")[i].alias(f) for i, f in enumerate(feats)])
+    flat = last_step(df, feats, length, roles.order(), target_inside=False, meta=[roles.split],
+                     target=roles.target)
     st = S.train_stats(flat, feats, split=roles.split, median=False)
     z = S.standardize(S.impute(flat, feats, st, how="mean"), feats, st)
     train = z.filter(F.col(roles.split) == "train")

@@ -18,13 +18,19 @@ from cadence.roles import ColumnRoles
 
 def build_raw_table(raw: DataFrame, roles: ColumnRoles, fractions=(0.70, 0.85),
                     accuracy: int | None = None, null_len: str = "null",
-                    parse_series: bool = True) -> DataFrame:
+                    parse_series: bool = True, times: DataFrame | None = None) -> DataFrame:
     """Parsed time (P1/P2), per-row series summary (A12) and time split (G3),
-    before any target: the reference's raw table."""
-    df = keep_parsed(to_wall_clock(raw, roles.time), roles.time)
+    before any target: the reference's raw table.
+
+    ``times``: the raw rows without what was joined to them, when the series come
+    from a join.  The split's two passes over the times then leave the join out
+    (it must neither drop nor repeat rows)."""
+    parsed = lambda rows: keep_parsed(to_wall_clock(rows, roles.time), roles.time)
+    df = parsed(raw)
     if roles.series:
         df = summarize_series_columns(df, list(roles.series), parse=parse_series, null_len=null_len)
-    return assign_time_split(df, roles.time, fractions, accuracy)
+    narrow = None if times is None else parsed(times.select(roles.time))
+    return assign_time_split(df, roles.time, fractions, accuracy, times=narrow)
 
 
 def add_target(df: DataFrame, roles: ColumnRoles, rule: str = "strict",

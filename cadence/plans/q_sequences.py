@@ -107,8 +107,16 @@ def w8_windows_streams(spark, sf_dir):
        f"SELECT B, x_last FROM w WHERE n = {L}", doubles=("x_last",))
 def w9_last_step(spark, sf_dir):
     f = events_features(spark, sf_dir)
-    win = last_step(windows(f, ["value"], L, ORDER, target_inside=False, meta=["B"]))
-    return win.select("B", F.col("x_last")[0].alias("x_last"))
+    win = last_step(f, ["value"], L, ORDER, target_inside=False, meta=["B"], target=None)
+    return win.select("B", F.col("value").alias("x_last"))
+
+
+@query("W9_last_step_streams", with_ctes(EVENTS_CT, _win_sql(f"{L} PRECEDING AND 1 PRECEDING", "A", keys="A, B")) +
+       f"SELECT A, B, x_last, y FROM w WHERE n = {L}", doubles=("x_last", "y"))
+def w9_last_step_streams(spark, sf_dir):
+    f = events_features(spark, sf_dir)
+    win = last_step(f, ["value"], L, ORDER, target_inside=False, meta=["A", "B"], partition=["A"])
+    return win.select("A", "B", F.col("value").alias("x_last"), "y")
 
 
 @query("W10_order_number", with_ctes(EVENTS_CT) +

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cadence.functions.arrays import SUMMARY_SUFFIXES
 from cadence.operators.splits import split_target_summary
-from cadence.plans.etl import build_feature_table
+from cadence.plans.etl import add_target, build_feature_table, build_raw_table
 from cadence.plans.oracle import EVENTS_CT, EVENTS_TEXT_BASE, events_ct, ts_text, with_ctes
 from cadence.plans.q_cycles import events_features, text_time
 from cadence.plans.registry import query
@@ -113,6 +113,15 @@ def s5_scoring_csv(spark, sf_dir):
     return io.read_scoring_input(spark, path, "A long, B long, value double")
 
 
+@query("S5_scoring_json_array", with_ctes(EVENTS_CT) + "SELECT A, B, value FROM feat WHERE split = 'test'",
+       doubles=("value",))
+def s5_scoring_json_array(spark, sf_dir):
+    """Files of one JSON array each; every file is split over tasks."""
+    rows = events_features(spark, sf_dir).filter(F.col("split") == "test").select("A", "B", "value")
+    path = io.write_json_arrays(rows, io.scratch_path(spark, "score_json_array"), 2, "B")
+    return io.read_scoring_input(spark, path, "A long, B long, value double", fmt="json", multiline=True)
+
+
 # --- the full ETL: text time (six layouts) + twelve text series columns ---------------
 
 SERIES = tuple("EFGHIJKLMNOP")
@@ -171,5 +180,7 @@ _SERIES_COLS = [f"{n}_{s}" for n in SERIES for s in SUMMARY_SUFFIXES]
 def etl_feature_table(spark, sf_dir):
     """Flagship: text time in six layouts, twelve text series columns, per-row series summary
     before any shuffle, time split, strict next-cycle gap."""
-    out = build_feature_table(cycles_with_series(spark, sf_dir), SERIES_ROLES)
+    raw = build_raw_table(cycles_with_series(spark, sf_dir), SERIES_ROLES, times=events_text_table(spark, sf_dir))
+    path = io.write_parquet(raw, io.scratch_path(spark, "raw"))  # parsed and summarised once
+    out = add_target(io.read_parquet(spark, path), SERIES_ROLES)
     return out.select("B", "split", "CycleTime_sec", *_SERIES_COLS)

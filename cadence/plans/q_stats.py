@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from cadence.operators import stats as S
 from cadence.operators.projection import (align_features, drop_case_insensitive,
                                           feature_columns, rename_roles, split_filter)
-from cadence.operators.sequences import previous_target, windows
+from cadence.operators.rowindex import sliding_windows, with_place
+from cadence.operators.sequences import previous_target, window_index
 from cadence.operators.splits import (ordered_fraction_split, random_split, seeded_sample,
                                       seeded_unit)
 from cadence.plans.oracle import EVENTS_CT, REG_LINES, md5_unit, with_ctes
@@ -119,10 +120,12 @@ m AS (SELECT {', '.join(f'avg(p{t}) AS m{t}' for t in range(5))} FROM v)""") +
     "FROM v CROSS JOIN m", doubles=("x_sum",))
 def m3_timestep_impute(spark, sf_dir):
     p = _prev_ct_all(spark, sf_dir)
-    win = windows(p, ["prev_ct"], 5, ["C", "A", "B"], target_inside=False, meta=["B"], target=None)
+    ix = window_index(p, ["prev_ct"], ["C", "A", "B"], ["B"], target=None)
+    means = S.row_timestep_means(with_place(ix), ["prev_ct"], 5, target_inside=False)
+    win = sliding_windows(ix, ["prev_ct"], 5, target_inside=False, meta=["B"])
     filled = win.select("B", F.aggregate(F.transform("X", lambda r: F.when(r[0].isNull(), 1).otherwise(0)),
                                          F.lit(0), lambda a, v: a + v).alias("n_filled"), "X")
-    imp = S.impute_per_timestep(filled, 1)
+    imp = S.impute_per_timestep(filled, 1, means)
     return imp.select("B", F.aggregate(F.transform("X", lambda r: r[0]), F.lit(0.0),
                                        lambda a, v: a + v).alias("x_sum"), "n_filled")
 
@@ -139,20 +142,26 @@ st AS (SELECT sum(x_sum) / (5.0 * count(*)) AS mu,
        "FROM v CROSS JOIN st", doubles=("z_sum", "z_last"))
 def m5_window_standardize(spark, sf_dir):
     f = events_features(spark, sf_dir)
-    win = windows(f, ["value"], 5, ["C", "A", "B"], target_inside=True, meta=["B", "split"],
-                  partition=["split"])
-    z = S.standardize_windows(win, S.window_cell_stats(win, 1))
+    ix = window_index(f, ["value"], ["C", "A", "B"], ["B", "split"], ["split"])
+    cells = S.row_cell_stats(with_place(ix, ["split"]), ["value"], 5, target_inside=True)
+    win = sliding_windows(ix, ["value"], 5, target_inside=True, meta=["B", "split"], same=["split"])
+    z = S.standardize_windows(win, cells)
     vals = F.transform("X", lambda r: r[0])
     return z.select("B", "split", F.aggregate(vals, F.lit(0.0), lambda a, v: a + v).alias("z_sum"),
                     F.element_at(vals, -1).alias("z_last"))
 
 
 @query("M6_oversample", with_ctes(EVENTS_CT, f"""
-t AS (SELECT B, CASE WHEN CycleTime_sec >= 90 THEN 20.0 ELSE 1.0 END AS w FROM feat WHERE split = 'train'),
-tot AS (SELECT sum(w) AS sw, count(*) AS n FROM t),
-c AS (SELECT B, CAST(floor(n * w / sw + {md5_unit('B')}) AS INTEGER) AS copies FROM t CROSS JOIN tot)""") +
+t AS (SELECT B, CASE WHEN CycleTime_sec >= 90 THEN CAST(20.0 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS w
+      FROM feat WHERE split = 'train'),
+tot AS (SELECT sum(w) AS sw, CAST(count(*) AS DOUBLE) AS n, {md5_unit("'draw'")} AS u FROM t),
+o AS (SELECT B, w, coalesce(sum(w) OVER (ORDER BY md5(B || ':42') ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                            0) AS before FROM t),
+c AS (SELECT B, CAST(ceil((before + w) * n / sw - u) - ceil(before * n / sw - u) AS INTEGER) AS copies
+      FROM o CROSS JOIN tot)""") +
        "SELECT B, copies FROM c WHERE copies > 0")
 def m6_oversample(spark, sf_dir):
+    """As many draws as rows, exactly."""
     f = events_features(spark, sf_dir).filter(F.col("split") == "train")
     w = F.when(S.long_flag("CycleTime_sec") == 1, F.lit(20.0)).otherwise(F.lit(1.0))
     o = S.oversample(f, "B", w)

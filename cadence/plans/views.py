@@ -68,3 +68,14 @@ def reg_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.try_divide("l_discount", "l_tax").alias("tax_ratio"),
                     F.col("l_extendedprice").alias("y"))
     return random_split(out, "row_key", test_fraction=0.15, val_fraction=0.15)
+
+
+def reg_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``reg_lines`` with a label that its features explain, and ridge cannot follow: a step at
+    quantity 25, a product of quantity and discount, and a seeded residue of +-50 (the label of
+    ``reg_lines`` has no signal: the test tables draw prices independently)."""
+    from cadence.operators.splits import seeded_unit
+    step = F.when(F.col("l_quantity") > 25, F.lit(1000.0)).otherwise(F.lit(0.0))
+    residue = (seeded_unit(F.col("row_key"), 7) - 0.5) * 100.0
+    return reg_lines(spark, sf_dir).withColumn(
+        "y", step + F.col("l_quantity") * F.col("l_discount") * 400.0 + residue)

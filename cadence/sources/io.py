@@ -60,11 +60,65 @@ def write_csv(df: DataFrame, path: str) -> str:
 
 def read_scoring_input(spark: SparkSession, path: str, schema: StructType | str,
                        fmt: str = "csv", multiline: bool = False) -> DataFrame:
-    """Feature rows to score, from CSV or JSON (``multiline=True`` for a
-    file that holds one JSON array; such a file is read by one task)."""
+    """Feature rows to score, from CSV or JSON (``multiline=True`` for
+    files that hold one JSON array each, ``read_json_array``)."""
     if fmt == "csv":
         return read_csv(spark, path, schema)
-    return spark.read.schema(schema).option("multiLine", multiline).json(path)
+    if multiline:
+        return read_json_array(spark, path, schema)
+    return spark.read.schema(schema).json(path)
+
+
+def read_json_array(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Rows of files that each hold one JSON array of objects, over many lines or in one line; a file
+    is split over tasks wherever it is cut.
+
+    The files are read in pieces that end with ``}``. A piece's quotes say whether it ends inside a
+    string if it began outside one, or the other way round; so the running parity of all earlier
+    quotes tells where it began, and its braces outside strings how deep it ends. Prefix sums over
+    the pieces (``rowindex.with_prefix_sum``, no single task) give both, and a closing brace back at
+    the array's own depth ends an element. Only the pieces of one element meet."""
+    from cadence.operators.rowindex import RN, with_prefix_sum, with_row_index
+    pieces = (spark.read.option("lineSep", "}").text(path)
+              .select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("at"))
+              .withColumn("i", F.monotonically_increasing_id()))
+    ix = with_row_index(pieces, ["f", "at", "i"], tiebreak=False)
+    told = F.split(F.regexp_replace("value", r"\\.", ""), '"', -1)  # without escaped characters
+
+    def deeper(first: int):
+        """Braces and brackets that open, less those that close, in every second part."""
+        parts = F.filter(told, lambda _, i: i % 2 == first)
+        return F.aggregate(parts, F.lit(0), lambda n, p: n + F.length(F.regexp_replace(p, r"[^\[{]", ""))
+                           - F.length(F.regexp_replace(p, r"[^\]}]", "")))
+    ends = ix.groupBy("f").agg(F.max(RN).alias("end"))  # behind its last brace a file only closes the array
+    ix = ix.join(ends, "f").select(RN, "value", (F.col(RN) == F.col("end")).alias("last"), deeper(0).alias("d0"),
+                                   deeper(1).alias("d1"), (F.size(told) - 1).cast("double").alias("quotes"))
+    ix, _ = with_prefix_sum(ix, "quotes", "before")
+    inside = (F.col("before") + F.col("quotes")) % 2 == 1  # the piece ends in a string
+    closed = F.when(inside | F.col("last"), 0).otherwise(1)
+    step = F.when(F.col("before") % 2 == 1, F.col("d1")).otherwise(F.col("d0")) - closed
+    ix, _ = with_prefix_sum(ix.withColumn("step", step.cast("double")), "step", "depth")
+    closes = (closed == 1) & (F.col("depth") + F.col("step") == 1)
+    ix, _ = with_prefix_sum(ix.withColumn("closes", closes.cast("int").cast("double")), "closes", "element")
+    parts = F.transform(F.sort_array(F.collect_list(F.struct(RN, "value"))), lambda p: p["value"])
+    whole = (ix.filter("NOT last").groupBy("element")
+             .agg(F.concat(F.array_join(parts, "}"), F.lit("}")).alias("t"), F.max("closes").alias("closes"))
+             .filter("closes = 1"))
+    row = F.from_json(F.regexp_replace("t", r"^[\s,\[]+", ""), schema)
+    return whole.select(row.alias("row")).select("row.*")
+
+
+def write_json_arrays(df: DataFrame, path: str, files: int, key: str) -> str:
+    """Rows as ``files`` files of one JSON array each, dealt by a hash of ``key``."""
+    from pyspark.sql import Window
+    part = F.pmod(F.xxhash64(key), F.lit(files)).cast("int")
+    n = F.row_number().over(Window.partitionBy("_p").orderBy("_k"))
+    rows = (df.select(F.col(key).cast("string").alias("_k"), part.alias("_p"), F.to_json(F.struct(*df.columns)).alias("_t"))
+            .withColumn("_n", n).select("_p", "_n", F.concat(F.when(F.col("_n") == 1, "[").otherwise(","), "_t").alias("value")))
+    ends = rows.groupBy("_p").agg((F.max("_n") + 1).alias("_n")).select("_p", "_n", F.lit("]").alias("value"))
+    (rows.union(ends).repartitionById(files, "_p").sortWithinPartitions("_p", "_n").select("value")
+     .write.mode("overwrite").text(path))
+    return path
 
 
 def cached_sql_summary(df: DataFrame, split: str = "split",
