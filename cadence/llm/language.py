@@ -23,10 +23,13 @@ UNKNOWN = "und"
 #: Bounds of the training sample, the only thing that is sampled: rows of a language, characters of
 #: a row, and of a language (an even share of ``TOTAL_CHARS``, but ``LANG_CHARS`` at least).
 SAMPLE_ROWS, ROW_CHARS, TOTAL_CHARS, LANG_CHARS = 400, 600, 240_000, 1_200
+#: Rows ranked for each row of the sample; the range that hashes are cut in.
+SPARE, RANGE = 4, 1 << 40
 #: Letters with a column in the table (the others have sorted keys); texts are parsed in stretches
 #: of so many symbols.
 LETTERS, STRETCH = 90, 256
-#: Stretches that a calibration needs at least; deviations that a recognised text may lie above.
+#: Stretches that a language's calibration needs at least; deviations that a recognised text may lie
+#: above.
 CALIBRATED, DEVIATIONS = 20, 10
 
 
@@ -39,24 +42,28 @@ def training_sample(docs: DataFrame, text: str = "text", lang: str = "lang",
                     doc_id: str = "doc_id") -> dict[str, str]:
     """Labelled text by language, outside the held-out fifth, within the bounds above.
 
-    The rows of a language are those with the smallest hashes of id and text. First the hashes
-    alone are ranked (each task keeps ``SAMPLE_ROWS`` a language), then the chosen rows are read.
+    The rows of a language are those with the smallest hashes of id and text; rows that repeat both
+    are one. A sketch of each language's distinct hashes says which share of the hash range holds
+    some ``SAMPLE_ROWS`` rows ``SPARE`` times over; only those are ranked, and no more than
+    ``SAMPLE_ROWS`` of a language reach the driver, however rows repeat.
     """
     d = docs.select(F.col(f"`{doc_id}`").alias("k"), F.col(f"`{text}`").alias("t"),
                     F.col(f"`{lang}`").alias("l"))
     d = d.filter(F.col("l").isNotNull() & F.col("t").isNotNull()
                  & (F.crc32(F.col("k").cast("string")) % 5 != 0))
-    d = d.withColumn("h", F.xxhash64("k"))
-    first = (d.select("l", "h").withColumn("n", F.row_number().over(W.partitionBy("l").orderBy("h")))
-             .filter(F.col("n") <= SAMPLE_ROWS).groupBy("l").agg(F.max("h").alias("cut")))
-    rows = (d.join(F.broadcast(first), "l")  # one row a label
-            .filter(F.col("h") <= F.col("cut"))
-            .select("l", "h", F.substring("t", 1, ROW_CHARS).alias("t")).collect())
+    d = d.withColumn("h", F.xxhash64("k", "t")).withColumn("u", F.pmod("h", F.lit(RANGE)))
+    sizes = d.groupBy("l").agg(F.approx_count_distinct("h").alias("m"))
+    share = F.least(F.lit(1.0), F.lit(float(SPARE * SAMPLE_ROWS)) / F.greatest("m", F.lit(1)))
+    some = (d.join(F.broadcast(sizes.select("l", share.alias("share"))), "l")  # one row a label
+            .filter(F.col("u") < F.col("share") * RANGE)
+            .groupBy("l", "u", "h").agg(F.min(F.substring("t", 1, ROW_CHARS)).alias("t")))
+    rank = F.row_number().over(W.partitionBy("l").orderBy("u", "h"))
+    rows = some.withColumn("n", rank).filter(F.col("n") <= SAMPLE_ROWS).select("l", "u", "h", "t").collect()
     texts: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r.l, r.h, r.t)):
+    for r in sorted(rows, key=lambda r: (r.l, r.u, r.h)):
         texts.setdefault(r.l, []).append(r.t)
     each = max(LANG_CHARS, TOTAL_CHARS // max(1, len(texts)))
-    return {name: "\n".join(parts[:SAMPLE_ROWS])[:each] for name, parts in texts.items()}
+    return {name: "\n".join(parts)[:each] for name, parts in texts.items()}
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -236,42 +243,44 @@ class Parser:
         return out
 
 
-def bits_bound(training: dict[str, str]) -> tuple[float, float, int] | None:
-    """(median, deviation above it, symbols) of the bits a symbol of unseen text in the learned
-    languages; stretches below the median are left out of it, as repeated ones have hardly any bits.
+def bits_bounds(training: dict[str, str]) -> dict[str, tuple[float, float]]:
+    """Of each language, the median bits a symbol of unseen text and the deviation above it;
+    stretches below the median are left out of that, as repeated ones have hardly any bits.
 
     The automata of the first halves of the training text parse stretches of the second halves.
-    Half the text knows fewer phrases, so the bound is on the generous side. None if there are
-    fewer than ``CALIBRATED`` stretches to tell.
+    Half the text knows fewer phrases, so the bounds are on the generous side. A language with fewer
+    than ``CALIBRATED`` stretches has none.
     """
     halves = {n: (t[:len(t) // 2], t[len(t) // 2:]) for n, t in training.items()}
     parts = {n: [b[i:i + STRETCH] for i in range(0, len(b) - STRETCH + 1, STRETCH)] for n, (_, b) in halves.items()}
-    names = [n for n, p in parts.items() if p]
-    if sum(len(parts[n]) for n in names) < CALIBRATED:
-        return None
-    parser = Parser({n: halves[n][0] for n in names})
-    bits = np.array([b for n in names for p, _, b in parser.predict(parts[n]) if p != UNKNOWN])
-    if len(bits) < CALIBRATED:
-        return None
-    median = np.median(bits)
-    return float(median), float(np.sqrt(np.mean((bits[bits >= median] - median) ** 2))), STRETCH
+    parts = {n: p for n, p in parts.items() if len(p) >= CALIBRATED}
+    parser = Parser({n: a for n, (a, _) in halves.items()}) if parts else None
+    out = {}
+    for name, stretches in parts.items():
+        bits = np.array([b for p, _, b in parser.predict(stretches) if p != UNKNOWN])
+        if len(bits) >= CALIBRATED:
+            median = np.median(bits)
+            out[name] = float(median), float(np.sqrt(np.mean((bits[bits >= median] - median) ** 2)))
+    return out
 
 
 def recognised(training: dict[str, str], text: str = "text") -> Column:
     """Of ``predict_language``'s result: whether a text is in a learned language.
 
-    Its bits a symbol may exceed the median of the learned languages by ``DEVIATIONS`` deviations;
-    texts shorter than the stretches of the calibration vary more and get a wider bound. Without a
-    calibration, every text with a letter is; nothing is turned away for a lack of labels.
+    Its bits a symbol may exceed the median of the predicted language by ``DEVIATIONS`` deviations of
+    that language; texts shorter than the stretches of the calibration vary more and get a wider
+    bound. Of a language with too little text for a calibration, every text with a letter is
+    recognised; nothing is turned away for a lack of labels.
     """
     letters = F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False))
-    bound = bits_bound(training)
-    if bound is None:
+    bounds = bits_bounds(training)
+    if not bounds:
         return letters
-    median, deviation, symbols = bound
+    of = F.try_element_at(F.create_map(*[x for n, (m, dev) in bounds.items() for x in (
+        F.lit(n), F.array(F.lit(m), F.lit(dev)))]), F.col("lang_pred"))
     size = F.greatest(F.length(F.col(f"`{text}`")), F.lit(1))
-    wider = F.sqrt(F.greatest(F.lit(1.0), symbols / size))
-    return letters & (F.col("lang_bits") <= median + DEVIATIONS * deviation * wider)
+    wider = F.sqrt(F.greatest(F.lit(1.0), STRETCH / size))
+    return letters & F.coalesce(F.col("lang_bits") <= of[0] + DEVIATIONS * of[1] * wider, F.lit(True))
 
 
 _PARSERS: dict[int, Parser] = {}

@@ -1,7 +1,7 @@
 import random
 import zlib
 
-from cadence.llm.language import STRETCH, Parser, identify, predict_language, suffix_automaton, training_sample
+from cadence.llm.language import SAMPLE_ROWS, STRETCH, Parser, identify, predict_language, suffix_automaton, training_sample
 
 
 def plain_phrases(training, text):
@@ -98,3 +98,18 @@ def test_every_label_is_learned(spark):
     rows = [(i, f"text {i}", f"l{i % 300}") for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert len(training_sample(docs)) == 300
+
+
+def test_sample_is_bounded_whatever_repeats(spark, monkeypatch):
+    """Rows that repeat an id, or id and text, are no way around ``SAMPLE_ROWS``."""
+    from pyspark.sql.classic.dataframe import DataFrame as Frame
+    rows = [(1, f"text {i}", "xx") for i in range(3000)] + [(2, "same", "yy")] * 3000
+    rows += [(3 + i, f"text {i}", "yy") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen, plain = [], Frame.collect
+    monkeypatch.setattr(Frame, "collect", lambda self: seen.append(plain(self)) or seen[-1])
+    training = training_sample(docs)
+    by = [r.l for got in seen for r in got]
+    assert max(by.count("xx"), by.count("yy")) <= SAMPLE_ROWS
+    assert {n: len(set(t.split("\n"))) for n, t in training.items()} == {"xx": 400, "yy": 400}
+    assert training == training_sample(docs.repartition(7))
