@@ -5,13 +5,16 @@ floor((j - 1) / w) on and must be out by slot ceil(j / w); of the blocks that ma
 the earliest deadline goes first. With weights that sum to 1, every deadline is met, so at no slot
 is a source a whole block ahead of or behind its share.
 
-With weights of the form a / FRAME the schedule repeats after FRAME slots: only one frame is
-scheduled, a table of a fixed size, and the slot of a block follows from its number. A source that
-has run out leaves its slots empty, so the others go on in proportion to their weights.
+Weights are held exactly, as fractions. Over their common denominator the schedule repeats: only one
+frame of that many slots is scheduled, a table of a fixed size, and the slot of a block follows from
+its number. A source that has run out leaves its slots empty, so the others go on in proportion to
+their weights.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Mapping
 from fractions import Fraction
 
@@ -21,26 +24,24 @@ from pyspark.sql import functions as F
 
 from cadence.llm.common import shuffle_partitions
 
-#: Slots of a frame: weights are held to one part in so many.
-FRAME = 1000
+#: Slots of a frame, at most.
+FRAME = 100_000
 #: Rows numbered by one task.
 NUMBERED = 8192
 REST = "\0rest"
 
 
 def shares(weights: Mapping[str, float], frame: int = FRAME) -> dict[str, int]:
-    """Whole slots of a frame for each weight, one at least, by largest remainder."""
-    total = sum(map(Fraction, weights.values()))
-    exact = {s: Fraction(w) * frame / total for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (out[s] - exact[s], s))
-    while sum(out.values()) < frame:
-        for s in order[:frame - sum(out.values())]:
-            out[s] += 1
-    while sum(out.values()) > frame:
-        s = max(out, key=lambda s: (out[s] > 1, out[s] - exact[s], s))
-        out[s] -= 1
-    return out
+    """Slots of each source in a frame that holds the weights exactly: the fractions that their
+    decimal forms say, of their sum, over the least common denominator. An error if that is more
+    than ``frame``."""
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    total = sum(exact.values())
+    exact = {s: w / total for s, w in exact.items()}
+    slots = math.lcm(*[w.denominator for w in exact.values()])
+    if slots > frame:
+        raise ValueError(f"these weights need a frame of {slots} slots, more than {frame}: round them")
+    return {s: int(w * slots) for s, w in exact.items()}
 
 
 def schedule(slots: Mapping[str, int]) -> dict[str, list[int]]:
@@ -48,13 +49,16 @@ def schedule(slots: Mapping[str, int]) -> dict[str, list[int]]:
     first, ties to the name that sorts first."""
     frame = sum(slots.values())
     out: dict[str, list[int]] = {s: [] for s in slots}
+    later = [(0, s) for s in sorted(slots)]  # (release time, source): a heap
+    ready: list[tuple[int, str]] = []  # (deadline, source): a heap
     for t in range(frame):
-        ready = []
-        for s, a in slots.items():
-            j = len(out[s]) + 1
-            if (j - 1) * frame // a <= t:
-                ready.append((-(-j * frame // a), s))
-        out[min(ready)[1]].append(t)
+        while later and later[0][0] <= t:
+            s = heapq.heappop(later)[1]
+            heapq.heappush(ready, (-(-(len(out[s]) + 1) * frame // slots[s]), s))
+        s = heapq.heappop(ready)[1]
+        out[s].append(t)
+        if len(out[s]) < slots[s]:
+            heapq.heappush(later, (len(out[s]) * frame // slots[s], s))
     return out
 
 
@@ -74,15 +78,17 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float], block: int
     ``text``. An empty table gives an empty result.
 
     Scale: documents are numbered inside (source, range of the md5), about ``NUMBERED`` rows a
-    group, so a source with a third of all rows is many groups. Broadcast is one frame: ``frame``
-    rows, whatever the data.
+    group, so a source with a third of all rows is many groups. Broadcast is one frame: as many rows
+    as the weights' common denominator, whatever the data; ``frame`` bounds it, and weights that need
+    more are an error.
     """
     keep = [c for c in docs.columns if c not in ("mix_slot", "mix_place")]
     named = {s: w for s, w in weights.items() if s is not None}
-    rest = weights.get(None, sum(named.values()) / len(named) if named else 1.0)
+    rest = weights.get(None, sum(Fraction(str(w)) for w in named.values()) / len(named) if named else 1)
     if min([rest, *named.values()]) <= 0:
         raise ValueError("weights must be positive")
     slots = shares({**named, REST: rest}, frame)
+    frame = sum(slots.values())
     plan = docs.sparkSession.createDataFrame(
         [(s, i, len(at), slot) for s, at in schedule(slots).items() for i, slot in enumerate(at)],
         "s string, i int, each int, slot int")

@@ -41,7 +41,8 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in seen["near"]} == {k for k, (_, c) in want.items() if k == c}
 
     named = [s for s in WEIGHTS if s is not None]
-    plan = schedule(shares({**{s: WEIGHTS[s] for s in named}, REST: WEIGHTS[None]}))
+    slots = shares({**{s: WEIGHTS[s] for s in named}, REST: WEIGHTS[None]})
+    plan, frame = schedule(slots), sum(slots.values())
     by, order = {}, []
     for r in seen["mix in"]:
         by.setdefault(r.source if r.source in named else REST, []).append(r.doc_id)
@@ -49,7 +50,7 @@ def test_stages(spark, tmp_path):
         ids.sort(key=lambda k: hashlib.md5(f"{SEED}:{k}".encode()).hexdigest())
         for n, k in enumerate(ids):
             frames, i = divmod(n // BLOCK, len(plan[s]))
-            order.append((frames * 1000 + plan[s][i], n % BLOCK, k))
+            order.append((frames * frame + plan[s][i], n % BLOCK, k))
     written = sorted(seen["mix"], key=lambda r: (r.file_name, r.row_index))
     assert [r.doc_id for r in written] == [k for _, _, k in sorted(order)]
 
@@ -120,3 +121,15 @@ def test_language_decides(spark, tmp_path):
     bare = docs.withColumn("lang", F.lit(None).cast("string"))
     gone = {r[0] for r in rows} - {r.doc_id for r in step(spark, bare, str(tmp_path)).collect()}
     assert gone == {910_001, 910_002}
+
+
+def test_rare_learned_script_stays(spark, tmp_path):
+    """A learned language in a script of its own with little labelled text loses no document."""
+    rng = np.random.default_rng(4)
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+            .select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    han = [chr(0x4E00 + i) for i in range(1500)]
+    rows += [(500_000 + i, "".join(rng.choice(han, 300)), "zh" if i < 8 else None, "z", 300) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stay = {r.doc_id for r in dict(P.STAGES)["language"](spark, docs, str(tmp_path)).collect()}
+    assert {500_000 + i for i in range(200)} <= stay
