@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -196,16 +196,20 @@ def _rest(members: DataFrame, star: DataFrame, comp: DataFrame, texts: DataFrame
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
-def _nodes(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, bool]:
-    """Rows of ids (k), node keys (x) and texts (t), and whether ids repeat.
+def _nodes(docs: DataFrame, text: str, doc_id: str, *more: Column) -> tuple[DataFrame, bool]:
+    """Rows of ids (k), node keys (x) and texts (t), and ``more``; and whether ids repeat.
 
-    Where no id repeats, the id is the key. Otherwise each distinct pair of id and text has a key
-    of its own, a 64-bit hash of both, so that unlike texts of one id stay apart.
+    Where no id repeats, the id is the key. Otherwise each distinct pair of id and text, told apart by
+    two 64-bit hashes (h1, h2, columns of the rows too), is numbered in a scratch table.
     """
-    d = docs.select(id_key(doc_id).alias("k"),
-                    F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    d = docs.select(id_key(doc_id).alias("k"), t.alias("t"), *more)
     repeat = d.groupBy("k").agg(F.count("*").alias("m")).filter("m > 1").limit(1).count() > 0
-    return d.withColumn("x", F.xxhash64("k", "t") if repeat else F.col("k")), repeat
+    if not repeat:
+        return d.withColumn("x", F.col("k")), False
+    d = d.withColumns({"h1": F.xxhash64("t"), "h2": F.xxhash64(F.lit("second"), "t")})
+    keys = stage(d.select("k", "h1", "h2").distinct().withColumn("x", F.monotonically_increasing_id()), "node-keys")
+    return d.join(keys, ["k", "h1", "h2"]), True
 
 
 def _similar(d: DataFrame, repeat: bool, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
@@ -296,22 +300,22 @@ def keep_unlike(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", per
     stays, of the smallest id.
 
     A row goes only if links lead from its text to the one that stays, whatever its id: unlike
-    texts that share an id, or have none, all stay, and so do texts without words.
+    texts that share an id, or have none, all stay, and so do texts without words. Of rows with the
+    same id and text the one with the smallest hash of all columns stays, however rows are dealt.
     """
-    d, repeat = _nodes(docs, text, doc_id)
-    _, comp = _similar(d, repeat, percent, width)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    d, repeat = _nodes(docs, text, doc_id, row)
+    _, comp = _similar(d.select("k", "x", "t"), repeat, percent, width)
     if not repeat:
         gone = comp.filter("id != component").select(F.col("id").alias("x"))
-        return (docs.select(row, id_key(doc_id).alias("x")).join(gone, "x", "left_anti")
-                .select("row.*"))
-    linked = d.select("k", "x").distinct().join(comp, F.col("x") == F.col("id"))
-    first = linked.groupBy("component").agg(F.min(F.struct("k", "x")).alias("first"))
-    gone = stage(linked.join(first, "component").filter("x != first.x").select("x"), "unkept")
-    rows = docs.select(row, F.xxhash64(id_key(doc_id), t).alias("x"),
-                       t.rlike(r"[^\x20\x09-\x0D]").alias("worded"))
-    one = F.row_number().over(W.partitionBy("x").orderBy("x"))
-    once = rows.filter("worded").withColumn("n", one).filter("n = 1").select("row", "x")
+        return d.select("x", "row").join(gone, "x", "left_anti").select("row.*")
+    linked = (d.select("k", "h1", "h2", "x").distinct().join(comp, F.col("x") == F.col("id"))
+              .withColumn("place", F.struct("k", "h1", "h2")))
+    first = linked.groupBy("component").agg(F.min("place").alias("first"))
+    gone = stage(linked.join(first, "component").filter("place != first").select("x"), "unkept")
+    rows = d.withColumn("worded", F.col("t").rlike(r"[^\x20\x09-\x0D]"))
+    # equal texts of one id: the row of the smallest hash, combined map-side
+    least = F.struct(F.xxhash64("row").alias("a"), F.xxhash64(F.lit("second"), "row").alias("b"))
+    once = rows.filter("worded").groupBy("x").agg(F.min_by("row", least).alias("row"))
     return (rows.filter("NOT worded").select("row")
             .union(once.join(gone, "x", "left_anti").select("row")).select("row.*"))

@@ -111,3 +111,11 @@ def test_every_text_of_an_id_has_its_wide_sketch(spark):
     assert len(got) == len(texts) and all(r.component_id == want[r.doc_id] for r in got)
     unlike = {texts[i] for i, (_, c) in plain.items() if i == c}
     assert len(keep_unlike(docs).collect()) == len(unlike)
+
+
+def test_the_row_that_stays_is_the_same_for_any_partitioning(spark):
+    t = " ".join(f"w{i}" for i in range(30))
+    rows = [(k, t if (k or 9) < 3 else f"{t} {k}", s) for k in (1, 1, 2, 2, 5, None, None) for s in "abc"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [sorted(map(str, keep_unlike(docs.repartition(n)).collect())) for n in (1, 3, 8)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 1
