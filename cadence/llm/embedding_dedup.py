@@ -247,7 +247,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, vec_id: str = "vec_id
         starts[r.slot], stops[r.slot] = r.lo, r.hi
     reach = FIRST_WINDOW * math.sqrt(2 - 2 * cosine) + 1e-5
     copies = blocks.mapInArrow(_copies(starts, stops, reach), BLOCKED)
-    found = stage(blocks.union(copies).repartition(slots, "slot")
+    found = stage(blocks.union(copies).repartitionById(slots, "slot")
                   .sortWithinPartitions("slot", "kind").mapInArrow(_compare(cosine), FOUND),
                   "found")
     more = found.filter("kind = 0").groupBy("a").agg(F.sum("b").alias("more"))
