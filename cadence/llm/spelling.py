@@ -26,7 +26,7 @@ from cadence.llm.common import UPPER, arrow_schema, stage
 #: differ by one (one place differs).
 PARTS, PARTS_NEXT = 6, 4
 #: Words of a bucket that are compared with each other.
-HOT = 256
+HOT = 1024
 #: How many times as often a word's form must occur.
 RATIO = 5
 #: Roles in a bucket: same length, the longer word, the shorter word.
