@@ -423,6 +423,21 @@ def r12_window_regression(spark, sf_dir):
     return M.regression_metrics(scored, "y", "pred", ["split"])
 
 
+@query("R12_lagged_regression", _SEQ_SQL + f"SELECT split, {_METRICS} FROM p WHERE split IN ('val', 'test') "
+       "GROUP BY split", doubles=_MD)
+def r12_lagged_regression(spark, sf_dir):
+    """The same ridge, fitted on lagged cross products of rows; windows only where it scores."""
+    from cadence.operators.lagged import fit_window_ridge
+    ix = window_index(events_features(spark, sf_dir), ["value"], ["C", "A", "B"], _SEQ_KEYS, ["split"])
+    placed = with_place(ix, ["split"])
+    scaler = S.fit_row_scaler(placed, ["value"], SEQ_L)
+    reg = fit_window_ridge(placed, ["value"], SEQ_L, scaler)
+    win = sliding_windows(ix.filter(F.col("split").isin("val", "test")), ["value"], SEQ_L, target_inside=True,
+                          meta=_SEQ_KEYS, target="CycleTime_sec", same=["split"])
+    scored = M.window_scores(S.apply_window_scaler(win, *scaler), reg)
+    return M.regression_metrics(scored, "y", "pred", ["split"])
+
+
 _TABLE = (f"SELECT A, B, {ts_text('C')} AS C, split, y AS true_sec, pred AS pred_sec, {_PROB} AS pred_long_prob, "
           f"is_long AS is_long_true, CAST({_PROB} >= 0.5 AS INTEGER) AS is_long_pred "
           "FROM p CROSS JOIN lt WHERE split IN ('val', 'test')")
