@@ -198,8 +198,9 @@ class Parser:
             keep[1:] = (symbols[1:] != 0) | ((symbols[:-1] != 0) & (doc[1:] == doc[:-1]))
         return symbols[keep], np.bincount(doc[keep], minlength=len(texts))
 
-    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(texts, languages) phrase counts, and the number of symbols of each text.
+    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(texts, languages) phrase counts, the number of symbols of each text, and the bits of each
+        text if every stretch may be in another language.
 
         A text is parsed in stretches; no phrase runs over their ends.
         """
@@ -211,6 +212,7 @@ class Parser:
         grid[place % STRETCH, np.repeat(starts, sizes) + place // STRETCH] = symbols
         owner = np.repeat(np.arange(len(texts)), rows)
         out = np.zeros((len(texts), len(self.names)))
+        least = np.full(grid.shape[1], np.inf)  # bits of each stretch in its best language
         rare = [np.flatnonzero(column >= self.width) if self.rare else () for column in grid]
         near = np.where(grid < self.width, grid, self.other).astype(grid.dtype) if self.rare else grid
         for lang, idle in enumerate(self.idle):
@@ -225,21 +227,24 @@ class Parser:
                 count += begins
                 state = after
             out[:, lang] = np.bincount(owner, count, minlength=len(texts))
-        return out, sizes
+            np.minimum(least, count * self.bits[lang], out=least)
+        return out, sizes, np.bincount(owner, least, minlength=len(texts))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
         """(language, score, bits a symbol): ties go to the name that sorts first; the score is
-        the runner-up's share of the two best languages' bits, 1 if there is no runner-up."""
+        the runner-up's share of the two best languages' bits, 1 if there is no runner-up; the bits
+        are those of the best language of each stretch, so that text that mixes learned languages
+        is as cheap as text in one."""
         out: list[tuple[str, float, float]] = []
-        counts, sizes = self.phrases([t or "" for t in texts])
-        for c, n in zip(counts * np.asarray(self.bits), sizes):
+        counts, sizes, mixed = self.phrases([t or "" for t in texts])
+        for c, n, m in zip(counts * np.asarray(self.bits), sizes, mixed):
             if not n or not self.names:
                 out.append((UNKNOWN, 0.0, 0.0))
                 continue
             best = int(np.argmin(c))
             rest = np.delete(c, best)
             score = rest.min() / (rest.min() + c[best]) if len(rest) else 1.0
-            out.append((self.names[best], float(score), float(c[best] / n)))
+            out.append((self.names[best], float(score), float(m / n)))
         return out
 
 
@@ -287,8 +292,8 @@ _PARSERS: dict[int, Parser] = {}
 
 
 def predict_language(docs: DataFrame, training: dict[str, str], text: str = "text") -> DataFrame:
-    """The columns of ``docs`` and lang_pred, lang_score (0 to 1), lang_bits (of the best
-    language, a symbol). Input columns of those names are replaced.
+    """The columns of ``docs`` and lang_pred, lang_score (0 to 1), lang_bits (a symbol, each stretch
+    in its best language). Input columns of those names are replaced.
 
     ``und`` with score 0: a null text, a text without a letter, or an empty training sample.
     Only ``text`` is read. Narrow: the training text (bounded) travels with the task, each worker

@@ -33,7 +33,7 @@ def test_phrases_against_search():
     training = {"a": "abracadabra alakazam", "b": "blub blab blob"}
     parser = Parser(training)
     texts = ["".join(rng.choice("abrlkz uo") for _ in range(rng.randrange(1, STRETCH))) for _ in range(60)]
-    counts, _ = parser.phrases(texts)
+    counts, _, _ = parser.phrases(texts)
     for t, row in zip(texts, counts):
         t = " ".join(t.split()) + (" " if t[-1:] == " " and t.strip() else "")
         if t.strip():
@@ -87,7 +87,7 @@ def test_letters_beyond_the_table():
     parser = Parser(training)
     assert parser.rare > 1000
     texts = [text(n, 25)[:STRETCH] for n in scripts for _ in range(20)]
-    counts, _ = parser.phrases(texts)
+    counts, _, _ = parser.phrases(texts)
     for t, row in zip(texts, counts):
         assert row.tolist() == [plain_phrases(training[n], t) for n in sorted(training)]
     found = [p for p, _, _ in parser.predict(texts)]
@@ -113,3 +113,15 @@ def test_sample_is_bounded_whatever_repeats(spark, monkeypatch):
     assert max(by.count("xx"), by.count("yy")) <= SAMPLE_ROWS
     assert {n: len(set(t.split("\n"))) for n, t in training.items()} == {"xx": 400, "yy": 400}
     assert training == training_sample(docs.repartition(7))
+
+
+def test_text_that_mixes_learned_languages_is_cheap():
+    """Bits of a stretch are those of its best language, so a mixed text has no more than its parts."""
+    rng = random.Random(6)
+    words = {n: ["".join(rng.choice(s) for _ in range(rng.randrange(3, 8))) for _ in range(60)]
+             for n, s in (("a", "abcdefg"), ("b", "mnopqrs"))}
+    text = lambda n, k: "".join(rng.choice(words[n]) + " " for _ in range(k))
+    parser = Parser({n: text(n, 2000) for n in words})
+    parts = [text(n, 400)[:4 * STRETCH] for n in "ab"]
+    bits = [b for _, _, b in parser.predict([*parts, "".join(parts), "xyz " * 300])]
+    assert abs(bits[2] - (bits[0] + bits[1]) / 2) < 1e-9 and bits[3] > 3 * bits[2]
