@@ -32,6 +32,12 @@ def left(model, rows):
     return scored.select(F.avg((F.col("y") - F.col("pred")) ** 2) / F.var_pop("y")).first()[0]
 
 
+def test_800_rounds_are_few_passes(spark, rows):
+    model, n = jobs(spark, "rounds", lambda: M.fit_pipeline(rows, ["a", "b"], "y", "GBT"))
+    assert model.stages[-1].getNumTrees == 800 and n < 100  # a job for each level of each round: thousands
+    assert left(model, rows) < 0.002
+
+
 def test_400_trees_are_one_pass(spark, rows):
     model, n = jobs(spark, "trees", lambda: M.fit_pipeline(rows, ["a", "b"], "y", "RF", rf_depth=5))
     assert model.stages[-1].getNumTrees == 400 and n < 60
