@@ -85,7 +85,8 @@ def baselines(features: DataFrame, roles: ColumnRoles, kinds=("Ridge", "RF", "GB
     evald = df.filter(F.col(roles.split).isin("val", "test"))
     parts = [M.score(m, evald, [roles.split, roles.target]).withColumn("model", F.lit(k))
              for k, m in fitted.items()]
-    metrics = M.regression_metrics(S.union_all(parts), roles.target, "pred", ["model", roles.split])
+    metrics = M.staged(M.regression_metrics(S.union_all(parts), roles.target, "pred", ["model", roles.split]),
+                       "metrics")  # a row a model and split; the rows are scored once
     best = M.best_model(metrics).first()["model"]
     return Baselines(metrics, best, fitted)
 

@@ -88,3 +88,32 @@ def test_samples(spark, rows):
     steps = T.poisson_cuts() / 2.0 ** 32
     p = np.diff(np.append(0, steps))
     assert (p * np.arange(len(p))).sum() == pytest.approx(1, abs=1e-7)
+
+
+def test_the_contest_runs_all_rounds(spark, monkeypatch):
+    """The boosting that the contest fits has the reference's 800 rounds."""
+    from cadence.plans import entrypoints, q_models
+    asked = {}
+
+    def baselines(rows, roles, **settings):
+        asked.update(settings)
+        raise StopIteration
+    monkeypatch.setattr(entrypoints, "baselines", baselines)
+    with pytest.raises(StopIteration):
+        q_models.r6_model_contest(spark, "/root/testdata/sf0.001")
+    assert asked.get("gbt_rounds", M.GBT_ROUNDS) == 800
+
+
+@pytest.mark.parametrize("kind, kw", [("RF", {"rf_trees": 9, "rf_depth": 5}), ("GBT", {"gbt_rounds": 40})])
+def test_scores_walk_the_trees_once_a_cell(spark, rows, kind, kw):
+    from cadence.operators import trees
+    model = M.fit_pipeline(rows, ["a", "b"], "y", kind, **kw)
+    got = {(r.a, r.b): r.pred for r in M.score(model, rows, ["a", "b"]).collect()}
+    want = {(r.a, r.b): r.pred for r in model.transform(rows).collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+    scorer = trees.Scorer(trees.read_trees(spark, model.stages[-1]))
+    seen, work = [], scorer.work_out
+    scorer.work_out = lambda x: seen.append(len(x)) or work(x)
+    x = np.random.default_rng(1).normal(size=(200_000, 2))
+    first = scorer.look_up(x)
+    assert np.array_equal(first, scorer.look_up(x)) and sum(seen) <= 32 * 32
