@@ -133,3 +133,15 @@ def test_rare_learned_script_stays(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     stay = {r.doc_id for r in dict(P.STAGES)["language"](spark, docs, str(tmp_path)).collect()}
     assert {500_000 + i for i in range(200)} <= stay
+
+
+def test_the_mix_decides_the_places(spark, tmp_path):
+    """The result's places are those of the files that mixing wrote, not a schedule made again."""
+    rows = [(k, f"text {k}", "en", f"src{k % 3}", 9) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    places = {}
+    for name, order in (("up", "doc_id"), ("down", F.desc("doc_id"))):
+        mixed = stage(docs.repartitionByRange(3, order).sortWithinPartitions(order), name)
+        out = stage(dict(P.STAGES)["pieces"](spark, mixed, str(tmp_path)), "pieces")
+        places[name] = [r.doc_id for r in out.orderBy("mix_slot", "mix_place").collect()]
+    assert places == {"up": list(range(300)), "down": list(range(299, -1, -1))}
