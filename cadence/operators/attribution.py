@@ -8,12 +8,19 @@ column expressions, unpivoted with ``stack`` and averaged with ``groupBy``.
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadence.operators.models import RidgeModel, regression_metrics
 from cadence.operators.rowindex import with_row_index
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need not have this package
+
 
 def _stack(df: DataFrame, keep: list[str], pairs: dict[str, tuple]) -> DataFrame:
     """Unpivot: one row per (row, feature) with the given value columns."""
@@ -101,18 +108,41 @@ def shuffle_keys(n: int, seed: int) -> tuple[list[int], list[int]]:
     return sums, [_hash(r + 2 * ROUNDS, seed) for r in range(ROUNDS)]
 
 
+def swap_or_not(x: np.ndarray, sums, keys, n: int) -> np.ndarray:
+    """Where a keyed bijection of 0..n-1 takes the places ``x``: in each round two places with the same
+    sum modulo n swap, or not, as a hash of the larger says.  ``sums`` and ``keys``: one a round, or
+    one of each for every place."""
+    def mod(v):  # by PRIME, one less than a power of two
+        v = (v & PRIME) + (v >> 31)
+        v = (v & PRIME) + (v >> 31)
+        return np.where(v == PRIME, 0, v)
+    for s, k in zip(sums, keys):
+        partner = s - x
+        partner += n * (partner < 0)
+        u = mod(mod(np.maximum(x, partner)) * 48271 + k)
+        odd = (mod(mod(u * u) * 69621 + u) >> 12) & 1
+        x = np.where(odd == 1, partner, x)
+    return x
+
+
 def shuffled_place(df: DataFrame, place: str, sums: str, keys: str, n: int, name: str) -> DataFrame:
-    """``name``: where a keyed bijection of 0..n-1 takes ``place`` (a "swap-or-not" shuffle: in each
-    round two places with the same sum modulo n swap, or not, as a hash of the larger says).
+    """``name``: where ``swap_or_not`` takes ``place`` with the row's own ``sums`` and ``keys``.
+
+    Only arithmetic on the row itself, for any n: nothing is sorted, ranked or exchanged."""
+    def to(x: pa.Array, s: pa.Array, k: pa.Array) -> pa.Array:
+        rounds = [c.flatten().to_numpy().reshape(len(x), -1).T for c in (s, k)]
+        return pa.array(swap_or_not(x.to_numpy(), *rounds, n))
+    return df.withColumn(name, F.arrow_udf(to, "long")(F.col(place).cast("long"), sums, keys))
+
+
+def shuffled_places(df: DataFrame, place: str, plans: list[tuple], n: int, name: str) -> DataFrame:
+    """``name``: an array of where ``swap_or_not`` takes ``place``, with the sums and keys of each of ``plans``."""
+    plans = [tuple(np.array(c, np.int64) for c in p) for p in plans]
 
-    Only arithmetic on the row itself, for any n: nothing is sorted, ranked or exchanged.  (A fold over
-    the rounds: as nested projections, the optimiser would write each round out in the next.)"""
-    def swap(x, r):
-        partner = F.pmod(r["s"] + F.lit(n) - x, F.lit(n))
-        odd = F.floor(_hash(F.greatest(x, partner), r["k"]) / 4096) % 2 == 1
-        return F.when(odd, partner).otherwise(x)
-    rounds = F.arrays_zip(F.col(sums).alias("s"), F.col(keys).alias("k"))
-    return df.withColumn(name, F.aggregate(rounds, F.col(place).cast("long"), swap))
+    def to(x: pa.Array) -> pa.Array:
+        at = np.stack([swap_or_not(x.to_numpy(), *p, n) for p in plans], axis=1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(plans), pa.int32()), pa.array(at.ravel()))
+    return df.withColumn(name, F.arrow_udf(to, "array<long>")(F.col(place).cast("long")))
 
 
 def scored_by(model, df: DataFrame, name: str = "pred") -> DataFrame:
@@ -136,21 +166,16 @@ def permutation_importance(rows: DataFrame, model, key: str, label: str, repeats
     n = ix.count()
     if not n:
         return ix.sparkSession.createDataFrame([], "feature string, importance double, spread double")
-    plans = []
-    for j, f in enumerate(feats):
-        for r in range(repeats):
-            sums, keys = shuffle_keys(n, _hash(seed, j * 1009 + r))
-            plans.append(F.struct(F.lit(f).alias("feature"), F.lit(j).alias("j"), F.lit(r).alias("repeat"),
-                                  F.lit(sums).cast("array<long>").alias("sums"), F.lit(keys).cast("array<long>").alias("keys")))
-    spark = ix.sparkSession
-    plan = spark.range(1).select(F.inline(F.array(*plans)))  # features x repeats rows, whatever the data
-    copies = shuffled_place(ix.crossJoin(F.broadcast(plan)), "_p", "sums", "keys", n, "_donor").drop("sums", "keys", "_p")
+    plans = [shuffle_keys(n, _hash(seed, j * 1009 + r)) for j in range(len(feats)) for r in range(repeats)]
+    copies = shuffled_places(ix, "_p", plans, n, "_to").select(label, *feats, F.posexplode("_to").alias("_q", "_donor"))
     donors = ix.select(F.col("_p").alias("_donor"), F.array(*[F.col(f).cast("double") for f in feats]).alias("_values"))
     met = copies.join(donors.hint("shuffle_hash"), "_donor")
-    shuffled = met.select("feature", "repeat", label, *[
-        F.when(F.col("j") == j, F.get("_values", F.lit(j))).otherwise(F.col(f).cast("double")).alias(f)
-        for j, f in enumerate(feats)])
-    m = regression_metrics(scored_by(model, shuffled), label, "pred", ["feature", "repeat"])
+    shuffled = met.select("_q", label, *[
+        F.when(F.col("_q").between(j * repeats, (j + 1) * repeats - 1), F.get("_values", F.lit(j)))
+        .otherwise(F.col(f).cast("double")).alias(f) for j, f in enumerate(feats)])
+    m = regression_metrics(scored_by(model, shuffled), label, "pred", ["_q"])
+    of = F.array(*[F.lit(f) for f in feats for _ in range(repeats)])
+    m = m.select(F.get(of, F.col("_q")).alias("feature"), "mae", "r2")
     b = regression_metrics(scored_by(model, ix.withColumn("_g", F.lit(1))), label, "pred", ["_g"])
     out = m.crossJoin(F.broadcast(b.select(F.col("mae").alias("_bmae"), F.col("r2").alias("_br2"))))
     change = (F.col("mae") - F.col("_bmae")) if metric == "mae" else (F.col("_br2") - F.col("r2"))
