@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,22 @@ def test_rows_form_matches_array_form(spark):
     r = {x.k: x for x in A.summarize_rows(df, "k", "v", ["pos"], "Q").collect()}
     assert r[1]["Q_first_mean"] == 5.0 and r[1]["Q_last_mean"] == 6.0 and r[1]["Q_slope_mean"] == 1.0
     assert r[2]["Q_std_mean"] == 0.0 and r[1]["Q_len_max"] == 3
+
+
+def test_plain_cells_are_summarised_in_batches_as_by_expressions(spark, monkeypatch):
+    """Ragged channels of plain numbers: the same bits as the expressions give; other cells stay theirs."""
+    rng = np.random.default_rng(8)
+    texts = [c for c, _ in CELLS] + ["[[1e5,-2.5E-3],[0]]", "[ [1 , 2],[3] ]", "[[01]]", "[[1 2]]", "[[-0.0]]", "[[1e400]]", "[[1],2]"]
+    for _ in range(200):
+        channels = [rng.normal(size=rng.integers(1, 20)).tolist() for _ in range(rng.integers(1, 4))]
+        texts.append(str(channels).replace(" ", "" if rng.random() < 0.5 else " "))
+    df = spark.createDataFrame([(i, t, t) for i, t in enumerate(texts)], "i int, E string, F string")
+    fast = A.plain_summary(pa.array(texts))
+    assert fast[-200:].null_count == 0 and fast[:16].null_count == 16
+    for null_len in ("null", "minus_one"):
+        summary = lambda: [tuple(r) for r in A.summarize_series_columns(df, ["E", "F"], null_len=null_len).orderBy("i").collect()]
+        got = summary()
+        with monkeypatch.context() as m:
+            m.setattr(A, "PLAIN_CELL", "^never$")
+            want = summary()
+        assert [[repr(v) for v in r] for r in got] == [[repr(v) for v in r] for r in want]
