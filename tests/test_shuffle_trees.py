@@ -1,6 +1,7 @@
 """Permutation by a computed bijection, attribution of tree ensembles."""
 
 import math
+import time
 from itertools import combinations
 
 import numpy as np
@@ -109,6 +110,35 @@ def test_tree_attribution_is_shapley(spark, rows, kind, settings):
     assert score["a"] > score["b"] > score["c"]
 
 
+def test_attribution_works_once_for_rows_between_the_same_ends():
+    """A batch of repeated rows is worked out once for each place between ends of conditions."""
+    rng = np.random.default_rng(2)
+    leaves = [T.Leaf(v, np.array([0, 1]), np.array([-np.inf, 0.1 * i]), np.array([0.2 * i, np.inf]), np.array([0.5, 0.4]))
+              for i, v in enumerate(rng.normal(size=12))]
+    e = T.Ensemble(leaves)
+    seen = []
+    work, e.work_out = e.work_out, lambda x: seen.append(len(x)) or work(x)
+    x = np.round(rng.uniform(-1, 3, (5000, 2)), 2)
+    got = e.attribute(x)
+    assert np.array_equal(got, work(x)) and sum(seen) <= 13 * 13
+    e.attribute(x[:100])
+    assert sum(seen) <= 13 * 13
+    x[0, 0] = np.nan
+    assert np.array_equal(e.attribute(x[:3]), work(x[:3]))
+
+
+def test_the_shuffle_is_arithmetic_on_batches(spark):
+    """Many copies of many places in little time: no expression is evaluated round by round for a row."""
+    n = 300_000
+    plans = [AT.shuffle_keys(n, i) for i in range(20)]
+    df = AT.shuffled_places(spark.range(n), "id", plans, n, "to")
+    start = time.time()
+    sums = df.select(*[F.sum(F.get("to", F.lit(i))).alias(f"s{i}") for i in range(20)]).first()
+    assert set(sums) == {n * (n - 1) // 2} and time.time() - start < 60
+    got = AT.shuffled_places(spark.range(100), "id", [AT.shuffle_keys(100, 5)], 100, "to").orderBy("id").collect()
+    assert [r.to[0] for r in got] == places(100, 5)
+
+
 def test_long_paths_are_integrated(monkeypatch):
     """Leaves with more features than the tables take give the same."""
     rng = np.random.default_rng(1)
